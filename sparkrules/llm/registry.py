@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import quality_rules
+from sparkrules.llm import chat_format, quality_classifier, quality_rules, toxicity
 from sparkrules.llm.common import read
 
 
+def op3_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op9_chat_format(spark, sf_dir):
+    return chat_format.segments(read(spark, sf_dir, "conversations"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.measure(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {
+        "op3_quality_classifier": op3_quality_classifier,
+        "op8_toxicity": op8_toxicity,
+        "op9_chat_format": op9_chat_format,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_chat_format": chat_format.SQL}
