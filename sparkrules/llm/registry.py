@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import chat_format, quality_classifier, quality_rules, toxicity
+from sparkrules.llm import chat_format, packing, quality_classifier, quality_rules, toxicity
 from sparkrules.llm.common import read
 
 
+def op1_packing(spark, sf_dir):
+    import public_tokenizers as vocabularies
+
+    path = vocabularies.path
+    return packing.pack(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+
+
 def op3_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
@@ -26,6 +33,7 @@ def op10_quality_rules(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_packing": op1_packing,
         "op3_quality_classifier": op3_quality_classifier,
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
