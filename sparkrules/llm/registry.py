@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import chat_format, packing, quality_classifier, quality_rules, toxicity
+from sparkrules.llm import chat_format, embedding_dedup, packing, quality_classifier, quality_rules, toxicity
 from sparkrules.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -35,6 +39,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op3_quality_classifier": op3_quality_classifier,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_quality_rules": op10_quality_rules,
