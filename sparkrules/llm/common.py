@@ -136,7 +136,7 @@ class WordHashes:
             pass
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 

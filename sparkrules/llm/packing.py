@@ -83,9 +83,9 @@ class UnitTokenizer:
         return out
 
     def _learn(self, units: set[str]) -> None:
-        missing = sorted(units - self.known.keys())
+        missing = sorted(u for u in units if u not in self.known)
         if len(self.known) + len(missing) > self.most:  # keep what is in use just now
-            self.known = {u: self.known[u] for u in units & self.known.keys()}
+            self.known = {u: self.known[u] for u in units if u in self.known}
         for k in range(0, len(missing), 4096):
             part = missing[k : k + 4096]
             for u, ids in zip(part, self._encode(part)):

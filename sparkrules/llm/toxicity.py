@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 MOST_POSITIVE = 5_000
 MOST_UNLABELLED = 10_000
 MOST_LABELLED = 10_000
-MOST_FEATURES = 4_096
+MOST_FEATURES = 512
 LEAST_Z = 3.5
 FOLDS, HELD = 5, 0
 
@@ -67,7 +67,7 @@ class Model:
         cache, out = self.cache, np.empty(len(values))
         for i, t in enumerate(values):
             words = words_of(t)
-            for w in words - cache.keys():
+            for w in [w for w in words if w not in cache]:
                 cache[w] = self.weights.get(bucket(w), 0.0)
             out[i] = sum(sorted(filter(None, map(cache.__getitem__, words))))
             if len(cache) > 400_000:
@@ -87,14 +87,16 @@ def _matrix(rows: list, features: np.ndarray) -> np.ndarray:
 
 def risk_gradient(xp, xu, w, b, prior):
     """Gradient of the non-negative risk, and the bracket that must not be negative."""
-    p, u = xp @ w + b, xu @ w + b
+    w = w.astype(xp.dtype)
+    p, u = (xp @ w + b).astype(float), (xu @ w + b).astype(float)
     gp, gu = -sigmoid(-p) / len(p), sigmoid(u) / len(u)  # of the losses of P as positive and U as negative
     gn = sigmoid(p) / len(p)  # of P as negative
     bracket = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-    neg_w, neg_b = xu.T @ gu - prior * (xp.T @ gn), gu.sum() - prior * gn.sum()
+    gp, gu, gn = (g.astype(xp.dtype) for g in (gp, gu, gn))
+    neg_w, neg_b = gu @ xu - prior * (gn @ xp), float(gu.sum() - prior * gn.sum())
     if bracket < 0:
         return -neg_w, -neg_b, bracket
-    return prior * (xp.T @ gp) + neg_w, prior * gp.sum() + neg_b, bracket
+    return prior * (gp @ xp) + neg_w, prior * float(gp.sum()) + neg_b, bracket
 
 
 def fit(positive: list, unlabelled: list, labelled: list, labels: np.ndarray, prior: float, steps: int = 300) -> Model:
