@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrules.llm.blocks import deal, runs, sides
 from sparkrules.llm.common import store
 from sparkrules.llm.components import components
 
@@ -120,38 +121,17 @@ def link_block(key: int, rep: np.ndarray, copies: np.ndarray, x: np.ndarray, key
 def _verify(least: float):
     """Over rows sorted by (key, c1, c2): each run is a pair of blocks."""
 
-    def blocks(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            ids = np.column_stack([rest.column(k).to_numpy() for k in ("key", "c1", "c2")])
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            start = 0
-            for stop in cuts:
-                yield rest.slice(start, stop - start)
-                start = stop
-            rest = rest.slice(start)
-        if rest is not None and rest.num_rows:
-            yield rest
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sparkrules.llm.components import Sets
 
         out: list[tuple] = []
-        for t in blocks(batches):
-            if t.num_rows < 2:
-                continue
-            get = lambda k: t.column(k).to_numpy()  # noqa: E731,B023
-            key, c1, c2, c = get("key")[0], get("c1")[0], get("c2")[0], get("c")
-            rows = np.arange(len(c))
-            left, right = (rows, rows) if c1 == c2 else (rows[c == c1], rows[c == c2])
-            left, right = (left, left) if c1 == c2 else (left, right)
-            if not len(left) or not len(right):
+        for t in runs(batches, ("key", "c1", "c2")):
+            left, right = sides(t)
+            if t.num_rows < 2 or not len(left) or not len(right):
                 continue
-            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
-            rep, copies = get("rep"), get("copies")
-            links, i, j = link_block(key, rep, copies.astype(float), unit(t.column("vec").to_pylist()), keys, left, right, least)
+            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+            links, i, j = link_block(t.column("key")[0].as_py(), rep, copies.astype(float), unit(t.column("vec").to_pylist()), keys, left, right, least)
             sets = Sets()
             for a, b in zip(rep[i].tolist(), rep[j].tolist()):
                 sets.join(a, b)
@@ -172,7 +152,6 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 def link(vectors: DataFrame, least: float = LEAST_COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, block: int = BLOCK, dimension: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
     if dimension is None:
         most = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
         dimension = most["d"] if most else 0
@@ -185,13 +164,7 @@ def link(vectors: DataFrame, least: float = LEAST_COSINE, pivots: int = PIVOTS,
     points = spread(unit([bytes(r["vec"]) for r in sample]), pivots)
     index = distinct.mapInArrow(_index(points, nearest), "rep long, vec binary, copies long, keys array<long>")
     posted = index.select("rep", "vec", "copies", "keys", F.explode("keys").alias("key"))
-    lengths = posted.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n >= 1").withColumnRenamed("key", "k")
-    mine = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")
-    dealt = posted.join(lengths, F.col("key") == F.col("k")).withColumn("c", mine)
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-    dealt = dealt.select("key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "rep", "vec", "copies", "keys")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+    dealt = deal(posted, "key", "rep", block)
     found = store(dealt.mapInArrow(_verify(least), "rep long, links long, root long"), "vector-links")
     joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "r1")

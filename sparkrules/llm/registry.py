@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import chat_format, embedding_dedup, packing, quality_classifier, quality_rules, toxicity
+from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, packing, quality_classifier, quality_rules, toxicity
 from sparkrules.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.groups(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark, sf_dir):
     return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
 
@@ -39,6 +43,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op3_quality_classifier": op3_quality_classifier,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
