@@ -21,7 +21,6 @@ are packed like others, row by row; other columns are ignored.
 
 from __future__ import annotations
 
-import operator
 import os
 import zlib
 from collections import deque
@@ -38,10 +37,9 @@ END_ID = 0
 #: penalties in ids of padding; PER_SEQUENCE keeps short sequences rare
 SENTENCE, WORD, ANYWHERE, PER_SEQUENCE = 1.0, 6.0, 24.0, 256.0
 #: one cut between words is offered in so many ids
-EVERY = 16
+EVERY = 32
 #: units of a worker that are encoded both ways
 COMPARED = 4096
-_CLOSES = operator.methodcaller("endswith", (".", "!", "?", "\n"))
 BLOCK_TOKENS = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -55,11 +53,11 @@ class UnitTokenizer:
     both ways, and a difference is an error.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 600_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.coder, self.most, self.known, self.quick, self.compared = Tokenizer.from_file(path), most, {}, None, 0
+        self.coder, self.most, self.known, self.closing, self.quick, self.compared = Tokenizer.from_file(path), most, {}, set(), None, 0
         if ranks:
             import base64
 
@@ -82,30 +80,41 @@ class UnitTokenizer:
                 raise ValueError("the rank file does not give the tokenizer's ids")
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        missing = sorted(u for u in units if u not in self.known)
-        if len(self.known) + len(missing) > self.most:  # keep what is in use just now
-            self.known = {u: self.known[u] for u in units if u in self.known}
+    def _learn(self, missing: list[str]) -> None:
+        if len(self.known) + len(missing) > self.most:
+            self.known, self.closing = {}, set()
         for k in range(0, len(missing), 4096):
             part = missing[k : k + 4096]
             for u, ids in zip(part, self._encode(part)):
                 core = u[u.startswith(" ") : len(u) - u.endswith("\n")]
                 plain = not u or core and not core[0].isspace() and not core[-1].isspace()
-                self.known[u] = np.array(ids, "<u4").tobytes() if plain else None
+                self.known[u] = np.array(ids, "<u4").tobytes() if plain else False
+                if u.endswith((".", "!", "?", "\n")):
+                    self.closing.add(u)
+
+    def _parts(self, text: str) -> tuple[list[str], list]:
+        units = text.replace(" ", "\0 ").replace("\n", "\n\0").split("\0") if "\0" not in text else []
+        return units, list(map(self.known.get, units)) if units else [False]
 
     def __call__(self, values: list[str]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
         """By text: ids as little-endian bytes, ends of units in bytes of ids, and whether a sentence ends there."""
-        split = [t.replace(" ", "\0 ").replace("\n", "\n\0").split("\0") if "\0" not in t else None for t in values]
-        self._learn({u for units in split if units for u in units})
+        split = list(map(self._parts, values))
+        missing = {u for units, parts in split if None in parts for u, p in zip(units, parts) if p is None}
+        if missing:
+            self._learn(sorted(missing))
         out = []
-        for t, units in zip(values, split):
-            parts = list(map(self.known.__getitem__, units)) if units else [None]
+        for t, (units, parts) in zip(values, split):
             if None in parts:
+                parts = list(map(self.known.get, units))
+                if None in parts:  # the table was cleared meanwhile
+                    self._learn(sorted({u for u, p in zip(units, parts) if p is None}))
+                    parts = list(map(self.known.get, units))
+            if False in parts or None in parts:
                 ids = np.array(self.coder.encode(t, add_special_tokens=False).ids, "<u4")
                 out.append((ids.tobytes(), np.arange(4, 4 * len(ids) + 1, 4), np.zeros(len(ids), bool)))
             else:
                 ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-                out.append((b"".join(parts), ends, np.fromiter(map(_CLOSES, units), bool, len(units))))
+                out.append((b"".join(parts), ends, np.fromiter(map(self.closing.__contains__, units), bool, len(units))))
         return out
 
 
