@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, packing, quality_classifier, quality_rules, toxicity
+from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, packing, pieces, quality_classifier, quality_rules, toxicity
 from sparkrules.llm.common import read
 
 
@@ -18,6 +18,12 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    import public_tokenizers as vocabularies
+
+    return pieces.digests(read(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"))
+
+
 def op6_minhash_dedup(spark, sf_dir):
     return minhash_dedup.groups(read(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_sentencepiece": op4_sentencepiece,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
