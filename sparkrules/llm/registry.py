@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, packing, pieces, quality_classifier, quality_rules, toxicity
+from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, packing, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity
 from sparkrules.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_sentencepiece(spark, sf_dir):
     return pieces.digests(read(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark, sf_dir):
     return minhash_dedup.groups(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
