@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, packing, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity
+from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, ngram_scoring, packing, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity
 from sparkrules.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
 
 
+def op2_ngram_scoring(spark, sf_dir):
+    return ngram_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
@@ -52,6 +56,7 @@ def op10_quality_rules(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_ngram_scoring": op2_ngram_scoring,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_suffix_dedup": op5_suffix_dedup,
