@@ -257,7 +257,8 @@ def remove(docs: DataFrame) -> DataFrame:
     got = spans(docs).where("size(removed) > 0").select(F.col("doc_id").alias("_sd"), F.col("digest").alias("_sg"), F.col("removed").alias("_cut"))
     both = docs.join(got, (docs["doc_id"].cast("long") == F.col("_sd")) & (F.xxhash64(docs["text"]) == F.col("_sg")), "left")
     both = both.select(*(docs[c] for c in docs.columns), "_cut")
-    counted = "n_chars" in docs.columns
+    names = docs.columns
+    counted = "n_chars" in names
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(docs.schema)
@@ -267,7 +268,7 @@ def remove(docs: DataFrame) -> DataFrame:
             marks = batch.column("_cut").to_pylist()
             whole = batch.column("text").to_pylist()
             values = [cut(t, m) if m else t for t, m in zip(whole, marks)]
-            columns = {c: batch.column(c) for c in docs.columns}
+            columns = {c: batch.column(c) for c in names}
             columns["text"] = pa.array(values, schema.field("text").type)
             if counted:
                 old = batch.column("n_chars").to_pylist()
