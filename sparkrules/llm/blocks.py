@@ -44,6 +44,24 @@ def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterato
         yield rest
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of one or more whole runs, of about ``least`` rows unless a run is longer."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < least:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        ids = np.column_stack([table.column(k).to_numpy() for k in columns])
+        cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1))
+        stop = int(cuts[-1]) + 1 if len(cuts) else 0
+        if stop:
+            yield table.slice(0, stop).combine_chunks()
+        held = [table.slice(stop)]
+    if held and sum(t.num_rows for t in held):
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the two chunks of a run (the same array where it is one chunk)."""
     c1, c2, c = (table.column(k).to_numpy() for k in ("c1", "c2", "c"))

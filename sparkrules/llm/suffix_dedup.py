@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.blocks import runs
+from sparkrules.llm.blocks import whole_runs
 from sparkrules.llm.common import WordHashes, map_texts, split_words, store, texts, window_hashes
 
 PASSAGE = 50
@@ -107,17 +107,19 @@ def _suffixes(hashes: WordHashes):
     return run
 
 
-def _matches(table: pa.Table, bounded: bool = True) -> tuple[np.ndarray, ...]:
+def _matches(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Of suffixes sorted by right content: rows and offsets of matched passages, 0 (later), 1 (first) or 2 (alone) for each, and its name."""
     n = table.num_rows
     right = np.frombuffer(b"".join(table.column("right").to_pylist()), ">u4").reshape(n, PASSAGE).astype(np.uint64)
     left = np.frombuffer(b"".join(table.column("left").to_pylist()), np.uint32).reshape(n, SIDE).astype(np.uint64)
-    same = (right[1:] == right[:-1]) & (right[1:] != 0)
+    seed, chunked = table.column("seed").to_numpy(), table.column("chunks").to_numpy() > 1
+    same = (right[1:] == right[:-1]) & (right[1:] != 0) & (seed[1:] == seed[:-1])[:, None]
     lcp = np.where(same.all(axis=1), PASSAGE, same.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
     reach = np.maximum(np.append(0, lcp), np.append(lcp, 0))
     has_left, has_right = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
     offsets = np.arange(SIDE + 1)
-    fits = (offsets[None, :] <= has_left[:, None]) & (PASSAGE - offsets[None, :] <= (np.minimum(has_right, reach) if bounded else has_right)[:, None])
+    reach = np.where(chunked, PASSAGE, reach)  # a chunk's suffix may match one of another chunk
+    fits = (offsets[None, :] <= has_left[:, None]) & (PASSAGE - offsets[None, :] <= np.minimum(has_right, reach)[:, None])
     rows, o = np.nonzero(fits)
     if not len(rows):
         return rows, o, np.zeros(0, bool), np.zeros(0, np.uint64)
@@ -158,22 +160,20 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    for t in runs(batches, ("seed", "chunk")):
-        if t.num_rows < 2 and t.column("chunks")[0].as_py() == 1:
-            continue
-        chunked = t.column("chunks")[0].as_py() > 1
-        rows, o, first, name = _matches(t, bounded=not chunked)  # a chunk's suffix may match one of another chunk
+    for t in whole_runs(batches, ("seed", "chunk")):
+        rows, o, first, name = _matches(t)
         if not len(rows):
             continue
         doc, digest = t.column("doc_id").to_numpy()[rows], t.column("digest").to_numpy()[rows]
         start = t.column("pos").to_numpy()[rows] - o
-        later, kinds, pick = first == 0, (first > 0).astype(np.int64), first < 2
+        pick = first < 2
         if pick.any():
-            cols = _merge(doc[pick], digest[pick], kinds[pick], start[pick], start[pick] + PASSAGE)
+            cols = _merge(doc[pick], digest[pick], (first[pick] > 0).astype(np.int64), start[pick], start[pick] + PASSAGE)
             held.append([*cols, np.zeros(len(cols[0]), np.int64)])
-        if chunked and (head := ~later).any():
-            k = head.sum()
-            held.append([doc[head], digest[head], np.full(k, 2, np.int64), start[head], start[head] + PASSAGE, (name[head] + o[head].astype(np.uint64) * np.uint64(_BASE)).view(np.int64)])
+        head = (first > 0) & (t.column("chunks").to_numpy()[rows] > 1)
+        if head.any():
+            names_ = (name[head] + o[head].astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
+            held.append([doc[head], digest[head], np.full(len(names_), 2, np.int64), start[head], start[head] + PASSAGE, names_])
         if sum(len(x[0]) for x in held) > 50_000:
             yield flush()
     if held:
