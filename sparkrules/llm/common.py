@@ -21,12 +21,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small, as texts can be long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Join small batches to ones of at most ``BATCH_ROWS`` rows and about ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        if held and (size + batch.nbytes > most or rows + batch.num_rows > BATCH_ROWS):
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def shared_dir(spark: SparkSession) -> str:

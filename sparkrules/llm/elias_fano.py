@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
+#: searches done at once, to bound their memory
+PART = 100_000
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: position of the k-th set bit of a byte
 _SELECT = np.array([[([j for j in range(8) if b >> j & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
@@ -52,10 +54,10 @@ class EliasFano:
         word = np.searchsorted(self.ranks, i, side="right") - 1
         left = (i - self.ranks[word]).astype(np.int64)
         chunk = np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_POPCOUNT[chunk], axis=1, dtype=np.int64)
-        byte = (sums <= left[:, None]).sum(axis=1)
+        sums = np.cumsum(_POPCOUNT[chunk], axis=1, dtype=np.uint8)
+        byte = (sums <= left[:, None].astype(np.uint8)).sum(axis=1)
         rows = np.arange(len(i))
-        left -= np.where(byte > 0, sums[rows, byte - 1], 0)
+        left -= np.where(byte > 0, sums[rows, byte - 1], 0).astype(np.int64)
         bit = word * 64 + byte * 8 + _SELECT[chunk[rows, byte], left]
         out = (bit - i).astype(np.uint64)
         b = self.low_bits
@@ -70,6 +72,9 @@ class EliasFano:
 
     def successor(self, values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """For each value the first position in [start, stop) with an element not below it, or stop."""
+        if len(values) > PART:
+            cuts = range(0, len(values), PART)
+            return np.concatenate([self.successor(values[k : k + PART], start[k : k + PART], stop[k : k + PART]) for k in cuts])
         a, b = start.astype(np.int64).copy(), stop.astype(np.int64).copy()
         live = np.flatnonzero(a < b)
         while len(live):

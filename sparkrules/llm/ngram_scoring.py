@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import runs
-from sparkrules.llm.common import WordHashes, bounded_batches, crc_of_id, map_texts, mix, slices, split_words, store, texts
+from sparkrules.llm.common import WordHashes, bounded_batches, crc_of_id, gathered, map_texts, mix, slices, split_words, store, texts
 from sparkrules.llm.elias_fano import Trie
 
 FOLDS, HELD = 7, 2
 PRIOR = 200.0
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
+#: rows of an Arrow batch: a row can hold some ten thousand tokens
+ROWS = 50
 MOST_SHARDS = 65_536
 END, BEGIN = np.uint64(0x656E64656E64656E), np.uint64(0x626567696E626567)
 _LOG = np.log10
@@ -82,7 +84,7 @@ def _events(shards: int, heavy: np.ndarray):
         from pyspark import TaskContext
 
         hashes, name = WordHashes(), TaskContext.get().partitionId() << 32
-        for part in slices(batches):
+        for part in slices(gathered(batches)):
             w, n = tokens(texts(part), hashes)
             doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
             u = np.concatenate([[BEGIN], w[:-1]])
@@ -238,7 +240,7 @@ def score(docs: DataFrame, prior: float = PRIOR, shard_tokens: int = SHARD_TOKEN
     often = counts.where(F.col("n") * 8 * shards >= total).collect() if total and shards > 1 else []
     heavy = {int(np.int64(r["w"]).view(np.uint64)): r["n"] for r in often}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounded_batches(spark)
+    bounded_batches(spark, ROWS)
     events = rows.mapInArrow(_events(shards, np.array(sorted(heavy), np.uint64)), EVENTS)
     events = events.repartition(max(parts, shards), "shard").sortWithinPartitions("shard")
     found = events.mapInArrow(_shards(heavy, total, discount, prior), SUMS)
