@@ -186,6 +186,7 @@ def spans(docs: DataFrame) -> DataFrame:
     found = map_texts(rows, ["doc_id", "digest", "text"], _seeds(WordHashes()), "seed long, doc_id long, digest long, pos int")
     found = store(found, "suffixes")
     repeated = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("seed", "s")
+    repeated = store(repeated, "seeds")  # joined as a plain table, the rows of a frequent seed can be split
     hit = found.join(repeated, F.col("seed") == F.col("s")).select("doc_id", "digest", F.struct("pos", "seed", "n").alias("hit"))
     # the positions of one document
     hits = hit.groupBy("doc_id", "digest").agg(F.collect_set("hit").alias("hits"))
