@@ -8,7 +8,9 @@ a step is taken back along it.  The margin is then scaled to a probability on
 the labelled rows.  Words are runs of letters and digits in lower case.
 
 Only the fit uses samples, and both bounds are parameters (``MOST_POSITIVE``,
-``MOST_UNLABELLED``); every whole text is scored.
+``MOST_UNLABELLED``); every whole text is scored.  The features are all words
+whose frequencies in P and U differ by ``LEAST_Z`` standard errors or more,
+however many; there, copies of a text count once on each side.
 
 Cases: a null or empty text has the score of a text without known words; with
 no positive or no negative labels every score is the prior (0 without labels).
@@ -32,7 +34,6 @@ BUCKETS = 1 << 18
 MOST_POSITIVE = 5_000
 MOST_UNLABELLED = 10_000
 MOST_LABELLED = 10_000
-MOST_FEATURES = 512
 LEAST_Z = 3.5
 FOLDS, HELD = 5, 0
 
@@ -50,7 +51,11 @@ def bucket(word: bytes) -> int:
 
 
 def _buckets(batch: pa.RecordBatch) -> dict:
-    return {"doc_id": batch.column("doc_id"), "buckets": [sorted({bucket(w) for w in words_of(t)}) for t in texts(batch)]}
+    from xxhash import xxh64_intdigest
+
+    values = texts(batch)
+    digests = np.array([xxh64_intdigest(t.encode()) for t in values], np.uint64).view(np.int64)
+    return {"doc_id": batch.column("doc_id"), "digest": digests, "buckets": [sorted({bucket(w) for w in words_of(t)}) for t in values]}
 
 
 @dataclass
@@ -75,13 +80,32 @@ class Model:
         return sigmoid(self.scale * (out + self.intercept) + self.shift)
 
 
-def _matrix(rows: list, features: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(features)), np.float32)
-    at = np.full(BUCKETS, -1, np.int64)
-    at[features] = np.arange(len(features))
-    for i, r in enumerate(rows):
-        j = at[np.asarray(r, dtype=np.int64)] if len(r) else np.zeros(0, np.int64)
-        out[i, j[j >= 0]] = 1
+class Rows:
+    """A sparse matrix of zeros and ones, with a product from either side."""
+
+    __array_ufunc__ = None  # leaves ``g @ rows`` to __rmatmul__
+    dtype = np.dtype(float)
+
+    def __init__(self, rows: list, features: np.ndarray):
+        at = np.full(BUCKETS, -1, np.int32)
+        at[features] = np.arange(len(features))
+        picked = [j[j >= 0] for j in (at[np.asarray(r, np.int64)] for r in rows)]
+        self.shape = len(rows), len(features)
+        self.column = np.concatenate([*picked, np.zeros(0, np.int32)])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(j) for j in picked])
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.shape[0])
+
+    def __rmatmul__(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, g[self.row], self.shape[1])
+
+
+def _counts(rows: list) -> np.ndarray:
+    """In how many rows each bucket is."""
+    out = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        out[np.asarray(r, np.int64)] += 1
     return out
 
 
@@ -99,21 +123,21 @@ def risk_gradient(xp, xu, w, b, prior):
     return prior * (gp @ xp) + neg_w, prior * float(gp.sum()) + neg_b, bracket
 
 
-def fit(positive: list, unlabelled: list, labelled: list, labels: np.ndarray, prior: float, steps: int = 300) -> Model:
-    """``positive``, ``unlabelled``, ``labelled``: bucket lists; ``labels`` (0 or 1) of the last, for the scale."""
+def fit(positive: list, unlabelled: list, labelled: list, labels: np.ndarray, prior: float, steps: int = 300, ranked: tuple[list, list] | None = None) -> Model:
+    """``positive``, ``unlabelled``, ``labelled``: bucket lists; ``labels`` (0 or 1) of the last, for the scale; ``ranked``: the first two without copies."""
     flat = lambda log_odds: Model({}, 0.0, 0.0, log_odds)
     if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
         return flat(-40.0 if prior <= 0 else 40.0 if prior >= 1 else float(np.log(prior / (1 - prior))))
-    count = lambda rows: np.bincount(np.concatenate([np.asarray(r, np.int64) for r in rows] + [np.zeros(0, np.int64)]), minlength=BUCKETS)
-    np_, nu = len(positive), len(unlabelled)
-    cp, cu = count(positive), count(unlabelled)
+    once_p, once_u = ranked or (positive, unlabelled)
+    np_, nu = len(once_p), len(once_u)
+    cp, cu = _counts(once_p), _counts(once_u)
     share = (cp + cu + 1.0) / (np_ + nu + 2.0)
     z = (cp / np_ - cu / nu) / np.sqrt(share * (1 - share) * (1 / np_ + 1 / nu))
-    order = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
+    order = np.argsort(-np.abs(z), kind="stable")
     features = order[np.abs(z[order]) >= LEAST_Z]
     if not len(features):
         features = order[:64]
-    xp, xu = _matrix(positive, features), _matrix(unlabelled, features)
+    xp, xu = Rows(positive, features), Rows(unlabelled, features)
     w, b = np.zeros(len(features)), float(np.log(prior / (1 - prior)))
     m, v, l2, rate = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 1e-5, 0.05
     for t in range(1, steps + 1):
@@ -122,7 +146,7 @@ def fit(positive: list, unlabelled: list, labelled: list, labels: np.ndarray, pr
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    margin = decide(_matrix(labelled, features), np.append(w, b))
+    margin = decide(Rows(labelled, features), np.append(w, b))
     scale, shift = 1.0, 0.0
     if 0 < labels.sum() < len(labels):
         scale, shift = fit_logistic(margin[:, None], labels.astype(float), l2=0.01)
@@ -146,12 +170,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     # at most the three bounds together, so small enough to send to every executor
     texts_ = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    found = map_texts(texts_, ["doc_id", "text"], _buckets, "doc_id long, buckets array<int>")
+    found = map_texts(texts_, ["doc_id", "text"], _buckets, "doc_id long, digest long, buckets array<int>")
     rows = found.join(F.broadcast(chosen), "doc_id").toArrow()
-    kinds, buckets = rows.column("kinds").to_pylist(), rows.column("buckets").combine_chunks()
+    kinds, digests, buckets = rows.column("kinds").to_pylist(), rows.column("digest").to_pylist(), rows.column("buckets").combine_chunks()
     flat, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
     of = lambda *which: [flat[ends[i] : ends[i + 1]] for i, k in enumerate(kinds) if any(x in k for x in which)]
-    return fit(of(1), of(2), of(3, 4), np.array([int(4 in k) for k in kinds if 3 in k or 4 in k]), float(share[0]))
+    once = lambda which: [flat[ends[i] : ends[i + 1]] for i in {d: i for i, (d, k) in enumerate(zip(digests, kinds)) if which in k}.values()]
+    return fit(of(1), of(2), of(3, 4), np.array([int(4 in k) for k in kinds if 3 in k or 4 in k]), float(share[0]), ranked=(once(1), once(2)))
 
 
 SCHEMA = "doc_id long, score double"

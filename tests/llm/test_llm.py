@@ -327,6 +327,24 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.risk_gradient(xp, xu, np.full(3, -9.0), 0.0, 0.9)[2] <= 0.1
 
 
+def test_toxicity_keeps_every_telling_word():
+    r = np.random.default_rng(2)
+    toxic = [np.unique(np.append(r.choice(1000, 300, replace=False), r.integers(1000, 3000, 50))) for _ in range(200)]
+    clean = [np.unique(r.integers(1000, 3000, 60)) for _ in range(600)]
+    labels = np.array([1] * 200 + [0] * 600)
+    model = toxicity.fit(toxic, toxic + clean, toxic + clean, labels, 0.25, steps=40)
+    assert set(range(1000)) <= set(model.weights)
+
+
+def test_toxicity_copies_do_not_crowd_out_words(spark):
+    docs, labels = marked(spark)
+    long_ = " ".join(f"copied{k}" for k in range(1500))
+    docs = docs.unionByName(spark.createDataFrame([(k, long_, "en", "s0", None) for k in range(1000, 1170)], docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(k, 1, 1) for k in range(1000, 1170)], LABELS))
+    model = toxicity.train(docs, labels)
+    assert all(model.weights.get(toxicity.bucket(w), 0) > 0 for w in (b"vile", b"rotten"))
+
+
 def test_quality_held_out(spark, empty):
     docs, labels = marked(spark)
     model = quality_classifier.train(docs, labels)
