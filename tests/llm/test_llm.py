@@ -407,6 +407,28 @@ def test_quality_rules(docs, rows, empty):
         assert quality_rules.judge(data, zstandard.ZstdCompressor(), quality_rules.Bands())[2] == ok
 
 
+@pytest.mark.parametrize("n", [120, 150, 180, 250, 300, 500, 900, 1000, 1900, 4000, 8000])
+def test_quality_rules_reject_noise_of_any_length(n):
+    import base64
+
+    import zstandard
+
+    r, packer, bands = random.Random(n), zstandard.ZstdCompressor(level=3), quality_rules.Bands()
+    alphabets = ["".join(map(chr, x)) for x in ([*range(48, 58), *range(65, 91), *range(97, 123)], range(33, 127))]
+
+    def noise(size, letters):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 10))) for _ in range(size // 3)).encode()[:size]
+
+    for letters in alphabets * 20:
+        assert not quality_rules.judge(noise(n, letters), packer, bands)[2]
+    assert not quality_rules.judge(base64.b64encode(r.randbytes(n))[:n], packer, bands)[2]
+    modules = (quality_rules, suffix_dedup, toxicity, embedding_dedup, minhash_dedup, ngram_scoring, packing, pieces, quality_classifier, chat_format)
+    english = " ".join(" ".join(m.__doc__.split()) for m in modules).encode()
+    assert quality_rules.judge(english[:n], packer, bands)[2]
+    inside = english[:6000] + noise(8192, alphabets[0]) + english[:6000]  # noise in a longer text
+    assert quality_rules.judge(inside, packer, bands)[1] > bands.bad_share
+
+
 def test_batches_are_cut_by_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 50, None, "y" * 200, "", "z"]})
     assert [b.num_rows for b in common.slices(iter([batch]), most=100)] == [2, 1, 2]
