@@ -17,9 +17,10 @@ aggregation that combines before its shuffle.
 
 Words are runs without ASCII white space; spans are in words.  Cases: null and
 short texts have no passages; a null doc_id has none either and stays as it is;
-rows of equal doc_id and text are one document.  ``remove`` cuts repeats out
-and drops documents of which no word is left; other columns are carried along,
-n_chars is counted anew where there is one.
+rows of equal doc_id and text are one document, with the same spans in each.
+``remove`` cuts repeats out and drops documents of which no word is left; of
+the rows of one document of ``PASSAGE`` words or more it keeps one.  Other
+columns are carried along, n_chars is counted anew where there is one.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from sparkrules.llm.common import WordHashes, map_texts, split_words, store, tex
 PASSAGE = 50
 SEED = 8
 CHUNK = 1024
+#: suffixes that a worker holds as matrices at once
+BLOCK = 6_000
 SIDE = PASSAGE - SEED
 _LOW = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -94,14 +97,18 @@ def _suffixes(hashes: WordHashes):
         row = np.repeat(np.arange(len(counts)), n)
         pos = flat.field("pos").to_numpy()
         at = (ends - counts)[row] + pos
-        grid = at[:, None] + np.arange(SIDE + PASSAGE)[None, :]
-        around = short[grid]
-        rel = pos[:, None] + np.arange(-SIDE, PASSAGE)[None, :]
-        around[(rel < 0) | (rel >= counts[row][:, None])] = 0
+        left, right = [], []
+        for k in range(0, len(at), BLOCK):
+            part = slice(k, k + BLOCK)
+            around = short[at[part, None] + np.arange(SIDE + PASSAGE)[None, :]]
+            rel = pos[part, None] + np.arange(-SIDE, PASSAGE)[None, :]
+            around[(rel < 0) | (rel >= counts[row[part]][:, None])] = 0
+            left += [x.tobytes() for x in around[:, :SIDE]]
+            right += [x.astype(">u4").tobytes() for x in around[:, SIDE:]]
         take = pa.array(row)
         return {
             "seed": flat.field("seed"), "salt": flat.field("n").to_numpy(), "doc_id": batch.column("doc_id").take(take), "digest": batch.column("digest").take(take),
-            "pos": pos, "left": [x.tobytes() for x in around[:, :SIDE]], "right": [x.astype(">u4").tobytes() for x in around[:, SIDE:]],
+            "pos": pos, "left": left, "right": right,
         }
 
     return run
@@ -150,6 +157,18 @@ def _merge(doc, digest, kind, start, end) -> list[np.ndarray]:
     return [doc[at], digest[at], kind[at], start[at], np.maximum.reduceat(end, at) if len(at) else end[last]]
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes without those of a document's further rows, which follow their equals."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.column_stack([batch.column(k).to_numpy() for k in ("seed", "chunk", "doc_id", "digest", "pos")])
+        new = np.append(last is None or (ids[0] != last).any(), (ids[1:] != ids[:-1]).any(axis=1))
+        last = ids[-1]
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of matched passages; of chunked seeds also the chunk's first places (kind 2, with the passage's name)."""
     names = ["doc_id", "digest", "kind", "start", "end", "name"]
@@ -160,7 +179,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    for t in whole_runs(batches, ("seed", "chunk")):
+    for t in whole_runs(_once(batches), ("seed", "chunk"), BLOCK):
         rows, o, first, name = _matches(t)
         if not len(rows):
             continue
@@ -185,7 +204,10 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     found = map_texts(rows, ["doc_id", "digest", "text"], _seeds(WordHashes()), "seed long, doc_id long, digest long, pos int")
     found = store(found, "suffixes")
-    repeated = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("seed", "s")
+    # places, not rows: a document in several rows is counted once
+    place = F.xxhash64("doc_id", "digest", "pos")
+    repeated = found.groupBy(F.col("seed").alias("s")).agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+    repeated = repeated.where("a <> b").select("s", "n")
     repeated = store(repeated, "seeds")  # joined as a plain table, the rows of a frequent seed can be split
     hit = found.join(repeated, F.col("seed") == F.col("s")).select("doc_id", "digest", F.struct("pos", "seed", "n").alias("hit"))
     # the positions of one document
@@ -256,8 +278,14 @@ def cut(text: str, removed: list[dict]) -> str:
 def remove(docs: DataFrame) -> DataFrame:
     """Documents without their repeats, with all their columns."""
     got = spans(docs).where("size(removed) > 0").select(F.col("doc_id").alias("_sd"), F.col("digest").alias("_sg"), F.col("removed").alias("_cut"))
+    keys = [F.col("doc_id").cast("long").alias("_td"), F.xxhash64("text").alias("_tg")]
+    twins = docs.where("doc_id is not null").groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    got = got.join(twins, (F.col("_sd") == F.col("_td")) & (F.col("_sg") == F.col("_tg")), "full")
+    got = got.select(F.coalesce("_sd", "_td").alias("_sd"), F.coalesce("_sg", "_tg").alias("_sg"), "_cut", "_n")
     both = docs.join(got, (docs["doc_id"].cast("long") == F.col("_sd")) & (F.xxhash64(docs["text"]) == F.col("_sg")), "left")
-    both = both.select(*(docs[c] for c in docs.columns), "_cut")
+    both = both.select(*(docs[c] for c in docs.columns), "_cut", "_n")
+    twin = F.col("_n").isNotNull() & F.coalesce(F.regexp_count("text", F.lit(_WORD.pattern)) >= PASSAGE, F.lit(False))
+    both = both.where(~twin).unionByName(both.where(twin).dropDuplicates(["doc_id", "text"])).drop("_n")
     names = docs.columns
     counted = "n_chars" in names
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -260,6 +260,22 @@ def test_suffix_spans(docs, rows, empty, chunk, monkeypatch):
         assert suffix_dedup.repeats(empty).count() == 0 and suffix_dedup.remove(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1024, 1])
+def test_suffix_repeated_rows_are_one_document(spark, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    r = random.Random(4)
+    text = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (80, 120, 70, 90)]
+    rows = [(1, text[0])] * 3 + [(2, text[1])] * 2 + [(3, text[2] + " " + text[0])] * 2 + [(4, text[3]), (5, "too short")] + [(5, "too short"), (None, text[3]), (None, text[3]), (6, None), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_spans(rows)
+    got = suffix_dedup.repeats(df).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        assert (g["n_shared_words"], g["n_removed_words"]) == want.get(g["doc_id"], (0, 0)), g["doc_id"]
+    left = Counter((x["doc_id"], x["text"] and x["text"].strip()) for x in suffix_dedup.remove(df).collect())
+    assert left == Counter([(1, text[0]), (2, text[1]), (3, text[2]), (4, text[3]), (5, "too short"), (5, "too short"), (None, text[3]), (None, text[3]), (6, None), (6, None)])
+
+
 def test_cut_keeps_the_rest():
     t = " a b\n\nc  d e\n"
     assert suffix_dedup.cut(t, [{"start": 1, "length": 2}]) == " a d e\n"
