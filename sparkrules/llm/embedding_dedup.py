@@ -10,9 +10,12 @@ Exact copies are one vector with a weight.  A list of more than ``BLOCK``
 vectors is dealt out as pairs of blocks, so no task sees more than two blocks
 at once, and tasks return sums and spanning links, never all pairs.
 
-Cases: vectors that are null, zero, of another length than ``dimension`` (by
-default the most frequent length) or hold null, NaN or infinite components link
-with nothing; so do rows of null vec_id (component null, not kept).  Rows that
+Vectors of each length have pivots and lists of their own; only equal lengths
+are compared.
+
+Cases: vectors that are null, zero, of another length than ``dimension`` (where
+one is given) or hold null, NaN or infinite components link with nothing; so do
+rows of null vec_id (component null, not kept).  Rows that
 repeat a vec_id are vectors of their own with a common name.  Labels and other
 columns are ignored; an empty table gives no rows.
 """
@@ -38,7 +41,7 @@ NEAREST = 5
 BLOCK = 512
 
 
-def _packed(dimension: int):
+def _packed(dimension: int | None):
     """Valid vectors as double bytes, others null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +49,7 @@ def _packed(dimension: int):
             out = []
             for v in batch.column("embedding").to_pylist():
                 data = None
-                if v is not None and len(v) == dimension and None not in v:
+                if v is not None and dimension in (None, len(v)) and None not in v:
                     x = np.array(v, np.float64) + 0.0  # -0.0 becomes 0.0
                     if np.isfinite(x).all() and x.any():
                         data = x.tobytes()
@@ -87,14 +90,23 @@ def _top(s: np.ndarray, m: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _index(pivots: np.ndarray, nearest: int):
+def _index(pivots: dict[int, np.ndarray], nearest: int):
+    """``pivots`` by length; the length is the upper half of a list's key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = keys_of(unit(batch.column("vec").to_pylist()), pivots, nearest)
+            vec = batch.column("vec").to_pylist()
+            lengths = np.array([len(v) // 8 for v in vec])
+            keys: list = [[]] * len(vec)
+            for d in np.unique(lengths).tolist():
+                if d in pivots:
+                    at = np.flatnonzero(lengths == d).tolist()
+                    for k, row in zip(at, keys_of(unit([vec[k] for k in at]), pivots[d], nearest) + (d << 32)):
+                        keys[k] = row
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("rep", "vec", "copies")), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "vec", "copies", "keys"]
+                [*(batch.column(k) for k in ("rep", "vec", "copies")), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "vec", "copies", "keys"]
             )
 
     return run
@@ -152,16 +164,16 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 def link(vectors: DataFrame, least: float = LEAST_COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, block: int = BLOCK, dimension: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    if dimension is None:
-        most = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        dimension = most["d"] if most else 0
     rows = store(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_packed(dimension), "vec_id long, vec binary"), "vectors")
     valid = rows.where("vec_id is not null and vec is not null")
     distinct = store(valid.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
-    sample = distinct.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
-    if not sample:
+    lengths = distinct.groupBy(F.length("vec").alias("n")).count().collect()
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    points = spread(unit([bytes(r["vec"]) for r in sample]), pivots)
+    points = {}
+    for n in sorted(r["n"] for r in lengths if r["count"] > 1):
+        sample = distinct.where(F.length("vec") == n).select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+        points[n // 8] = spread(unit([bytes(r["vec"]) for r in sample]), pivots)
     index = distinct.mapInArrow(_index(points, nearest), "rep long, vec binary, copies long, keys array<long>")
     posted = index.select("rep", "vec", "copies", "keys", F.explode("keys").alias("key"))
     dealt = deal(posted, "key", "rep", block)

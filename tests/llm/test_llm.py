@@ -306,6 +306,16 @@ def test_embedding_links(spark, block):
     del found
 
 
+def test_embeddings_of_each_length_are_compared(spark):
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=8).tolist(), r.normal(size=5).tolist()
+    vectors = [*r.normal(size=(20, 8)).tolist(), a, a, b, b, [x * 1.001 + 0.001 for x in b], [1.0, 2.0], [3.0] * 3, [3.0] * 3]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    got = {g["vec_id"]: (g["n_links"], g["component_id"], g["kept"]) for g in embedding_dedup.link(df, least=0.98).collect()}
+    assert [got[k] for k in range(20, 28)] == [(1, 20, True), (1, 20, False), (2, 22, True), (2, 22, False), (2, 22, False), (0, 25, True), (1, 26, True), (1, 26, False)]
+    assert embedding_dedup.link(df, dimension=8).where("vec_id >= 22 and n_links > 0").count() == 0
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(7, k) for k in range(2000, 2100)]
