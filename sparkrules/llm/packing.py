@@ -15,8 +15,9 @@ A block is what one task reads, closed after ``BLOCK_TOKENS`` ids at a document
 end, so nothing is shuffled and memory is bounded.  Sequence ids are unique:
 the task's partition number in the upper bits, a running number below.
 
-Cases: a null or empty text has the closing id alone; null and repeated doc_ids
-are packed like others, row by row; other columns are ignored.
+Cases: a null or empty text has the closing id alone; a text longer than a
+block makes a block of its own; null and repeated doc_ids are packed like
+others, row by row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,26 +39,30 @@ END_ID = 0
 SENTENCE, WORD, ANYWHERE, PER_SEQUENCE = 1.0, 6.0, 24.0, 256.0
 #: one cut between words is offered in so many ids
 EVERY = 32
-#: units of a worker that are encoded both ways
-COMPARED = 4096
+#: texts of a worker that are encoded both ways
+COMPARED = 64
 BLOCK_TOKENS = 2_000_000
+#: fixed values: bytes that end a line or sentence wherever they stand, and those that end one before white space
+LINE_ENDS = tuple(x.encode() for x in ("\n", "\u3002", "\uff01", "\uff1f"))
+STOPS = (b".", b"!", b"?")
+_END = np.array([END_ID], np.uint32)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
-class UnitTokenizer:
-    """ids of a text from a table of its units: words with the space before or the line break after them.
+class TextTokenizer:
+    """ids of whole texts, and what ids say about places to cut.
 
-    A byte-level pre-tokeniser always breaks there, unless white space comes in
-    runs; such texts are encoded whole.  A rank file of the same vocabulary, if
-    given, encodes new units of Latin script faster; the first ones are encoded
-    both ways, and a difference is an error.
+    A rank file of the same vocabulary, if given, encodes faster.  The strings
+    of special tokens are ids of their own to the tokenizer alone, so texts that
+    hold "<|" are left to it; the first texts of a worker are encoded both ways,
+    and a difference is an error.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 1_000_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.coder, self.most, self.known, self.closing, self.quick, self.compared = Tokenizer.from_file(path), most, {}, set(), None, 0
+        self.coder, self.quick, self.compared = Tokenizer.from_file(path), None, 0
         if ranks:
             import base64
 
@@ -65,67 +70,49 @@ class UnitTokenizer:
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.quick = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+            self.quick = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        pieces = [self._bytes(k) for k in range(self.coder.get_vocab_size())]
+        table = lambda test: np.array([test(p) for p in pieces], bool)
+        #: ids after which a line or sentence ends, those after which it does before white space, and those that begin with white space
+        self.closes = table(lambda p: p.endswith(LINE_ENDS))
+        self.stops = table(lambda p: p.endswith(STOPS))
+        self.opens = table(lambda p: p[:1].isspace())
 
-    def _encode(self, units: list[str]) -> list[list[int]]:
+    def _bytes(self, k: int) -> bytes:
+        return self.coder.decode([k], skip_special_tokens=False).encode()
+
+    def _plain(self, values: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.coder.encode_batch_fast(values, add_special_tokens=False)]
+
+    def __call__(self, values: list[str]) -> list[np.ndarray]:
         if not self.quick:
-            return [e.ids for e in self.coder.encode_batch_fast(units, add_special_tokens=False)]
-        out = [self.quick.encode_ordinary(u) if (u.isascii() or max(u) < "\u0250") and "<|" not in u else None for u in units]
+            return self._plain(values)
+        out = [None if "<|" in t else self.quick.encode_to_numpy(t) for t in values]
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, self.coder.encode_batch_fast([units[k] for k in rest], add_special_tokens=False)):
-            out[k] = e.ids
+        for k, ids in zip(rest, self._plain([values[k] for k in rest])):
+            out[k] = ids
         if self.compared < COMPARED:
-            self.compared += len(units)
-            if out != [e.ids for e in self.coder.encode_batch_fast(units, add_special_tokens=False)]:
+            first = values[: COMPARED - self.compared]
+            self.compared += len(first)
+            if not all(map(np.array_equal, out, self._plain(first))):
                 raise ValueError("the rank file does not give the tokenizer's ids")
         return out
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.known) + len(missing) > self.most:
-            self.known, self.closing = {}, set()
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for u, ids in zip(part, self._encode(part)):
-                core = u[u.startswith(" ") : len(u) - u.endswith("\n")]
-                plain = not u or core and not core[0].isspace() and not core[-1].isspace()
-                self.known[u] = np.array(ids, "<u4").tobytes() if plain else False
-                if u.endswith((".", "!", "?", "\n")):
-                    self.closing.add(u)
-
-    def _parts(self, text: str) -> tuple[list[str], list]:
-        units = text.replace(" ", "\0 ").replace("\n", "\n\0").split("\0") if "\0" not in text else []
-        return units, list(map(self.known.get, units)) if units else [False]
-
-    def __call__(self, values: list[str]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
-        """By text: ids as little-endian bytes, ends of units in bytes of ids, and whether a sentence ends there."""
-        split = list(map(self._parts, values))
-        missing = {u for units, parts in split if None in parts for u, p in zip(units, parts) if p is None}
-        if missing:
-            self._learn(sorted(missing))
-        out = []
-        for t, (units, parts) in zip(values, split):
-            if None in parts:
-                parts = list(map(self.known.get, units))
-                if None in parts:  # the table was cleared meanwhile
-                    self._learn(sorted({u for u, p in zip(units, parts) if p is None}))
-                    parts = list(map(self.known.get, units))
-            if False in parts or None in parts:
-                ids = np.array(self.coder.encode(t, add_special_tokens=False).ids, "<u4")
-                out.append((ids.tobytes(), np.arange(4, 4 * len(ids) + 1, 4), np.zeros(len(ids), bool)))
-            else:
-                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-                out.append((b"".join(parts), ends, np.fromiter(map(self.closing.__contains__, units), bool, len(units))))
-        return out
+    def breaks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places between ids where a sentence ends, and where a word begins."""
+        before, after = ids[:-1], ids[1:]
+        opens = self.opens[after]
+        return np.flatnonzero(self.closes[before] | (self.stops[before] & opens)) + 1, np.flatnonzero(opens) + 1
 
 
-def candidates(ends: np.ndarray, closes: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts and their penalties from the ends of units (increasing) of all documents of a block."""
+def candidates(sentences: np.ndarray, words: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts and their penalties from the breaks (increasing) in all documents of a block."""
     total = int(doc_ends[-1])
-    kinds = [(doc_ends, 0.0), (ends[closes], SENTENCE)]
-    if len(ends):
-        cell = ends // EVERY
-        kinds.append((ends[np.append(cell[1:] != cell[:-1], True)], WORD))
-    kinds.append((np.arange(LENGTH // 2, total, LENGTH // 2), ANYWHERE))  # units can be long
+    kinds = [(doc_ends, 0.0), (sentences, SENTENCE)]
+    if len(words):
+        cell = words // EVERY
+        kinds.append((words[np.append(cell[1:] != cell[:-1], True)], WORD))
+    kinds.append((np.arange(LENGTH // 2, total, LENGTH // 2), ANYWHERE))  # words can be long
     points = np.concatenate([k for k, _ in kinds])
     costs = np.concatenate([np.full(len(k), c) for k, c in kinds])
     order = np.lexsort((costs, points))
@@ -178,20 +165,19 @@ def best_cuts(points: np.ndarray, costs: np.ndarray, length: int = LENGTH, per_s
 class _Block:
     """Documents gathered for one run of the dynamic programme."""
 
-    def __init__(self):
-        self.docs, self.data, self.units, self.closes, self.ends, self.tokens = [], [], [], [], [], 0
+    def __init__(self, coder: TextTokenizer):
+        self.coder, self.docs, self.ids, self.ends, self.tokens = coder, [], [], [], 0
 
-    def add(self, doc_id, data: bytes, units: np.ndarray, closes: np.ndarray) -> None:
+    def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
-        self.data.append(data + END_ID.to_bytes(4, "little"))
-        self.units.append((units >> 2) + self.tokens)
-        self.closes.append(closes)
-        self.tokens += (len(data) >> 2) + 1
+        self.ids += [ids, _END]
+        self.tokens += len(ids) + 1
         self.ends.append(self.tokens)
 
     def rows(self, first: int) -> tuple[dict, int]:
-        ends, data = np.array(self.ends, np.int64), memoryview(b"".join(self.data))
-        cuts = best_cuts(*candidates(np.concatenate(self.units), np.concatenate(self.closes), ends))
+        ends, all_ = np.array(self.ends, np.int64), np.concatenate(self.ids).astype("<u4", copy=False)
+        data = memoryview(all_).cast("B")
+        cuts = best_cuts(*candidates(*self.coder.breaks(all_), ends))
         bounds = np.union1d(np.concatenate([[0], cuts]), ends)
         a, b = bounds[:-1], bounds[1:]
         doc, seq = np.searchsorted(ends, a, side="right"), np.searchsorted(cuts, a, side="right")
@@ -204,7 +190,7 @@ class _Block:
         }, len(cuts)
 
 
-_TOKENIZERS: dict[tuple, UnitTokenizer] = {}
+_TOKENIZERS: dict[tuple, TextTokenizer] = {}
 
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -219,19 +205,19 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = _TOKENIZERS.get(key) or UnitTokenizer(*key)
+        coder = _TOKENIZERS.get(key) or TextTokenizer(*key)
         _TOKENIZERS[key] = coder  # lasts as long as the worker
-        first, block = TaskContext.get().partitionId() << 40, _Block()
+        first, block = TaskContext.get().partitionId() << 40, _Block(coder)
 
         def closed():
             nonlocal first, block
             rows, used = block.rows(first)
-            first, block = first + used, _Block()
+            first, block = first + used, _Block(coder)
             return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)
 
         for part in slices(batches):
-            for doc_id, got in zip(part.column("doc_id").to_pylist(), coder(texts(part))):
-                block.add(doc_id, *got)
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder(texts(part))):
+                block.add(doc_id, ids)
                 if block.tokens >= block_tokens:
                     yield closed()
         if block.tokens:
