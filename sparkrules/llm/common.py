@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows and text bytes that one call of a text function sees at most (a longer single text comes alone).
 BATCH_ROWS = 1000
 SLICE_BYTES = 6 << 20
+#: rows of batches joined for work that shares between texts
+GATHERED_ROWS = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,16 +31,16 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Join small batches to ones of at most ``BATCH_ROWS`` rows and about ``most`` bytes."""
+def gathered(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Join small batches to ones of at most ``rows`` rows and about ``most`` bytes."""
     held: list[pa.RecordBatch] = []
-    rows = size = 0
+    count = size = 0
     for batch in batches:
-        if held and (size + batch.nbytes > most or rows + batch.num_rows > BATCH_ROWS):
+        if held and (size + batch.nbytes > most or count + batch.num_rows > rows):
             yield pa.concat_batches(held)
-            held, rows, size = [], 0, 0
+            held, count, size = [], 0, 0
         held.append(batch)
-        rows, size = rows + batch.num_rows, size + batch.nbytes
+        count, size = count + batch.num_rows, size + batch.nbytes
     if held:
         yield pa.concat_batches(held)
 
@@ -85,8 +87,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             start = stop
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``fn`` to bounded slices of the named columns; it returns the output columns by name."""
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, gather: bool = False) -> DataFrame:
+    """Apply ``fn`` to bounded slices (joined from small ones, if asked for) of the named columns; it returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -94,7 +96,7 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(gathered(batches, rows=GATHERED_ROWS) if gather else batches):
             got = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 

@@ -1,27 +1,37 @@
 """SentencePiece encoding and decoding by a streaming Viterbi trellis.
 
 The trellis has a state for each boundary in the last ``longest piece``
-characters; a state holds the best last piece and a pointer back.  Text is
-pushed in parts of any size; whenever the pointers of all states that can still
-be extended lead back to one boundary, the ids up to it are final, are handed
-out and forgotten, so memory is bounded by the window and not by the text.
-
-Path metrics by model kind: for a unigram model, the sum of the piece scores;
-for a BPE model (the public vocabulary file is one), pieces a, b may follow
-each other exactly if merging their joint text ends in a, b - a path of such
-pairs is unique and is what merging the whole text gives, so the ids are the
-library's.  Characters outside the vocabulary are byte pieces.
+characters; a state holds the best sum of piece scores that reaches it, the
+last piece and a pointer back.  Text is pushed in parts of any size; whenever
+the pointers of all states that can still be extended lead back to one
+boundary, the ids up to it are final, are handed out and forgotten, so memory
+is bounded by the window and not by the text (``Encoder``).
+
+All paths also meet before a space mark, if no piece holds one after another
+character.  ``Lanes`` runs the same trellis for all distinct runs between such
+boundaries in a slice of texts at once, a character of each at a time, as array
+operations; runs that are longer than nearly all others are streamed.
+
+Which steps the trellis has depends on the kind of model.  In a unigram model
+any piece may follow any other.  A BPE model (the public vocabulary file is
+one) is defined by merging and not by its sums, so there a step from piece a to
+piece b is admitted exactly if merging their joint text gives a, b; the paths
+of such steps are what merging the whole text gives, and one is left for each
+boundary, so that the ids are the library's.  Characters outside the vocabulary
+are byte pieces, with the library's penalty.
 
 Normalisation: none but a space before the text and "▁" for spaces (the
 file's own settings); ``decode`` undoes both, so a round trip is exact.
 
 Cases: a null or empty text has no ids and decodes to the empty text; null and
-repeated ids and other columns do not matter.  A text that holds the mark "▁"
-itself decodes to a space there, as in the library; ``round_trip`` says so.
+repeated ids and other columns do not matter; a very long text comes alone in
+its slice.  A text that holds the mark "▁" itself decodes to a space
+there, as in the library; ``round_trip`` says so.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -55,7 +65,8 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         #: no piece holds a space mark after another character, so all paths meet before a word
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.least = min(self.scores.values(), default=0.0)
+        #: the score of a character outside the vocabulary
+        self.unknown = min(self.scores.values(), default=0.0) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def follows(self, a: str, b: str) -> bool:
@@ -98,19 +109,16 @@ class Encoder:
             for start in range(max(0, end - v.longest), end):
                 state = states[start]
                 piece = text[start:end]
-                if state is None or piece not in v.ids:
+                score = v.scores.get(piece)
+                if state is None or score is None:
                     continue
                 before = state[1] if start else self.last
-                if v.kind == "bpe":
-                    if not before or before not in v.ids or v.follows(before, piece):
-                        best = (0.0, piece, start)
-                        break
-                else:
-                    score = state[0] + v.scores[piece]
-                    if best is None or score > best[0]:
-                        best = (score, piece, start)
-            if best is None and text[end - 1] not in v.ids and states[end - 1] is not None:
-                best = (states[end - 1][0] + v.least - 10, text[end - 1], end - 1)
+                if v.kind == "bpe" and before in v.ids and not v.follows(before, piece):
+                    continue
+                if best is None or state[0] + score > best[0]:
+                    best = (state[0] + score, piece, start)
+            if text[end - 1] not in v.ids and states[end - 1] is not None and (best is None or states[end - 1][0] + v.unknown > best[0]):
+                best = (states[end - 1][0] + v.unknown, text[end - 1], end - 1)
             states.append(best)
         return self._settle(False)
 
@@ -141,50 +149,212 @@ class Encoder:
         return self._settle(True)
 
 
+class Lanes:
+    """The trellis over many short runs at once.
+
+    Runs are sorted by length, the longest first, and stored row by row: row r
+    has the r-th characters of all runs that are so long.  A boundary's number is
+    that of the character before it plus the number of runs.
+    """
+
+    #: slots of the table of known pairs of pieces, in each of two ways
+    SLOTS = 1 << 20
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = v = vocabulary
+        many = sorted({c for p in v.ids if len(p) > 1 for c in p})
+        self.klass = np.zeros(0x110000, np.uint16)  # characters of longer pieces; the others are met one by one
+        self.klass[[ord(c) for c in many]] = np.arange(1, len(many) + 1)
+        klass = {c: k + 1 for k, c in enumerate(many)}
+        nodes: dict[str, int] = {"": 0}
+        for p in v.ids:
+            if len(p) > 1:
+                for k in range(1, len(p) + 1):
+                    nodes.setdefault(p[:k], len(nodes))
+        self.next = np.zeros((len(nodes), len(many) + 1), np.int32)  # 0: no such child
+        self.piece = np.full(len(nodes), -1, np.int32)
+        for p, n in nodes.items():
+            if p:
+                self.next[nodes[p[:-1]], klass[p[-1]]] = n
+                if len(p) > 1:
+                    self.piece[n] = v.ids.get(p, -1)
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, i in v.ids.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        self.names = {i: p for p, i in v.ids.items()}
+        self.scores = np.full(max(len(v.raw), 1), v.unknown)
+        for p, i in v.ids.items():
+            self.scores[i] = v.scores[p]
+        self.pairs = np.full((2, self.SLOTS), -1, np.int64)
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * len(self.scores) + b
+        with np.errstate(over="ignore"):
+            slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) & (self.SLOTS - 1)
+        got = self.pairs[0, slot]
+        other = np.flatnonzero(got >> 1 != key)
+        got[other] = self.pairs[1, slot[other]]
+        other = other[got[other] >> 1 != key[other]]
+        if len(other):
+            new, at, back = np.unique(key[other], return_index=True, return_inverse=True)
+            ok = np.fromiter((self.v.merged(x + y) == [x, y] for x, y in ((self.names[k // len(self.scores)], self.names[k % len(self.scores)]) for k in new.tolist())), np.int64, len(new))
+            got[other] = ok[back]
+            here = slot[other][at]
+            way = (self.pairs[0, here] >= 0).astype(np.int64)
+            self.pairs[way, here] = new * 2 + ok
+        return (got & 1).astype(bool)
+
+    def __call__(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all (not empty) runs, and the number of each run."""
+        n = len(runs)
+        lengths = np.fromiter(map(len, runs), np.int64, n)
+        order = np.argsort(-lengths, kind="stable")
+        sizes = lengths[order]
+        chars = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4")
+        first = (np.cumsum(lengths) - lengths)[order]
+        most = int(sizes[0]) if n else 0
+        width = np.searchsorted(-sizes, -np.arange(1, most + 1), side="right")  # runs with a character in row r
+        row0 = np.concatenate([[0], np.cumsum(width)])
+        lane = np.concatenate([np.arange(w) for w in width]) if most else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(most), width)
+        text = chars[first[lane] + row]
+        code = self.klass[text]
+        after = row0[row + 1] + lane
+        after[lane >= np.append(width, 0)[row + 1]] = -1
+        start = np.where(row > 0, n + row0[np.maximum(row - 1, 0)] + lane, lane)  # the boundary before a character
+        # all pieces in the runs, by length: the first and last character, the piece
+        alone = self.single[text]
+        lost = np.flatnonzero(alone < 0)
+        alone[lost] = [self.v.bytes.get(c, -1) if c < 128 else -1 for c in text[lost].tolist()] if len(lost) else alone[lost]
+        found = [(np.arange(len(text)), np.arange(len(text)), alone)]
+        at = np.flatnonzero(code)
+        end, node = at, self.next[0, code[at]]
+        for _ in range(self.v.longest - 1):
+            live = np.flatnonzero((node > 0) & (after[end] >= 0))
+            at, end = at[live], after[end[live]]
+            node = self.next[node[live], code[end]]
+            hit = np.flatnonzero(self.piece[node] >= 0)
+            if len(hit):
+                found.append((at[hit], end[hit], self.piece[node[hit]]))
+            if not len(at):
+                break
+        begin, end, piece = (np.concatenate(x) for x in zip(*found))
+        by_row = np.argsort(row[end].astype(np.uint16 if most < 65536 else np.int64), kind="stable")
+        begin, end, piece = begin[by_row], end[by_row], piece[by_row]
+        cuts = np.searchsorted(row[end], np.arange(most + 1))
+        total = n + len(text)
+        score, last, back = np.full(total, -np.inf), np.full(total, -1, np.int32), np.zeros(total, np.int64)
+        score[:n] = 0.0
+        known = np.zeros(len(self.scores) + 1, bool)  # pieces that are no bytes; the last place is for none
+        known[list(self.names)] = True
+        merging = self.v.kind == "bpe"
+        costs = np.append(self.scores, self.v.unknown)
+        for r in range(most):
+            part = slice(cuts[r], cuts[r + 1])
+            p, s = piece[part], start[begin[part]]
+            sums = score[s] + costs[p]
+            ok = sums > -np.inf
+            if merging:
+                tied = np.flatnonzero(ok & known[last[s]] & known[p])
+                ok[tied] = self.follows(last[s[tied]], p[tied])
+            at = np.flatnonzero(ok)
+            at = at[np.argsort(sums[at], kind="stable")]  # the best one is written last, of equals the longest
+            e = n + end[part][at]
+            score[e], last[e], back[e] = sums[at], p[at], s[at]
+        # walk back from the ends of all runs together
+        now = np.where(sizes > 0, n + row0[np.maximum(sizes - 1, 0)] + np.arange(n), 0)
+        if np.isinf(score[now]).any():
+            raise ValueError("the vocabulary has no path for a text")
+        steps, lanes = [], np.arange(n)
+        while len(lanes):
+            steps.append((lanes, last[now], now - n))
+            now = back[now]
+            more = now >= n
+            now, lanes = now[more], lanes[more]
+        counts = np.bincount(np.concatenate([x[0] for x in steps]), minlength=n) if steps else np.zeros(n, np.int64)
+        ends = np.cumsum(counts)
+        ids, char = np.empty(int(ends[-1]) if n else 0, np.int64), np.empty(int(ends[-1]) if n else 0, np.int64)
+        for k, (lanes, p, c) in enumerate(steps):
+            ids[ends[lanes] - 1 - k], char[ends[lanes] - 1 - k] = p, c
+        wide = np.flatnonzero(ids < 0)
+        if len(wide):  # characters of several byte pieces
+            parts = [[self.v.bytes[b] for b in chr(text[c]).encode("utf-8", "surrogatepass")] for c in char[wide].tolist()]
+            size = np.ones(len(ids), np.int64)
+            size[wide] = list(map(len, parts))
+            owner = np.repeat(np.arange(n), counts)
+            ids, whole = np.repeat(ids, size), np.repeat(np.isin(np.arange(len(size)), wide), size)
+            ids[whole] = np.concatenate([np.array(x) for x in parts])
+            counts = np.bincount(owner, size, n).astype(np.int64)
+        # back to the order of the runs
+        result = np.empty(n, np.int64)
+        result[order] = counts
+        place = np.empty(n, np.int64)
+        place[order] = np.cumsum(counts) - counts
+        return ranges(ids.astype(np.uint32), place, result), result
+
+
+def ranges(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The concatenation of values[start : start + count]."""
+    ends = np.cumsum(count)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)]
+
+
 class Coder:
-    """Whole texts; the ids of short words, between whose ends all paths meet, come from a table of bounded size."""
+    """Whole texts, a slice of them at a time."""
 
-    LONG, PART = 48, 4096
+    #: a run is streamed if fewer runs of the slice than this are so long
+    FEW, PART = 16, 4096
 
-    def __init__(self, path: str, kind: str = "bpe", most: int = 500_000):
-        self.v, self.most, self.known, self.old = Vocabulary(path, kind), most, {}, {}
+    def __init__(self, path: str | Vocabulary, kind: str = "bpe"):
+        self.v = path if isinstance(path, Vocabulary) else Vocabulary(path, kind)
+        self.lanes = Lanes(self.v)
 
     def stream(self, text: str) -> list[int]:
-        """Through the trellis alone."""
+        """ids of a marked text, from a window alone."""
         coder, ids = Encoder(self.v), []
         for k in range(0, len(text), self.PART):
             ids += coder.push(text[k : k + self.PART])
         return ids + coder.finish()
 
-    def encode(self, text: str) -> bytes:
-        """ids as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        marked = SPACE + text.replace(" ", SPACE)
-        if not self.v.words_apart or SPACE in text:
-            return np.array(self.stream(marked), "<u4").tobytes()
-        # a run of marks belongs to the word after it
-        words = marked.replace(SPACE, "\0" + SPACE).split("\0")[1:] if "\0" not in text and SPACE * 2 not in marked else self._words(marked)
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            for k in [k for k, p in enumerate(parts) if p is None]:
-                w = words[k]
-                parts[k] = self.known.get(w) or self.old.get(w) or np.array(self.stream(w), "<u4").tobytes()
-                if len(w) <= self.LONG:
-                    if len(self.known) >= self.most:  # words in use move over from the old table
-                        self.known, self.old = {}, self.known
-                    self.known[w] = parts[k]
-        return b"".join(parts)
-
     @staticmethod
-    def _words(marked: str) -> list[str]:
-        import re
-
-        return re.findall(f"{SPACE}+[^{SPACE}]*", marked)
+    def _runs(text: str) -> list[str]:
+        """The text between boundaries, each without the space mark before it; further marks belong to the run after them."""
+        if "  " not in text and text[-1] != " " and text[0] != " ":
+            return text.split(" ")
+        return [m[1:].replace(" ", SPACE) for m in re.findall(" +[^ ]*", " " + text)]
+
+    def encode(self, values: list[str]) -> list[np.ndarray]:
+        """ids of each text."""
+        split: list = []
+        for t in values:
+            split.append([] if not t else self._runs(t) if self.v.words_apart and SPACE not in t else None)
+        number: dict[str, int] = {}
+        for runs in split:
+            if runs:
+                number.update(dict.fromkeys(runs))
+        distinct = list(number)
+        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct)) + 1
+        limit = int(np.sort(lengths)[-self.FEW]) if len(lengths) >= self.FEW else 0
+        short = [SPACE + w for w in distinct if len(w) < limit]
+        ids, counts = self.lanes(short) if short else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        long_ = [np.array(self.stream(SPACE + w), np.uint32) for w in distinct if len(w) >= limit]
+        for k, w in enumerate([*(w for w in distinct if len(w) < limit), *(w for w in distinct if len(w) >= limit)]):
+            number[w] = k
+        ids = np.concatenate([ids, *long_])
+        counts = np.concatenate([counts, np.array(list(map(len, long_)), np.int64)])
+        first = np.cumsum(counts) - counts
+        out = []
+        for t, runs in zip(values, split):
+            if runs is None:
+                out.append(np.array(self.stream(SPACE + t.replace(" ", SPACE)), np.uint32))
+            else:
+                at = np.fromiter(map(number.__getitem__, runs), np.int64, len(runs))
+                out.append(ranges(ids, first[at], counts[at]))
+        return out
 
-    def decode(self, data: bytes) -> str:
-        raw = self.v.raw
-        return b"".join(map(raw.__getitem__, memoryview(data).cast("I"))).decode("utf-8", "replace")[1:]
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.v.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -201,28 +371,25 @@ def digests(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         c = coder(path, kind)
-        limits = (min(c.v.byte_ids, default=0), max(c.v.byte_ids, default=-1))
-        out = {"doc_id": batch.column("doc_id"), "n_ids": [], "ids_crc32": [], "n_byte_ids": [], "round_trip": []}
-        for t in texts(batch):
-            data = c.encode(t)
-            ids = np.frombuffer(data, "<u4")
-            out["n_ids"].append(len(ids))
-            out["ids_crc32"].append(zlib.crc32(data))
-            out["n_byte_ids"].append(int(((ids >= limits[0]) & (ids <= limits[1])).sum()))
-            out["round_trip"].append(c.decode(data) == t)
-        return out
+        single = np.zeros(len(c.v.raw), bool)
+        single[list(c.v.byte_ids)] = True
+        values = texts(batch)
+        found = c.encode(values)
+        return {
+            "doc_id": batch.column("doc_id"), "n_ids": list(map(len, found)), "ids_crc32": [zlib.crc32(x.astype("<u4", copy=False)) for x in found],
+            "n_byte_ids": [int(single[x].sum()) for x in found], "round_trip": [c.decode(x) == t for x, t in zip(found, values)],
+        }
 
-    return map_texts(docs, ["doc_id", "text"], run, SCHEMA)
+    return map_texts(docs, ["doc_id", "text"], run, SCHEMA, gather=True)
 
 
 def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     """doc_id and the ids themselves."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        c = coder(path, kind)
-        return {"doc_id": batch.column("doc_id"), "ids": [np.frombuffer(c.encode(t), "<i4") for t in texts(batch)]}
+        return {"doc_id": batch.column("doc_id"), "ids": [x.view(np.int32) for x in coder(path, kind).encode(texts(batch))]}
 
-    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, ids array<int>")
+    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, ids array<int>", gather=True)
 
 
 def decode(rows: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
@@ -230,6 +397,6 @@ def decode(rows: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         c = coder(path, kind)
-        return {"doc_id": batch.column("doc_id"), "text": [c.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]}
+        return {"doc_id": batch.column("doc_id"), "text": [c.decode(np.array(x or [], np.uint32)) for x in batch.column("ids").to_pylist()]}
 
     return map_texts(rows.withColumn("text", F.lit("")), ["doc_id", "ids", "text"], run, "doc_id long, text string")
