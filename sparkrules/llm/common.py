@@ -12,48 +12,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and text bytes that one call of a text function sees at most (a longer single text comes alone).
-BATCH_ROWS = 1000
+#: Rows and text bytes that one call of a text function sees at most (a longer single text comes alone).  Spark itself
+#: bounds the bytes of an Arrow batch.
+SLICE_ROWS = 2000
 SLICE_BYTES = 6 << 20
-#: rows of batches joined for work that shares between texts
-GATHERED_ROWS = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, as texts can be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
-
-
-def gathered(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Join small batches to ones of at most ``rows`` rows and about ``most`` bytes."""
-    held: list[pa.RecordBatch] = []
-    count = size = 0
-    for batch in batches:
-        if held and (size + batch.nbytes > most or count + batch.num_rows > rows):
-            yield pa.concat_batches(held)
-            held, count, size = [], 0, 0
-        held.append(batch)
-        count, size = count + batch.num_rows, size + batch.nbytes
-    if held:
-        yield pa.concat_batches(held)
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that clash with none of ``taken`` (names are compared without case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only in local mode, where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkrules-"))
-        where = sc._jsc.sc().getCheckpointDir().get()
-    return where.rstrip("/")
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="sparkrules-"))
+    return (where or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
@@ -68,35 +56,34 @@ def delete(*frames: DataFrame) -> None:
     for df in frames:
         jvm = df.sparkSession._jvm
         for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most ``most`` bytes of the text column."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``rows`` rows and ``most`` bytes of the text column."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = batch.column(text).cast(pa.binary())
-        ends = np.cumsum(pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, gather: bool = False) -> DataFrame:
-    """Apply ``fn`` to bounded slices (joined from small ones, if asked for) of the named columns; it returns the output columns by name."""
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """Apply ``fn`` to bounded slices of the named columns; it returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    bounded_batches(df.sparkSession)
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(gathered(batches, rows=GATHERED_ROWS) if gather else batches):
+        for part in slices(batches):
             got = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
@@ -105,7 +92,6 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
 
 def keep_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """Rows of ``df``, all columns, for which ``fn`` (True to keep, by row of a slice) holds."""
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -1,9 +1,11 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges are first contracted inside each partition by union-find, so that few
-steps remain.  No node's neighbours are gathered: a step takes a minimum for
-each node (combined before the shuffle) and joins it back, which splits nodes
-of very many edges.
+Edges are first contracted inside each partition by union-find, in tables of
+bounded size, so that few steps remain.  No node's neighbours are gathered: a
+step takes a minimum for each node (combined before the shuffle) and joins it
+back.  Nodes with more than a ``CROWDED``-th part of all edges, of which there
+can be no more than twice that number, are joined by broadcast, the others by a
+shuffle in which no node has more rows than that part.
 """
 
 from __future__ import annotations
@@ -16,6 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: nodes that a partition's contraction holds at once
+MOST_NODES = 1_000_000
+CROWDED = 1000
+
+
 class Sets:
     """Union-find over integers; the smallest member is the root."""
 
@@ -40,32 +47,48 @@ class Sets:
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets = Sets()
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        found = [(x, r) for x in list(sets.up) if (r := sets.find(x)) != x]
+        for k in range(0, len(found), 50_000):
+            both = np.array(found[k : k + 50_000], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             sets.join(a, b)
-    pairs = [(x, r) for x in list(sets.up) if (r := sets.find(x)) != x]
-    if pairs:
-        both = np.array(pairs, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        if len(sets.up) > MOST_NODES:
+            yield from pairs()
+            sets = Sets()
+    yield from pairs()
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with m, the least neighbour of ``a`` or ``a`` itself."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
+    crowded = F.broadcast(least.where(F.col("n") * CROWDED >= total).select("k", F.col("m").alias("mc")))
+    most = edges.join(crowded, F.col("a") == F.col("k"), "left").drop("k")
+    few = least.where(F.col("n") * CROWDED < total).select("k", "m")
+    rest = most.where("mc is null").drop("mc").join(few, F.col("a") == F.col("k")).select("a", "b", "m")
+    return rest.unionByName(most.where("mc is not null").select("a", "b", F.col("mc").alias("m")))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 50) -> DataFrame:
     """(node, root) for every node of an edge; the root is the smallest node of the component."""
     now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     now = now.mapInArrow(_contract, "a long, b long").checkpoint()  # a > b from here on
     state = _state(now)
     for _ in range(most):
+        total = 2 * state[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a node that is its own least keeps its edges to larger ones
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(least, F.col("a") == F.col("n")).select("a", "b", "m")
+        small = _with_least(large, total)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = small.select("e.a", "e.b").where("a <> b").distinct()
         now = small.checkpoint()

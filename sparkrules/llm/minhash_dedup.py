@@ -18,10 +18,18 @@ components verified, dealt out in pairs of blocks.
 
 Words are runs without ASCII white space, shingles ``WIDTH`` of them (a text of
 fewer words is one shingle, one without words links with exact copies alone).
+
+A document is known by (doc_id, text): different texts of one doc_id are
+documents of their own, of which none is dropped on account of the other.  A
+group has the smallest doc_id in it for a name; of its documents the one with
+the smallest (doc_id, digest) is kept, so groups that share a doc_id can share
+a name and still keep a document each.
+
 Cases: null texts are empty texts and copies of each other; a null doc_id links
-with nothing and stays; rows that share a doc_id are one document, of which
-``keep`` lets one row stay.  Other columns are ignored by ``groups`` and carried
-along by ``keep``.
+with nothing and stays; rows of equal doc_id and text are one document, all
+marked alike by ``groups``; ``keep`` lets the one stay whose columns come first
+as JSON.  A very long text is a slice of its own, its shingles 8 bytes a word.
+Other columns are ignored by ``groups`` and carried along by ``keep``.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import deal, runs, sides
-from sparkrules.llm.common import WordHashes, map_texts, mix, split_words, store, texts, window_hashes
+from sparkrules.llm.common import WordHashes, delete, free_names, map_texts, mix, split_words, store, texts, window_hashes
 from sparkrules.llm.components import Sets, components
 
 WIDTH = 5
@@ -157,7 +165,7 @@ def _shingled(hashes: WordHashes):
     def run(batch: pa.RecordBatch) -> dict:
         found, counts = shingles(texts(batch), hashes)
         cuts = np.split(found, np.cumsum(counts)[:-1])
-        return {"doc_id": batch.column("doc_id"), "bag": [x.tobytes() for x in cuts]}
+        return {"node": batch.column("node"), "bag": [x.tobytes() for x in cuts]}
 
     return run
 
@@ -200,49 +208,67 @@ def _check_blocks(least: float):
     return run
 
 
-def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest exact copy), group_id, kept."""
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
+def _digest(text: str = "text"):
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id and digest of every row; and for each text the smallest doc_id, that of its group, and the group's first (doc_id, digest)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest"))
     signed = map_texts(rows, ["doc_id", "digest", "text"], _sign(WordHashes()), "doc_id long, digest binary, bands array<long>")
     signed = store(signed, "signatures")
     named = signed.where("doc_id is not null")
-    classes = store(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")), "classes")
-    nodes = classes.where("bands is not null").select(F.col("class_id").alias("doc"), "bands")
-    member = nodes.select("doc", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("hb"), "head")
-    crowded = store(member.join(heads, F.col("bucket") == F.col("hb")).select("doc", "bucket", "head"), "buckets")
-    pairs = crowded.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct()
-    wanted = crowded.select(F.col("doc").alias("w")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
-    bags = store(map_texts(chosen, ["doc_id", "text"], _shingled(WordHashes()), "doc_id long, bag binary"), "bags")
-    bag = lambda n: bags.select(F.col("doc_id").alias(f"k{n}"), F.col("bag").alias(f"bag_{n}"))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
+    # written once, so the numbers hold
+    classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = classes.where("bands is not null").select("node", "bands")
+    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    heads = member.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("hb"), "head")
+    crowded = store(member.join(heads, F.col("bucket") == F.col("hb")).select("node", "bucket", "head"), "buckets")
+    pairs = crowded.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    wanted = crowded.select(F.col("node").alias("w")).distinct().join(classes, F.col("w") == F.col("node")).select("node", F.col("class_id").alias("wd"), F.col("digest").alias("wg"))
+    chosen = rows.join(wanted, (F.col("doc_id") == F.col("wd")) & (F.col("digest") == F.col("wg"))).select("node", "text")
+    bags = store(map_texts(chosen, ["node", "text"], _shingled(WordHashes()), "node long, bag binary"), "bags")
+    again = store(bags.groupBy("node").count().where("count > 1").select(F.col("node").alias("t")), "repeated-bags")
+    if not again.isEmpty():  # rows that repeat doc_id and text have a bag each
+        twice = bags.join(again, F.col("node") == F.col("t"), "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
+        bags = store(bags.join(again, F.col("node") == F.col("t"), "left_anti").unionByName(twice), "bags")
+    bag = lambda n: bags.select(F.col("node").alias(f"k{n}"), F.col("bag").alias(f"bag_{n}"))
     both = pairs.join(bag("a"), F.col("a") == F.col("ka")).join(bag("b"), F.col("b") == F.col("kb")).select("a", "b", "bag_a", "bag_b")
     links = store(both.mapInArrow(_check_pairs(least), "a long, b long"), "links")
-    roots = components(links)
-    rooted = crowded.join(roots, F.col("doc") == F.col("node"), "left").select("doc", "bucket", F.coalesce("root", "doc").alias("root"))
+    roots = components(links).withColumnRenamed("node", "rn")
+    rooted = crowded.join(roots, F.col("node") == F.col("rn"), "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("ob"))
     rest = rooted.join(open_, F.col("bucket") == F.col("ob"), "left_semi")
-    rest = rest.join(nodes.select(F.col("doc").alias("nd"), "bands"), F.col("doc") == F.col("nd")).join(bags, F.col("doc") == F.col("doc_id"))
-    rest = deal(rest.select("bucket", "doc", "root", "bands", "bag"), "bucket", "doc", BLOCK)
+    rest = rest.join(nodes.select(F.col("node").alias("nd"), "bands"), F.col("node") == F.col("nd")).join(bags.select(F.col("node").alias("nb"), "bag"), F.col("node") == F.col("nb"))
+    rest = deal(rest.select("bucket", F.col("node").alias("doc"), "root", "bands", "bag"), "bucket", "doc", BLOCK)
     more = store(rest.mapInArrow(_check_blocks(least), "a long, b long"), "more-links")
-    if more.isEmpty():
-        joined = roots
-    else:
-        joined = components(links.unionByName(more))
-    labelled = classes.select(F.col("digest").alias("d"), "class_id").join(joined, F.col("class_id") == F.col("node"), "left")
-    labelled = labelled.select("d", "class_id", F.coalesce("root", "class_id").alias("group_id"))
+    joined = roots if more.isEmpty() else components(links.unionByName(more)).withColumnRenamed("node", "rn")
+    delete(bags, crowded)
+    rooted = classes.join(joined, F.col("node") == F.col("rn"), "left").select("digest", "class_id", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("class_id", "digest")).alias("first")).select(F.col("root").alias("fr"), "first")
+    return signed.select("doc_id", "digest"), rooted.join(first, F.col("root") == F.col("fr")).select(F.col("digest").alias("d"), "class_id", "first")
+
+
+def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest exact copy), group_id, kept."""
+    rows, labelled = _grouped(docs, least)
     known = F.col("doc_id").isNotNull()
-    return signed.select("doc_id", "digest").join(labelled, F.when(known, F.col("digest")) == F.col("d"), "left").select(
-        "doc_id", "class_id", "group_id", F.coalesce(F.col("doc_id") == F.col("group_id"), ~known).alias("kept")
-    )
+    return rows.join(labelled, F.when(known, F.col("digest")) == F.col("d"), "left").select(
+        "doc_id", "class_id", F.col("first.class_id").alias("group_id"),
+        F.coalesce((F.col("doc_id") == F.col("first.class_id")) & (F.col("digest") == F.col("first.digest")), ~known).alias("kept"),
+    )
 
 
 def keep(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each group, with all its columns."""
-    gone = groups(docs, least).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    stays = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return stays
-    named = stays.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(stays.where("doc_id is null"))
+    rows, labelled = _grouped(docs, least)
+    i, g, n, row = free_names(docs.columns, "_doc", "_digest", "_rows", "_row")
+    # what does not simply stay: documents that are not the first of their group (no rows), and those of several rows
+    each = rows.where("doc_id is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).join(labelled, F.col("digest") == F.col("d"))
+    is_first = (F.col("doc_id") == F.col("first.class_id")) & (F.col("digest") == F.col("first.digest"))
+    marks = each.select(F.col("doc_id").alias(i), F.col("digest").alias(g), F.when(is_first, F.col("n")).otherwise(0).alias(n)).where(F.col(n) != 1)
+    both = docs.join(marks, (F.col("doc_id").cast("long") == F.col(i)) & (_digest() == F.col(g)), "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    several = both.where(F.col(n) > 1).groupBy(i, g).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
+    return both.where(F.col(n).isNull()).select(*docs.columns).unionByName(several)

@@ -13,13 +13,16 @@ its predecessor) goes to the shard of its word, which counts, builds a trie of
 memory-mapped levels (words; below each its predecessors; quantised scores) and
 answers the look-ups of that shard.  The numerator needs the word and the pair
 alone, and the denominator belongs to the preceding word's own token, so every
-token is looked up in one shard, and sums by document come back.  Words with
+token is looked up in one shard, and sums by document come back.  A shard has
+about ``SHARD_TOKENS`` tokens, their number grows with the corpus.  Words with
 more than a set share of all tokens are spread over the shards by predecessor,
-with their counts sent along; their number is bounded by that share.
+with their counts sent along; there are at most ``MOST_OFTEN`` of them, so that
+beyond 65 billion tokens the largest shard is a 65,536th of the corpus.
 
 Words are known by 64-bit hashes, predecessors by 32 bits of one.  Cases: a
 null text is empty and has the end alone; null doc_ids are learned from (their
-fold is unknown) and scored; repeated rows count and are scored one by one;
+fold is unknown) and scored; repeated rows count and are scored one by one; a
+very long text is a slice of its own, split over the shards like others;
 without training tokens all scores are 0.  Other columns are ignored.
 """
 
@@ -36,15 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import runs
-from sparkrules.llm.common import WordHashes, bounded_batches, crc_of_id, gathered, map_texts, mix, slices, split_words, store, texts
+from sparkrules.llm.common import WordHashes, crc_of_id, map_texts, mix, slices, split_words, store, texts
 from sparkrules.llm.elias_fano import Trie
 
 FOLDS, HELD = 7, 2
 PRIOR = 200.0
-SHARD_TOKENS = 2_000_000
-#: rows of an Arrow batch: a row can hold some ten thousand tokens
-ROWS = 50
-MOST_SHARDS = 65_536
+SHARD_TOKENS = 1_000_000
+#: words spread by predecessor (their counts, 1 MB at most, go to every task), and tasks over which the shards are dealt
+MOST_OFTEN, MOST_PARTITIONS = 65_536, 50_000
 END, BEGIN = np.uint64(0x656E64656E64656E), np.uint64(0x626567696E626567)
 _LOG = np.log10
 
@@ -84,7 +86,7 @@ def _events(shards: int, heavy: np.ndarray):
         from pyspark import TaskContext
 
         hashes, name = WordHashes(), TaskContext.get().partitionId() << 32
-        for part in slices(gathered(batches)):
+        for part in slices(batches):
             w, n = tokens(texts(part), hashes)
             doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
             u = np.concatenate([[BEGIN], w[:-1]])
@@ -97,18 +99,18 @@ def _events(shards: int, heavy: np.ndarray):
             shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
             order = np.lexsort((w, shard))
             w, u, doc, shard = w[order], u[order], doc[order], shard[order]
-            at = np.concatenate([np.searchsorted(shard, np.arange(shards)), [len(shard)]])
+            at = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
             rows = {f.name: [] for f in schema}
             ids = part.column("doc_id")
             info = (ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), n.tobytes(), np.array(part.column("held").to_pylist(), bool).tobytes())
             held = np.array(part.column("held").to_pylist(), bool)
-            for s in np.flatnonzero(np.diff(at)).tolist():
-                x = slice(at[s], at[s + 1])
+            for k, s in enumerate(shard[at[:-1]].tolist()):
+                x = slice(at[k], at[k + 1])
                 new = np.flatnonzero(np.concatenate([[True], w[x][1:] != w[x][:-1]]))
                 sizes = np.diff(np.append(new, len(w[x]))).astype(np.uint32)
                 d = doc[x].astype(np.uint16) | (held[doc[x]].astype(np.uint16) << np.uint16(15))
-                for k, v in zip(schema.names, (name, s, False, w[x][new].tobytes(), sizes.tobytes(), u[x].tobytes(), d.tobytes())):
-                    rows[k].append(v)
+                for column, v in zip(schema.names, (name, s, False, w[x][new].tobytes(), sizes.tobytes(), u[x].tobytes(), d.tobytes())):
+                    rows[column].append(v)
             for k, v in zip(schema.names, (name, name % shards, True, *info)):
                 rows[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
@@ -235,14 +237,13 @@ def score(docs: DataFrame, prior: float = PRIOR, shard_tokens: int = SHARD_TOKEN
     total, distinct = sums["total"] or 0, sums["distinct"]
     once, twice = sums["once"] or 0, sums["twice"] or 0
     discount = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
-    shards = min(MOST_SHARDS, max(1, -(-total // shard_tokens)))
-    # at most 8 * shards words can have so large a share
-    often = counts.where(F.col("n") * 8 * shards >= total).collect() if total and shards > 1 else []
+    shards = max(1, -(-total // shard_tokens))
+    # at most MOST_OFTEN words can have so large a share
+    often = counts.where(F.col("n") * min(8 * shards, MOST_OFTEN) >= total).collect() if total and shards > 1 else []
     heavy = {int(np.int64(r["w"]).view(np.uint64)): r["n"] for r in often}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounded_batches(spark, ROWS)
     events = rows.mapInArrow(_events(shards, np.array(sorted(heavy), np.uint64)), EVENTS)
-    events = events.repartition(max(parts, shards), "shard").sortWithinPartitions("shard")
+    events = events.repartition(max(parts, min(shards, MOST_PARTITIONS)), "shard").sortWithinPartitions("shard")
     found = events.mapInArrow(_shards(heavy, total, discount, prior), SUMS)
     back = found.repartition(parts, "slice").sortWithinPartitions("slice")
     return back.mapInArrow(_total(total, distinct, discount, prior, sums["docs"] or 0), RESULT)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkrules.llm.common import bounded_batches, slices, texts
+from sparkrules.llm.common import slices, texts
 
 LENGTH = 1024
 END_ID = 0
@@ -198,7 +198,6 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    bounded_batches(docs.sparkSession)
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
     key = (tokenizer, ranks, pattern)
 

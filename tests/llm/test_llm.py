@@ -252,6 +252,20 @@ def test_minhash_groups(docs, rows, empty):
     assert minhash_dedup.groups(empty).count() == 0 and minhash_dedup.keep(empty).count() == 0
 
 
+def test_minhash_keeps_different_texts_of_one_id(spark):
+    a, b, c = prose(120), prose(120), prose(60)
+    near = b.replace(" ", "  ", 3) + " more"
+    rows = [(1, a, "x"), (1, b, "y"), (2, near, "z"), (3, c, "b"), (3, c, "a"), (3, c, "b"), (4, c, "c"), (1, None, "n"), (5, "", "e"), (None, a, "q"), (2, "one", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string").withColumns({"_doc": F.lit(1), "_digest": F.lit("d"), "node": F.lit(2)}).repartition(4)
+    got = minhash_dedup.groups(df).collect()
+    assert len(got) == len(rows)
+    kept = minhash_dedup.keep(df)
+    assert kept.columns == df.columns
+    # of (1, b) and (2, near) the first stays; of c's rows the one that is first as JSON; empty texts are copies
+    assert Counter((r["doc_id"], r["text"], r["_gone"]) for r in kept.collect()) == Counter([(1, a, "x"), (1, b, "y"), (3, c, "a"), (1, None, "n"), (None, a, "q"), (2, "one", "r")])
+    assert {(g["doc_id"], g["group_id"]) for g in got if g["kept"]} == {(1, 1), (3, 3), (None, None), (2, 2)}
+
+
 def test_minhash_estimates_weighted_jaccard():
     hashes = common.WordHashes()
     errors = []
