@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the cluster's shared folder; set one of our own only where none is set."""
+    """Use the cluster's shared folder; set one of our own only in local mode, where none is set."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="sparkrules-")

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sparkrules.functions import allen
 from sparkrules.functions.exact import average_exact, exact_sum
+from sparkrules.operators.numbering import ensure_checkpoint_dir
 from sparkrules.plans.ir import (
     Accumulate, Call, Collect, Contains, Group, GroupBy, In, Lit, Matches, Op, Pattern, QueryDef, Ref, RuleError, Temporal, refs,
 )
@@ -573,10 +574,7 @@ def query_rows(world: World, name: str) -> tuple[DataFrame, list]:
             raise RuleError(f"{name}: the recursive call may not come first")
         params = [v.lstrip("$") for _, v in q.params]
         base = _branch(world, q, q.branches[0]).select(*params)
-        if not world.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
-
-            world.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkrules-"))
+        ensure_checkpoint_dir(world.spark)
         delta = rows = base.checkpoint()
         total, steps = delta.count(), 0
         while True:
