@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrules.llm.common import join_counted
+
 
 def deal(posted: DataFrame, key: str, member: str, block: int, least: int = 2) -> DataFrame:
     """``posted`` rows of lists of at least ``least`` members, with c1, c2 (the pair of chunks) and c (the row's own), grouped and sorted by them."""
-    lengths = posted.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    lengths = lengths.select(F.col(key).alias("_k"), F.ceil(F.col("_n") / block).cast("int").alias("_n"))
-    rows = posted.join(lengths, F.col(key) == F.col("_k")).withColumn("c", F.pmod(F.xxhash64(member), F.col("_n")).cast("int"))
+    lengths = posted.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rows = join_counted(posted, key, lengths).withColumn("_n", F.ceil(F.col("n") / block).cast("int")).drop("k", "n")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64(member), F.col("_n")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.withColumn("c1", F.least("c", "_o")).withColumn("c2", F.greatest("c", "_o")).drop("_k", "_n", "_o")
+    rows = rows.withColumn("c1", F.least("c", "_o")).withColumn("c2", F.greatest("c", "_o")).drop("_n", "_o")
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, key, "c1", "c2").sortWithinPartitions(key, "c1", "c2")
 

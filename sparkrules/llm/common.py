@@ -60,6 +60,25 @@ def delete(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: keys with more than so small a part of all rows are joined by broadcast; there can be no more of them than this
+CROWDED = 1000
+
+
+def join_counted(rows: DataFrame, key: str, keyed: DataFrame) -> DataFrame:
+    """``rows`` with the row of ``keyed`` (k, n: how many rows have that key, others) of their key; rows without one go.
+
+    A key of very many rows would make one task of a shuffle join long, so those
+    keys, few by their definition, are joined by broadcast.
+    """
+    total = keyed.agg(F.sum("n").alias("_total"))  # one row
+    marked = keyed.crossJoin(F.broadcast(total)).withColumn("_crowded", F.col("n") * CROWDED >= F.col("_total")).drop("_total")
+    crowded = F.broadcast(marked.where("_crowded").select(F.col("k").alias("_k"), F.struct(*keyed.columns).alias("_of")))
+    most = rows.join(crowded, F.col(key) == F.col("_k"), "left").drop("_k")
+    hit = most.where("_of is not null").select(*rows.columns, "_of.*")
+    rest = most.where("_of is null").drop("_of").join(marked.where("not _crowded").select(*keyed.columns), F.col(key) == F.col("k"))
+    return hit.unionByName(rest)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``rows`` rows and ``most`` bytes of the text column."""
     for batch in batches:

@@ -3,9 +3,7 @@
 Edges are first contracted inside each partition by union-find, in tables of
 bounded size, so that few steps remain.  No node's neighbours are gathered: a
 step takes a minimum for each node (combined before the shuffle) and joins it
-back.  Nodes with more than a ``CROWDED``-th part of all edges, of which there
-can be no more than twice that number, are joined by broadcast, the others by a
-shuffle in which no node has more rows than that part.
+back, nodes of very many edges by broadcast (``join_counted``).
 """
 
 from __future__ import annotations
@@ -17,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrules.llm.common import join_counted
 
 #: nodes that a partition's contraction holds at once
 MOST_NODES = 1_000_000
-CROWDED = 1000
 
 
 class Sets:
@@ -67,14 +65,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
+def _with_least(edges: DataFrame) -> DataFrame:
     """Edges with m, the least neighbour of ``a`` or ``a`` itself."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
-    crowded = F.broadcast(least.where(F.col("n") * CROWDED >= total).select("k", F.col("m").alias("mc")))
-    most = edges.join(crowded, F.col("a") == F.col("k"), "left").drop("k")
-    few = least.where(F.col("n") * CROWDED < total).select("k", "m")
-    rest = most.where("mc is null").drop("mc").join(few, F.col("a") == F.col("k")).select("a", "b", "m")
-    return rest.unionByName(most.where("mc is not null").select("a", "b", F.col("mc").alias("m")))
+    least = edges.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return join_counted(edges, "a", least.withColumn("m", F.least("k", "m"))).select("a", "b", "m")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 50) -> DataFrame:
@@ -83,12 +77,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 50) ->
     now = now.mapInArrow(_contract, "a long, b long").checkpoint()  # a > b from here on
     state = _state(now)
     for _ in range(most):
-        total = 2 * state[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a node that is its own least keeps its edges to larger ones
         large = large.where("a <> b").distinct()
-        small = _with_least(large, total)
+        small = _with_least(large)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = small.select("e.a", "e.b").where("a <> b").distinct()
         now = small.checkpoint()

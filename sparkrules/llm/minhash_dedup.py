@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import deal, runs, sides
-from sparkrules.llm.common import WordHashes, delete, free_names, map_texts, mix, split_words, store, texts, window_hashes
+from sparkrules.llm.common import WordHashes, delete, free_names, join_counted, map_texts, mix, split_words, store, texts, window_hashes
 from sparkrules.llm.components import Sets, components
 
 WIDTH = 5
@@ -223,8 +223,8 @@ def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = classes.where("bands is not null").select("node", "bands")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("hb"), "head")
-    crowded = store(member.join(heads, F.col("bucket") == F.col("hb")).select("node", "bucket", "head"), "buckets")
+    heads = member.groupBy(F.col("bucket").alias("k")).agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    crowded = store(join_counted(member, "bucket", heads).select("node", "bucket", "head"), "buckets")
     pairs = crowded.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     wanted = crowded.select(F.col("node").alias("w")).distinct().join(classes, F.col("w") == F.col("node")).select("node", F.col("class_id").alias("wd"), F.col("digest").alias("wg"))
     chosen = rows.join(wanted, (F.col("doc_id") == F.col("wd")) & (F.col("digest") == F.col("wg"))).select("node", "text")
@@ -238,8 +238,8 @@ def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     links = store(both.mapInArrow(_check_pairs(least), "a long, b long"), "links")
     roots = components(links).withColumnRenamed("node", "rn")
     rooted = crowded.join(roots, F.col("node") == F.col("rn"), "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("ob"))
-    rest = rooted.join(open_, F.col("bucket") == F.col("ob"), "left_semi")
+    open_ = rooted.groupBy(F.col("bucket").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "n")
+    rest = join_counted(rooted, "bucket", open_).select("node", "bucket", "root")
     rest = rest.join(nodes.select(F.col("node").alias("nd"), "bands"), F.col("node") == F.col("nd")).join(bags.select(F.col("node").alias("nb"), "bag"), F.col("node") == F.col("nb"))
     rest = deal(rest.select("bucket", F.col("node").alias("doc"), "root", "bands", "bag"), "bucket", "doc", BLOCK)
     more = store(rest.mapInArrow(_check_blocks(least), "a long, b long"), "more-links")

@@ -7,14 +7,17 @@ other one.  Afterwards each view is calibrated on labelled rows that neither
 was fitted to, and a logistic combination of the calibrated views scores all
 documents.
 
-The fit uses at most ``MOST_LABELLED`` labelled rows and ``MOST_POOL`` others;
-every whole text is scored.
+The fit uses at most ``MOST_LABELLED`` labelled rows and ``MOST_POOL`` others,
+one row of a doc_id; the mean and spread of the content figures are those of
+all rows outside the fold, and every whole text is scored.
 
 Cases: a null text is empty; null source or language is a value of its own; a
 null n_chars is 0.  With labels of one class or none every score is that
-class's share (0.5 without labels).  Of repeated labels the lowest counts.
-Repeated rows have equal scores.  Other columns are ignored by ``score`` and
-carried along by ``keep``.
+class's share (0.5 without labels).  Of repeated labels the lowest counts; of
+rows that repeat a doc_id, the fit takes the one whose figures come first.
+Pool rows of which a view is equally sure come in the order of their rows.
+Repeated rows have equal scores.  A very long text is a slice of its own.  Other
+columns are ignored by ``score`` and carried along by ``keep``.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.common import crc_of_id, keep_texts, map_texts, texts
+from sparkrules.llm.common import crc_of_id, keep_texts, map_texts, slices, texts
 from sparkrules.llm.learning import decide, fit_logistic, sample_ids, sigmoid
 
 MOST_LABELLED = 6_000
@@ -126,8 +129,18 @@ def _calibrated(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
     return got if got[0] > 0 else np.array([0.0, got[1]])
 
 
-def fit(x: np.ndarray, z: np.ndarray, y: np.ndarray, hold: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """x, z: the views; y: 1, 0 or -1 (pool); hold: labelled rows kept for calibration."""
+def handed_over(p: np.ndarray, free: np.ndarray, share: float, most: int) -> list[tuple[np.ndarray, int]]:
+    """Free pool rows by label that a view of probabilities ``p`` is surest of: at most ``most``, good and bad ones in the ratio of its own."""
+    sides = []
+    for label, sure in ((1, p), (0, 1 - p)):
+        rows = np.flatnonzero(free & (sure >= SURE))
+        sides.append((rows[np.argsort(-sure[rows], kind="stable")], share if label else 1 - share, label))
+    whole = min(most, *(len(rows) / max(part, 1e-9) for rows, part, _ in sides))
+    return [(rows[: int(whole * part + 1e-9)], label) for rows, part, label in sides]
+
+
+def fit(x: np.ndarray, z: np.ndarray, y: np.ndarray, hold: np.ndarray, rounds: int = ROUNDS, figures: tuple | None = None) -> Model:
+    """x, z: the views; y: 1, 0 or -1 (pool); hold: labelled rows kept for calibration; figures: mean and spread of x."""
     known = y >= 0
     if len(set(y[known].tolist())) < 2:
         share = y[known].mean() if known.any() else 0.5
@@ -137,7 +150,7 @@ def fit(x: np.ndarray, z: np.ndarray, y: np.ndarray, hold: np.ndarray, rounds: i
         start = known
     else:
         start = known & ~hold
-    mean, spread = x.mean(0), x.std(0) + 1e-3
+    mean, spread = figures or (x.mean(0), x.std(0) + 1e-3)
     views = [((x - mean) / spread).astype(np.float64), z.astype(np.float64)]
     mine = [np.where(start, y, -1), np.where(start, y, -1)]  # what each view learns from
     models = [None, None]
@@ -150,11 +163,8 @@ def fit(x: np.ndarray, z: np.ndarray, y: np.ndarray, hold: np.ndarray, rounds: i
         most = max(1, int(SHARE * (y < 0).sum()))
         for k in (0, 1):
             p = sigmoid(decide(views[k], models[k]))
-            free = (y < 0) & (mine[1 - k] < 0)
-            for label, sure in ((1, p), (0, 1 - p)):
-                rows = np.flatnonzero(free & (sure >= SURE))
-                share = mine[k][mine[k] >= 0].mean() if label else 1 - mine[k][mine[k] >= 0].mean()
-                rows = rows[np.argsort(-sure[rows], kind="stable")][: max(1, int(most * share))]
+            share = float(mine[k][mine[k] >= 0].mean())
+            for rows, label in handed_over(p, (y < 0) & (mine[1 - k] < 0), share, most):
                 mine[1 - k][rows] = label
     held = known & hold
     scales = np.array([_calibrated(decide(v[held], m), y[held].astype(float)) for v, m in zip(views, models)])
@@ -163,13 +173,32 @@ def fit(x: np.ndarray, z: np.ndarray, y: np.ndarray, hold: np.ndarray, rounds: i
     return model
 
 
+def figures(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and spread of the content figures of all texts; None if there are none."""
+
+    def run(batches):
+        n, total = 0, np.zeros((2, N_CONTENT))
+        for part in slices(batches):
+            x = content_features(texts(part)).astype(np.float64)
+            n += len(x)
+            total += [x.sum(0), (x * x).sum(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total[0]], pa.list_(pa.float64())), pa.array([total[1]], pa.list_(pa.float64()))], names=["n", "s", "q"])
+
+    sums = [F.sum(F.col(c)[k]) for c in ("s", "q") for k in range(N_CONTENT)]
+    got = docs.select("text").mapInArrow(run, "n long, s array<double>, q array<double>").agg(F.sum("n"), F.array(*sums[:N_CONTENT]), F.array(*sums[N_CONTENT:])).first()
+    if not got[0]:
+        return None
+    mean = np.array(got[1]) / got[0]
+    return mean, np.sqrt(np.maximum(np.array(got[2]) / got[0] - mean * mean, 0)) + 1e-3
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from a bounded sample of labelled rows outside the held-out fold and a bounded pool."""
     fold = crc_of_id() % FOLDS != HELD
     marks = labels.where(fold & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    ids = docs.where(fold & F.col("doc_id").isNotNull()).select("doc_id")
+    open_ = docs.where(fold & F.col("doc_id").isNotNull())
     chosen = (
-        sample_ids(marks, MOST_LABELLED).unionByName(sample_ids(ids, MOST_POOL).withColumn("y", F.lit(-1)))
+        sample_ids(marks, MOST_LABELLED).unionByName(sample_ids(open_.select("doc_id").distinct(), MOST_POOL).withColumn("y", F.lit(-1)))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
 
@@ -178,13 +207,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return {"doc_id": b.column("doc_id"), "x": list(x), "z": list(z)}
 
     # at most both bounds together, so small enough to send to every executor
-    part = docs.select(*COLUMNS).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select(*COLUMNS)
+    part = open_.select(*COLUMNS).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select(*COLUMNS)
     found = map_texts(part, COLUMNS, features, "doc_id long, x array<float>, z array<float>")
-    rows = found.join(F.broadcast(chosen), "doc_id").select("x", "z", "y", (crc_of_id() % FOLDS == CALIBRATE).alias("hold")).toArrow()
+    found = found.groupBy("doc_id").agg(F.min(F.struct("x", "z")).alias("one")).select("doc_id", "one.*")
+    rows = found.join(F.broadcast(chosen), "doc_id").select("x", "z", "y", (crc_of_id() % FOLDS == CALIBRATE).alias("hold"), "doc_id").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return _flat(0.0)
     wide = lambda k: rows.column(k).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-    return fit(wide("x"), wide("z"), rows.column("y").to_numpy(), rows.column("hold").to_numpy())
+    return fit(wide("x"), wide("z"), rows.column("y").to_numpy(), rows.column("hold").to_numpy(), figures=figures(open_))
 
 
 SCHEMA = "doc_id long, content_score double, metadata_score double, score double"

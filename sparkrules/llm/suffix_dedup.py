@@ -9,18 +9,23 @@ content, and the longest common prefix with both neighbours bounds how far any
 match reaches to the right.  Inside that bound, matches are extended to the
 left and equal passages named; the first place of a passage, by (doc_id, text
 hash, position), keeps it, all later ones are repeats.  The result is exact:
-every passage that occurs twice is found, and none else (up to hash collisions).
+every passage that occurs twice is found, and none else (up to hash collisions, below).
 
 A seed of many occurrences is sorted in chunks; a chunk then passes on its
 first place of each passage, and the smallest of these is taken by an
 aggregation that combines before its shuffle.
 
+Suffixes are compared by 31 bits of each word's hash and passages named by 64
+bits of these, within one seed (64 bits of the full hashes): two passages that
+differ in a single word are taken for one with a probability of 2^-31.
+
 Words are runs without ASCII white space; spans are in words.  Cases: null and
 short texts have no passages; a null doc_id has none either and stays as it is;
 rows of equal doc_id and text are one document, with the same spans in each.
+A very long text is a slice of its own, its minimisers chosen part by part.
 ``remove`` cuts repeats out and drops documents of which no word is left; of
-the rows of one document of ``PASSAGE`` words or more it keeps one.  Other
-columns are carried along, n_chars is counted anew where there is one.
+the rows of one document of ``PASSAGE`` words or more it keeps the one whose
+columns come first as JSON.  Other columns are carried along, n_chars is counted anew where there is one.
 """
 
 from __future__ import annotations
@@ -35,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import whole_runs
-from sparkrules.llm.common import WordHashes, map_texts, split_words, store, texts, window_hashes
+from sparkrules.llm.common import WordHashes, free_names, map_texts, slices, split_words, store, texts, window_hashes
 
 PASSAGE = 50
 SEED = 8
 CHUNK = 1024
 #: suffixes that a worker holds as matrices at once
 BLOCK = 6_000
+#: windows whose minimisers are found at once
+PART = 8_000_000
 SIDE = PASSAGE - SEED
 _LOW = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -55,18 +62,21 @@ def minimisers(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     seeds = window_hashes(h, SEED)
     if len(h) < PASSAGE:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(h) > int(_LOW):
-        raise ValueError("a text of more than 16 million words")
-    m = (seeds & ~_LOW) | np.arange(len(seeds), dtype=np.uint64)
-    width, whole = 1, PASSAGE - SEED + 1
-    while width * 2 <= whole:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    if width < whole:
-        m = np.minimum(m[: len(m) - (whole - width)], m[whole - width :])
-    ends = np.cumsum(counts)
-    inside = np.arange(len(m)) + PASSAGE <= np.repeat(ends, counts)[: len(m)]
-    at = np.unique(m[inside] & _LOW).astype(np.int64)
+    ends, windows = np.cumsum(counts), len(h) - PASSAGE + 1
+    inside = np.arange(windows) + PASSAGE <= np.repeat(ends, counts)[:windows]
+    whole, parts = PASSAGE - SEED + 1, []
+    for start in range(0, windows, PART):  # positions in a part fit into the low bits
+        stop = min(start + PART, windows)
+        near = seeds[start : stop + whole - 1]
+        m = (near & ~_LOW) | np.arange(len(near), dtype=np.uint64)
+        width = 1
+        while width * 2 <= whole:
+            m = np.minimum(m[:-width], m[width:])
+            width *= 2
+        if width < whole:
+            m = np.minimum(m[: len(m) - (whole - width)], m[whole - width :])
+        parts.append((m[inside[start:stop]] & _LOW).astype(np.int64) + start)
+    at = np.unique(np.concatenate(parts))
     return at, seeds[at]
 
 
@@ -136,9 +146,9 @@ def _matches(table: pa.Table) -> tuple[np.ndarray, ...]:
         start = SIDE - o
         names = (sums[rows, start + PASSAGE] - sums[rows, start]) * _INVERSE[start]
     # equal passages have their seed at the same offset
-    order = np.lexsort((table.column("pos").to_numpy()[rows] - o, table.column("digest").to_numpy()[rows], table.column("doc_id").to_numpy()[rows], o, names))
-    a, b = names[order], o[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    order = np.lexsort((table.column("pos").to_numpy()[rows] - o, table.column("digest").to_numpy()[rows], table.column("doc_id").to_numpy()[rows], seed[rows], o, names))
+    a, b, c = names[order], o[order], seed[rows][order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
     alone = new & np.append(new[1:], True)
     first = np.zeros(len(rows), np.int8)
     first[order] = np.where(alone, 2, new)  # 0 later, 1 first of several, 2 alone
@@ -171,7 +181,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of matched passages; of chunked seeds also the chunk's first places (kind 2, with the passage's name)."""
-    names = ["doc_id", "digest", "kind", "start", "end", "name"]
+    names = ["doc_id", "digest", "kind", "start", "end", "name", "seed"]
     held: list[list[np.ndarray]] = []
 
     def flush():
@@ -188,11 +198,11 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = first < 2
         if pick.any():
             cols = _merge(doc[pick], digest[pick], (first[pick] > 0).astype(np.int64), start[pick], start[pick] + PASSAGE)
-            held.append([*cols, np.zeros(len(cols[0]), np.int64)])
+            held.append([*cols, np.zeros(len(cols[0]), np.int64), np.zeros(len(cols[0]), np.int64)])
         head = (first > 0) & (t.column("chunks").to_numpy()[rows] > 1)
         if head.any():
             names_ = (name[head] + o[head].astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
-            held.append([doc[head], digest[head], np.full(len(names_), 2, np.int64), start[head], start[head] + PASSAGE, names_])
+            held.append([doc[head], digest[head], np.full(len(names_), 2, np.int64), start[head], start[head] + PASSAGE, names_, t.column("seed").to_numpy()[rows][head]])
         if sum(len(x[0]) for x in held) > 50_000:
             yield flush()
     if held:
@@ -220,12 +230,12 @@ def spans(docs: DataFrame) -> DataFrame:
     suffixes = suffixes.select("*", chunks.alias("chunks"), F.pmod(F.xxhash64("doc_id", "pos"), chunks).alias("chunk"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartition(parts, "seed", "chunk").sortWithinPartitions("seed", "chunk", "right", "doc_id", "digest", "pos")
-    matched = store(ordered.mapInArrow(_search, "doc_id long, digest long, kind long, start long, end long, name long"), "matches")
+    matched = store(ordered.mapInArrow(_search, "doc_id long, digest long, kind long, start long, end long, name long, seed long"), "matches")
     heads = matched.where("kind = 2")
     place = F.struct("doc_id", "digest", "start")
-    best = heads.groupBy("name").agg(F.min(place).alias("best"), F.max(place).alias("most"))
-    best = best.where("best <> most").select(F.col("name").alias("bn"), "best")
-    joined = heads.join(best, F.col("name") == F.col("bn")).withColumn("kind", F.when(place == F.col("best"), 1).otherwise(0).cast("long"))
+    best = heads.groupBy("name", "seed").agg(F.min(place).alias("best"), F.max(place).alias("most"))
+    best = best.where("best <> most").select(F.col("name").alias("bn"), F.col("seed").alias("bs"), "best")
+    joined = heads.join(best, (F.col("name") == F.col("bn")) & (F.col("seed") == F.col("bs"))).withColumn("kind", F.when(place == F.col("best"), 1).otherwise(0).cast("long"))
     # a chunk's later places are repeats of its first one, which is then shared as well
     inner = matched.where("kind <> 2").select("doc_id", "digest", "kind", "start", "end")
     all_ = inner.unionByName(joined.select("doc_id", "digest", "kind", "start", "end"))
@@ -277,27 +287,30 @@ def cut(text: str, removed: list[dict]) -> str:
 
 def remove(docs: DataFrame) -> DataFrame:
     """Documents without their repeats, with all their columns."""
-    got = spans(docs).where("size(removed) > 0").select(F.col("doc_id").alias("_sd"), F.col("digest").alias("_sg"), F.col("removed").alias("_cut"))
-    keys = [F.col("doc_id").cast("long").alias("_td"), F.xxhash64("text").alias("_tg")]
-    twins = docs.where("doc_id is not null").groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    got = got.join(twins, (F.col("_sd") == F.col("_td")) & (F.col("_sg") == F.col("_tg")), "full")
-    got = got.select(F.coalesce("_sd", "_td").alias("_sd"), F.coalesce("_sg", "_tg").alias("_sg"), "_cut", "_n")
-    both = docs.join(got, (docs["doc_id"].cast("long") == F.col("_sd")) & (F.xxhash64(docs["text"]) == F.col("_sg")), "left")
-    both = both.select(*(docs[c] for c in docs.columns), "_cut", "_n")
-    twin = F.col("_n").isNotNull() & F.coalesce(F.regexp_count("text", F.lit(_WORD.pattern)) >= PASSAGE, F.lit(False))
-    both = both.where(~twin).unionByName(both.where(twin).dropDuplicates(["doc_id", "text"])).drop("_n")
     names = docs.columns
+    i, g, c, n, row = free_names(names, "_doc", "_digest", "_cut", "_rows", "_row")
+    got = spans(docs).where("size(removed) > 0").select(F.col("doc_id").alias("sd"), F.col("digest").alias("sg"), "removed")
+    keys = [F.col("doc_id").cast("long").alias("td"), F.xxhash64("text").alias("tg")]
+    twins = docs.where("doc_id is not null").select(*keys).groupBy("td", "tg").agg(F.count("*").alias("n")).where("n > 1")
+    got = got.join(twins, (F.col("sd") == F.col("td")) & (F.col("sg") == F.col("tg")), "full")
+    got = got.select(F.coalesce("sd", "td").alias(i), F.coalesce("sg", "tg").alias(g), F.col("removed").alias(c), F.col("n").alias(n))
+    both = docs.join(got, (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64("text") == F.col(g)), "left")
+    plain = [F.col(f"`{x}`") for x in names]
+    twin = F.col(n).isNotNull() & F.coalesce(F.regexp_count("text", F.lit(_WORD.pattern)) >= PASSAGE, F.lit(False))
+    whole = F.struct(*plain)
+    several = both.where(twin).groupBy(i, g).agg(F.first(c).alias(c), F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*", c)
+    both = both.where(~twin).select(*plain, c).unionByName(several)
     counted = "n_chars" in names
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = batch.column("_cut").to_pylist()
+        for batch in slices(batches):
+            marks = batch.column(c).to_pylist()
             whole = batch.column("text").to_pylist()
             values = [cut(t, m) if m else t for t, m in zip(whole, marks)]
-            columns = {c: batch.column(c) for c in names}
+            columns = {x: batch.column(x) for x in names}
             columns["text"] = pa.array(values, schema.field("text").type)
             if counted:
                 old = batch.column("n_chars").to_pylist()

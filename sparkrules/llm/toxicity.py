@@ -7,15 +7,21 @@ logistic loss, by gradient descent in numpy; where the bracket turns negative,
 a step is taken back along it.  The margin is then scaled to a probability on
 the labelled rows.  Words are runs of letters and digits in lower case.
 
-Only the fit uses samples, and both bounds are parameters (``MOST_POSITIVE``,
-``MOST_UNLABELLED``); every whole text is scored.  The features are all words
-whose frequencies in P and U differ by ``LEAST_Z`` standard errors or more,
-however many; there, copies of a text count once on each side.
+Only the fit uses samples, one row of a doc_id, and their bounds are parameters
+(``MOST_POSITIVE``, ``MOST_UNLABELLED``, ``MOST_LABELLED``); how many texts hold
+a word is counted over all rows outside the fold, and every whole text is
+scored.  The features are all words whose frequencies in P and among all texts
+differ by ``LEAST_Z`` standard errors or more, however many; copies of a text
+in P count once there.  The driver gets the features of the sampled texts and
+two counts for each of ``BUCKETS`` hashed words.
 
 Cases: a null or empty text has the score of a text without known words; with
 no positive or no negative labels every score is the prior (0 without labels).
-Repeated labels of a document count as toxic if any does.  Rows are scored one
-by one, so repeated rows have equal scores.  Other columns are ignored.
+Repeated labels of a document count as toxic if any does; of rows that repeat a
+doc_id, the fit takes the one with the smallest text hash.  Rows are scored one
+by one, so repeated rows have equal scores; words of equal z are all features
+or none.  A very long text is a slice of its own and counts each word once.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.common import crc_of_id, map_texts, texts
+from sparkrules.llm.common import crc_of_id, map_texts, slices, store, texts
 from sparkrules.llm.learning import decide, fit_logistic, sample_ids, sigmoid
 
 BUCKETS = 1 << 18
@@ -123,20 +129,21 @@ def risk_gradient(xp, xu, w, b, prior):
     return prior * (gp @ xp) + neg_w, prior * float(gp.sum()) + neg_b, bracket
 
 
-def fit(positive: list, unlabelled: list, labelled: list, labels: np.ndarray, prior: float, steps: int = 300, ranked: tuple[list, list] | None = None) -> Model:
-    """``positive``, ``unlabelled``, ``labelled``: bucket lists; ``labels`` (0 or 1) of the last, for the scale; ``ranked``: the first two without copies."""
-    flat = lambda log_odds: Model({}, 0.0, 0.0, log_odds)
-    if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
-        return flat(-40.0 if prior <= 0 else 40.0 if prior >= 1 else float(np.log(prior / (1 - prior))))
-    once_p, once_u = ranked or (positive, unlabelled)
-    np_, nu = len(once_p), len(once_u)
-    cp, cu = _counts(once_p), _counts(once_u)
-    share = (cp + cu + 1.0) / (np_ + nu + 2.0)
+def telling(cp: np.ndarray, np_: int, cu: np.ndarray, nu: int) -> np.ndarray:
+    """Buckets whose shares of np_ positive and nu unlabelled texts differ clearly, the clearest first."""
+    share = np.clip((cp + cu + 1.0) / (np_ + nu + 2.0), 1e-12, 1 - 1e-12)
     z = (cp / np_ - cu / nu) / np.sqrt(share * (1 - share) * (1 / np_ + 1 / nu))
     order = np.argsort(-np.abs(z), kind="stable")
     features = order[np.abs(z[order]) >= LEAST_Z]
-    if not len(features):
-        features = order[:64]
+    return features if len(features) else order[:64]
+
+
+def fit(positive: list, unlabelled: list, labelled: list, labels: np.ndarray, prior: float, steps: int = 300, features: np.ndarray | None = None) -> Model:
+    """``positive``, ``unlabelled``, ``labelled``: bucket lists; ``labels`` (0 or 1) of the last, for the scale; ``features``: the buckets used."""
+    if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
+        return _flat(prior)
+    if features is None:
+        features = telling(_counts(positive), len(positive), _counts(unlabelled), len(unlabelled))
     xp, xu = Rows(positive, features), Rows(unlabelled, features)
     w, b = np.zeros(len(features)), float(np.log(prior / (1 - prior)))
     m, v, l2, rate = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 1e-5, 0.05
@@ -154,14 +161,44 @@ def fit(positive: list, unlabelled: list, labelled: list, labels: np.ndarray, pr
     return Model(dict(zip(features[keep].tolist(), w[keep].tolist())), b, float(scale), float(shift))
 
 
+def _flat(prior: float) -> Model:
+    return Model({}, 0.0, 0.0, -40.0 if prior <= 0 else 40.0 if prior >= 1 else float(np.log(prior / (1 - prior))))
+
+
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each bucket is, and the number of texts; counted in tables of fixed size, one a task."""
+
+    def run(batches):
+        total, rows, known = np.zeros(BUCKETS, np.int64), 0, {}
+        for part in slices(batches):
+            if len(known) > 400_000:
+                known.clear()
+            for t in texts(part):
+                words = words_of(t)
+                for w in [w for w in words if w not in known]:
+                    known[w] = bucket(w)
+                total[list(set(map(known.__getitem__, words)))] += 1
+                rows += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
+
+    # one row for a bucket
+    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[at[at >= 0]] = n[at >= 0]
+    return counts, int(n[at < 0].sum())
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from labels of rows outside the held-out fold and from a bounded sample of texts."""
+    """Learn from labels of rows outside the held-out fold, word counts of all such rows and a bounded sample of texts."""
     fold = crc_of_id() % FOLDS != HELD
     marks = labels.where(fold & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = marks.agg(F.avg("toxic"), F.count("*")).first()
     if not share[1]:
         return Model({}, 0.0, 0.0, -40.0)
-    ids = docs.where(fold & F.col("doc_id").isNotNull()).select("doc_id")
+    open_ = docs.where(fold & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    ids = open_.select("doc_id").distinct()
     chosen = (
         sample_ids(ids, MOST_UNLABELLED).select("doc_id", F.lit(2).alias("kind"))
         .unionByName(sample_ids(marks.where("toxic = 1"), MOST_POSITIVE).select("doc_id", F.lit(1).alias("kind")))
@@ -169,14 +206,34 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
     )
     # at most the three bounds together, so small enough to send to every executor
-    texts_ = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    found = map_texts(texts_, ["doc_id", "text"], _buckets, "doc_id long, digest long, buckets array<int>")
-    rows = found.join(F.broadcast(chosen), "doc_id").toArrow()
-    kinds, digests, buckets = rows.column("kinds").to_pylist(), rows.column("digest").to_pylist(), rows.column("buckets").combine_chunks()
+    found = map_texts(open_.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), ["doc_id", "text"], _buckets, "doc_id long, digest long, buckets array<int>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("digest", "buckets")).alias("one")).select("doc_id", "one.*")
+    found = store(found.join(F.broadcast(chosen), "doc_id"), "sampled-words")
+    positive = found.where(F.array_contains("kinds", 1)).dropDuplicates(["digest"])
+    got = positive.select(F.explode("buckets").alias("b")).groupBy("b").count().toArrow()  # at most BUCKETS rows
+    cp, np_ = np.zeros(BUCKETS, np.int64), positive.count()
+    cp[got.column("b").to_numpy()] = got.column("count").to_numpy()
+    cu, nu = frequencies(open_)
+    if not np_ or not nu:
+        return _flat(float(share[0]))
+    features = telling(cp, np_, cu, nu)
+    wanted = pa.array(features.astype(np.int32))
+
+    def picked(batches):
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column("buckets")
+            flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy()
+            owner, hit = np.repeat(np.arange(len(n)), n), pc.is_in(flat, wanted).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[hit], minlength=len(n)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("kinds"), pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(hit)))], names=["kinds", "buckets"])
+
+    rows = found.select("kinds", "buckets").mapInArrow(picked, "kinds array<int>, buckets array<int>").toArrow()
+    kinds, buckets = rows.column("kinds").to_pylist(), rows.column("buckets").combine_chunks()
     flat, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
     of = lambda *which: [flat[ends[i] : ends[i + 1]] for i, k in enumerate(kinds) if any(x in k for x in which)]
-    once = lambda which: [flat[ends[i] : ends[i + 1]] for i in {d: i for i, (d, k) in enumerate(zip(digests, kinds)) if which in k}.values()]
-    return fit(of(1), of(2), of(3, 4), np.array([int(4 in k) for k in kinds if 3 in k or 4 in k]), float(share[0]), ranked=(once(1), once(2)))
+    return fit(of(1), of(2), of(3, 4), np.array([int(4 in k) for k in kinds if 3 in k or 4 in k]), float(share[0]), features=features)
 
 
 SCHEMA = "doc_id long, score double"

@@ -344,6 +344,22 @@ def test_suffix_repeated_rows_are_one_document(spark, chunk, monkeypatch):
     assert left == Counter([(1, text[0]), (2, text[1]), (3, text[2]), (4, text[3]), (5, "too short"), (5, "too short"), (None, text[3]), (None, text[3]), (6, None), (6, None)])
 
 
+def test_suffix_helper_names_and_parts(spark, monkeypatch):
+    h = np.random.default_rng(0).integers(0, 50, 5000).astype(np.uint64)
+    counts = np.array([2000, 0, 2900, 100])
+    want = suffix_dedup.minimisers(h, counts)
+    monkeypatch.setattr(suffix_dedup, "PART", 333)
+    assert all((a == b).all() for a, b in zip(want, suffix_dedup.minimisers(h, counts)))
+    r = random.Random(9)
+    a, b = (" ".join(r.choice(WORDS) for _ in range(n)) for n in (90, 70))
+    rows = [(1, a, "x", "_"), (2, b + " " + a, "y", "_"), (3, b, "b", "_"), (3, b, "a", "_")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cut string, _SD string").withColumns({k: F.lit(k) for k in ("_sg", "_doc", "_digest", "_rows", "td", "sd", "removed", "hits")})
+    left = suffix_dedup.remove(df)
+    assert left.columns == df.columns
+    assert sorted((x["doc_id"], x["text"].strip(), x["_cut"], x["removed"]) for x in left.collect()) == [(1, a, "x", "removed"), (2, b, "y", "removed")]
+    assert suffix_dedup.repeats(df).where("n_removed_words > 0").select("doc_id").distinct().count() == 2
+
+
 def test_cut_keeps_the_rest():
     t = " a b\n\nc  d e\n"
     assert suffix_dedup.cut(t, [{"start": 1, "length": 2}]) == " a d e\n"
@@ -374,6 +390,28 @@ def test_embedding_links(spark, block):
     del found
 
 
+@pytest.mark.parametrize(("vectors", "dimension"), [(65_536, 64), (2**20, 24), (2**24, 64)])
+def test_pivot_recall_of_boundary_pairs(vectors, dimension):
+    """Pairs at a cosine of 0.9 to 0.92 under the plan for tables of several sizes."""
+    r = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, nearest = embedding_dedup.plan(vectors)
+    points, x = unit(r.normal(size=(pivots, dimension))), unit(r.normal(size=(600, dimension)))
+    z = r.normal(size=x.shape)
+    z, c = unit(z - (z * x).sum(1, keepdims=True) * x), r.uniform(0.9, 0.92, (600, 1))
+    a, b = (embedding_dedup.keys_of(v, points, nearest) for v in (x, c * x + np.sqrt(1 - c * c) * z))
+    assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() > 0.95
+
+
+def test_embedding_ids_repeat_and_names_clash(spark):
+    r = np.random.default_rng(4)
+    v = [[float(np.float32(y)) for y in x] for x in r.normal(size=(3, 6))]
+    rows = [(1, v[0]), (1, v[0]), (2, v[0]), (1, v[1]), (3, v[2]), (4, [0.0, -0.0] * 3), (5, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({k: F.lit(1) for k in ("vec", "rep", "key", "c", "node")}).repartition(3)
+    got = Counter(tuple(g) for g in embedding_dedup.link(df).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (1, 0, 1, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)])
+
+
 def test_embeddings_of_each_length_are_compared(spark):
     r = np.random.default_rng(8)
     a, b = r.normal(size=8).tolist(), r.normal(size=5).tolist()
@@ -416,9 +454,42 @@ def test_toxicity_held_out(spark, empty):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.score(docs, toxicity.train(docs, none)).where("score > 0.01").count() == 0
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
-    # the risk's negative part never falls below zero for good
-    xp, xu = np.eye(3, dtype=np.float32), np.ones((4, 3), np.float32)
-    assert toxicity.risk_gradient(xp, xu, np.full(3, -9.0), 0.0, 0.9)[2] <= 0.1
+
+
+@pytest.mark.parametrize("below", [False, True])
+def test_toxicity_gradient_is_that_of_the_risk(below):
+    """Finite differences, with the bracket above and below zero (there the step goes back along it)."""
+    r = np.random.default_rng(6)
+    xp, xu, w, b, prior = r.integers(0, 2, (9, 5)).astype(float), r.integers(0, 2, (40, 5)).astype(float), r.normal(size=5), 0.3, 0.4
+    if below:
+        xp, xu, prior = np.ones((9, 5)), np.zeros((40, 5)), 0.9
+        w, b = np.full(5, 0.5), -2.0
+
+    def risk(v):
+        p, u = xp @ v[:-1] + v[-1], xu @ v[:-1] + v[-1]
+        bracket = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+        return -bracket if bracket < 0 else prior * np.logaddexp(0, -p).mean() + bracket
+
+    gw, gb, bracket = toxicity.risk_gradient(xp, xu, w, b, prior)
+    assert (bracket < 0) == below
+    at, step = np.append(w, b), 1e-6
+    want = [(risk(at + step * e) - risk(at - step * e)) / (2 * step) for e in np.eye(6)]
+    assert np.allclose(np.append(gw, gb), want, atol=1e-6)
+    lists = lambda x: [np.flatnonzero(row) for row in x]
+    sparse = toxicity.risk_gradient(toxicity.Rows(lists(xp), np.arange(5)), toxicity.Rows(lists(xu), np.arange(5)), w, b, prior)
+    assert np.allclose(sparse[0], gw) and np.isclose(sparse[1], gb) and np.isclose(sparse[2], bracket)
+
+
+def test_toxicity_counts_all_rows_and_takes_one_of_an_id(spark):
+    docs, labels = marked(spark)
+    again = spark.createDataFrame([(5, "again again", "en", "s0", None)] * 50 + [(7, "", None, None, None), (None, "alone", None, None, None)], docs.schema)
+    docs = docs.unionByName(again).withColumns({"kind": F.lit(1), "kinds": F.lit(2), "digest": F.lit("d"), "buckets": F.lit(0), "one": F.lit(1)})
+    counts, n = toxicity.frequencies(docs)
+    want = Counter(b for r in docs.collect() for b in {toxicity.bucket(w) for w in toxicity.words_of(r["text"] or "")})
+    assert n == docs.count() and {k: int(c) for k, c in enumerate(counts) if c} == want
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(docs, model).count() == docs.count()
+    assert model.weights[toxicity.bucket(b"vile")] > 0
 
 
 def test_toxicity_keeps_every_telling_word():
@@ -439,6 +510,49 @@ def test_toxicity_copies_do_not_crowd_out_words(spark):
     assert all(model.weights.get(toxicity.bucket(w), 0) > 0 for w in (b"vile", b"rotten"))
 
 
+def test_quality_views_exchange_their_surest_rows():
+    r = random.Random(3)
+    for _ in range(30):
+        n, most, share = 40, r.randint(1, 12), r.random()
+        p, free = np.array([r.choice([0.01, 0.04, 0.5, 0.96, 0.99, r.random()]) for _ in range(n)]), np.array([r.random() < 0.7 for _ in range(n)])
+        got = dict((label, rows.tolist()) for rows, label in quality_classifier.handed_over(p, free, share, most))
+        left = {c: [k for k in range(n) if free[k] and (p[k] if c else 1 - p[k]) >= quality_classifier.SURE] for c in (1, 0)}
+        size = max(s / 100 for s in range(100 * most + 1) if all(s / 100 * q <= len(left[c]) + 1e-6 for c, q in ((1, share), (0, 1 - share))))
+        for c, q in ((1, share), (0, 1 - share)):
+            want = sorted(left[c], key=lambda k: (-(p[k] if c else 1 - p[k]), k))
+            assert got[c] == want[: len(got[c])] and size * q - 1 < len(got[c]) <= (size + 0.01) * q + 1e-6
+
+
+def test_quality_cotraining_uses_the_pool(spark):
+    """One view's labels teach the other: with few labels, the pool makes the metadata view better."""
+    r = np.random.default_rng(2)
+    n = 3000
+    good = r.random(n) < 0.5
+    x = r.normal(size=(n, 4)) + np.outer(good, [6, 0, 0, 0])
+    z = (r.random((n, 6)) < np.where(good[:, None], [0.7, 0.6, 0.6, 0.3, 0.4, 0.4], [0.3, 0.4, 0.4, 0.7, 0.6, 0.6])).astype(float)
+    z = np.hstack([z, r.random((n, 40)) < 0.5]).astype(float)  # and columns that say nothing
+    y = np.where(np.arange(n) < 80, good, -1).astype(int)
+    hold = np.arange(n) < 40
+    score = lambda m: ((z @ m.metadata[:-1] + m.metadata[-1] > 0) == good)[1000:].mean()
+    alone, both = (quality_classifier.fit(x, z, y, hold, rounds=k) for k in (0, 4))
+    assert score(both) > score(alone) + 0.02
+
+
+def test_quality_repeated_rows_and_names(spark):
+    docs, labels = marked(spark)
+    again = spark.createDataFrame([(5, "again again", "en", "s0", None)] * 50 + [(7, "", None, None, None), (None, "alone", None, None, None)], docs.schema)
+    docs = docs.unionByName(again).withColumns({"y": F.lit(1), "x": F.lit(2), "z": F.lit("d"), "one": F.lit(0), "hold": F.lit(1)})
+    rows = docs.collect()
+    features = quality_classifier.content_features([r["text"] or "" for r in rows]).astype(float)
+    mean, spread = quality_classifier.figures(docs)
+    assert np.allclose(mean, features.mean(0)) and np.allclose(spread, features.std(0) + 1e-3)
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.score(docs, model).collect()
+    assert len(got) == len(rows) and len({g["score"] for g in got if g["doc_id"] == 5}) == 2
+    assert quality_classifier.keep(docs, model).columns == docs.columns
+    assert Counter(g["kept"] for g in got)[True] == quality_classifier.keep(docs, model).count()
+
+
 def test_quality_held_out(spark, empty):
     docs, labels = marked(spark)
     model = quality_classifier.train(docs, labels)
