@@ -13,7 +13,9 @@ its predecessor) goes to the shard of its word, which counts, builds a trie of
 memory-mapped levels (words; below each its predecessors; quantised scores) and
 answers the look-ups of that shard.  The numerator needs the word and the pair
 alone, and the denominator belongs to the preceding word's own token, so every
-token is looked up in one shard, and sums by document come back.  A shard has
+token is looked up in one shard.  Its document and quantised score come back, 4
+bytes, and each word's count once for a slice of documents, so that what is
+shuffled grows with the tokens and not with the number of shards.  A shard has
 about ``SHARD_TOKENS`` tokens, their number grows with the corpus.  Words with
 more than a set share of all tokens are spread over the shards by predecessor,
 with their counts sent along; there are at most ``MOST_OFTEN`` of them, so that
@@ -40,13 +42,14 @@ from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import runs
 from sparkrules.llm.common import WordHashes, crc_of_id, map_texts, mix, slices, split_words, store, texts
-from sparkrules.llm.elias_fano import Trie
+from sparkrules.llm.elias_fano import Trie, quantise
 
 FOLDS, HELD = 7, 2
 PRIOR = 200.0
 SHARD_TOKENS = 1_000_000
 #: words spread by predecessor (their counts, 1 MB at most, go to every task), and tasks over which the shards are dealt
 MOST_OFTEN, MOST_PARTITIONS = 65_536, 50_000
+TOGETHER = 1_000_000
 END, BEGIN = np.uint64(0x656E64656E64656E), np.uint64(0x626567696E626567)
 _LOG = np.log10
 
@@ -175,18 +178,17 @@ def _shards(heavy: dict[int, int], total: float, discount: float, prior: float):
             if not t.num_rows:
                 continue
             col = lambda k, kind: [np.frombuffer(x, kind) for x in t.column(k).to_pylist()]  # noqa: E731,B023
-            docs = col("d", np.uint16)
+            docs, sizes = col("d", np.uint16), col("b", np.uint32)
             ends = np.cumsum([len(x) for x in docs])
-            w = np.repeat(np.concatenate(col("a", np.uint64)), np.concatenate(col("b", np.uint32)))
-            d = np.concatenate(docs)
-            c, num, den = score_shard(w, np.concatenate(col("c", np.uint32)), (d >> np.uint16(15)) == 0, heavy, total, discount, prior)
-            base, known, score = _LOG(c + 1), c > 0, np.where(np.isnan(num), 0.0, num) - den
-            d = d & np.uint16(0x7FFF)
+            w = np.repeat(np.concatenate(col("a", np.uint64)), np.concatenate(sizes))
+            held = (np.concatenate(docs) >> np.uint16(15)) == 1
+            c, num, den = score_shard(w, np.concatenate(col("c", np.uint32)), ~held, heavy, total, discount, prior)
+            codes, scale = quantise(np.where(np.isnan(num), 0.0, num) - den)
             out = {k: [] for k in ("slice", "info", "a", "b", "c", "d")}
-            for name, stop, n in zip(t.column("slice").to_pylist(), ends.tolist(), map(len, docs)):
-                x = slice(stop - n, stop)
-                ids, at = np.unique(d[x], return_inverse=True)
-                values = (ids, np.bincount(at, base[x]), np.bincount(at, score[x]), np.bincount(at, known[x]).astype(np.uint32))
+            for name, stop, doc, size in zip(t.column("slice").to_pylist(), ends.tolist(), docs, sizes):
+                start = stop - len(doc)
+                counts = c[start + np.cumsum(size, dtype=np.int64) - size]  # one for each word
+                values = (doc & np.uint16(0x7FFF), codes[start:stop], size, np.append(scale, counts.astype(np.float64)))
                 for k, v in zip(out, (name, False, *(y.tobytes() for y in values))):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays(
@@ -203,11 +205,21 @@ def _total(total: float, distinct: float, discount: float, prior: float, docs: f
             ids, valid = np.frombuffer(info["a"], np.int64), np.frombuffer(info["b"], bool)
             n, held = np.frombuffer(info["c"], np.int64), np.frombuffer(info["d"], bool)
             base, score, known = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64)
-            for r in t.filter(pc.invert(t.column("info"))).to_pylist():
-                at = np.frombuffer(r["a"], np.uint16)
-                base[at] += np.frombuffer(r["b"])
-                score[at] += np.frombuffer(r["c"])
-                known[at] += np.frombuffer(r["d"], np.uint32)
+            rest = t.filter(pc.invert(t.column("info")))
+            ends = np.cumsum([len(x) >> 1 for x in rest.column("a").to_pylist()], dtype=np.int64)
+            start = 0
+            while start < rest.num_rows:  # rows of a million tokens or so at once
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOGETHER, side="right")))
+                part = rest.slice(start, stop - start)
+                col = lambda k, kind: [np.frombuffer(x, kind) for x in part.column(k).to_pylist()]  # noqa: E731,B023
+                docs_, codes, tails = col("a", np.uint16), col("b", np.uint16), col("d", np.float64)
+                at, size = np.concatenate(docs_), [len(x) for x in docs_]
+                c = np.repeat(np.concatenate([x[2:] for x in tails]), np.concatenate(col("c", np.uint32)))
+                low, step = (np.repeat([x[k] for x in tails], size) for k in (0, 1))
+                base += np.bincount(at, _LOG(c + 1), len(n))
+                score += np.bincount(at, low + np.concatenate(codes) * step, len(n))
+                known += np.bincount(at, c > 0, len(n)).astype(np.int64)
+                start = stop
             base -= n * _LOG(total + distinct + 1)
             if total:
                 score += (n - known) * _LOG(prior * discount * distinct / total) - _LOG(docs + prior)
