@@ -70,13 +70,14 @@ def join_counted(rows: DataFrame, key: str, keyed: DataFrame) -> DataFrame:
     A key of very many rows would make one task of a shuffle join long, so those
     keys, few by their definition, are joined by broadcast.
     """
-    total = keyed.agg(F.sum("n").alias("_total"))  # one row
-    marked = keyed.crossJoin(F.broadcast(total)).withColumn("_crowded", F.col("n") * CROWDED >= F.col("_total")).drop("_total")
-    crowded = F.broadcast(marked.where("_crowded").select(F.col("k").alias("_k"), F.struct(*keyed.columns).alias("_of")))
-    most = rows.join(crowded, F.col(key) == F.col("_k"), "left").drop("_k")
-    hit = most.where("_of is not null").select(*rows.columns, "_of.*")
-    rest = most.where("_of is null").drop("_of").join(marked.where("not _crowded").select(*keyed.columns), F.col(key) == F.col("k"))
-    return hit.unionByName(rest)
+    shared_dir(rows.sparkSession)
+    keyed = keyed.checkpoint()
+    total, most = keyed.agg(F.sum("n"), F.max("n")).first()
+    crowded = F.col("n") * CROWDED >= (total or 0)
+    if not total or most * CROWDED < total:
+        return rows.join(keyed, F.col(key) == F.col("k"))
+    rest = rows.join(F.broadcast(keyed.where(crowded).select("k")), F.col(key) == F.col("k"), "left_anti")
+    return rows.join(F.broadcast(keyed.where(crowded)), F.col(key) == F.col("k")).unionByName(rest.join(keyed.where(~crowded), F.col(key) == F.col("k")))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -80,7 +80,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 50) ->
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a node that is its own least keeps its edges to larger ones
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b").distinct().checkpoint()
         small = _with_least(large)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = small.select("e.a", "e.b").where("a <> b").distinct()
