@@ -63,14 +63,17 @@ def relation(name: str, bs: Column, be: Column, as_: Column, ae: Column, p: tupl
     return _near(be, ae, p) & (bs < as_)
 
 
-#: how long an anchor A and an event B must be kept for the relation to be decided (None: for ever)
-def reach(name: str, p: tuple = ()) -> tuple[int | None, int | None]:
-    never: int | None = None
+#: least and most distance from the start of an anchor to that of the event, whatever the bounds (None: any)
+_SPANS = {
+    "coincides": (0, 0), "meets": (0, None), "metby": (None, 0), "overlaps": (None, 0), "overlappedby": (0, None), "during": (1, None),
+    "includes": (None, 0), "starts": (0, 0), "startedby": (0, 0), "finishes": (0, None), "finishedby": (None, 0),
+}
+
+
+def span(name: str, p: tuple = ()) -> tuple[int | None, int | None]:
+    """The least and most distance of the event from its anchor that the relation allows, as far as expiry goes by it."""
     if name == "after":
-        return p[1], (never if p[0] > 0 else max(0, -p[0]))
+        return p[0], p[1]
     if name == "before":
-        return (never if p[0] > 0 else max(0, -p[0])), p[1]
-    return {
-        "coincides": (0, 0), "meets": (never, 0), "metby": (0, never), "overlaps": (0, never), "overlappedby": (never, 0), "during": (never, never),
-        "includes": (0, never), "starts": (0, 0), "startedby": (0, 0), "finishes": (never, 0), "finishedby": (0, never),
-    }[name]
+        return -p[1], -p[0]
+    return _SPANS[name]

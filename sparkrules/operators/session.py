@@ -10,13 +10,19 @@ matches; supports are counted, so facts that support each other stay.
 
 Order inside a step is by (salience, handles); it names firings and handles but
 does not interleave consequences with matching.
+
+A rule is looked at again only after a type that its conditions read has
+changed (or the clock, where they read that).  External updates are gathered
+and applied together, in one pass over each type, before anything reads the
+facts; a handle of a fact that is gone is reported then.
 """
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
-from collections import defaultdict
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +33,11 @@ from sparkrules.operators.numbering import ensure_checkpoint_dir, numbered
 from sparkrules.plans import lints
 from sparkrules.plans.compile import Compilation, World, run_query
 from sparkrules.plans.drl import parse
-from sparkrules.plans.ir import Accumulate, Collect, Delete, Focus, GroupBy, Insert, Modify, Pattern, Program, Ref, RuleDef, RuleError, walk
+from sparkrules.plans.ir import Accumulate, Call, Collect, Delete, Focus, GroupBy, Insert, Modify, Pattern, Program, Ref, RuleDef, RuleError, Temporal, walk
 from sparkrules.plans.normalize import expand
 from sparkrules.sources.facts import FactType, Table, conform, infer, to_frame
 
 FIRE_LIMIT = 100_000
-#: up to so many supports, a chain of retractions is followed on the driver; beyond, level by level
-LOCAL_SUPPORTS = 200_000
 META = ("handle", "ep", "ts0", "stated")
 
 
@@ -41,14 +45,15 @@ def about() -> dict:
     return {"name": "sparkrules", "version": "0.1", "modes": ["set"], "order": "salience, declaration, handles"}
 
 
-@dataclasses.dataclass
 class FireResult:
-    """What a call of ``fire`` changed."""
+    """What a call of ``fire`` changed.  ``deleted`` has the handles as a frame; ``deleted_handles`` brings them to the driver."""
+
+    def __init__(self, fired: int, derived: dict[str, Table], deleted: DataFrame, firings: Table):
+        self.fired, self.derived, self.deleted, self.firings = fired, derived, deleted, firings
 
-    fired: int
-    derived: dict[str, Table]
-    deleted_handles: list[int]
-    firings: Table
+    @functools.cached_property
+    def deleted_handles(self) -> list[int]:
+        return sorted({r[0] for r in self.deleted.collect()})
 
 
 def _merged(actions: tuple) -> tuple:
@@ -80,32 +85,50 @@ class RuleSession:
             t = t if isinstance(t, FactType) else t.__fact__
             self.types[t.name] = t
         self.lints = lints.lint(rules, {n: t.expires_ms for n, t in self.types.items()})
+        self.negative = lints.negative_types(rules)
         self._clear()
         for name, data in (facts or {}).items():
             self.insert(name, data)
 
     def _clear(self) -> None:
         self.frames: dict[str, DataFrame] = {}
+        self.version: dict[str, int] = {}
         self.clock, self.next_handle, self.seq, self.started = 0, 1, 0, False
+        self.ranges: list[tuple[int, str]] = []  # first handle of a run of facts, and their type
         self.fired: dict[str, DataFrame] = {}
+        self.settled: dict[str, tuple] = {}  # what a rule's conditions read when nothing was pending
+        self.kept: dict[str, tuple] = {}  # the same, when all supports by a rule matched
+        self.changes: dict[int, dict] = {}
+        self.given: list[tuple[int, int]] = []  # handles put in from outside since the last report
+        self.gone: dict[str, DataFrame] = {}
+        self.depth: dict[str, int] = {}
         self.focus: list[str] = []
         self.support: DataFrame | None = None
         self.log: list[DataFrame] = []
-        self.pending_deleted: set[int] = set()
+        self.deleted: list[DataFrame] = []
+        self.marks: tuple | None = None  # next handle, firings and log entries since the last report
+        self.expires: dict[str, int | None] = {}
         for t in self.types.values():
             self._declare(t)
 
     def _declare(self, t: FactType) -> None:
         self.types[t.name] = t
         extra = [T.StructField("handle", T.LongType()), T.StructField("ep", T.StringType()), T.StructField("ts0", T.LongType()), T.StructField("stated", T.BooleanType())]
-        self.frames[t.name] = self.spark.createDataFrame([], T.StructType([*extra, *t.schema.fields]))
+        self._set(t.name, self.spark.createDataFrame([], T.StructType([*extra, *t.schema.fields])))
+        inferred = lints.expiry_closure(self.program, {n for n, k in self.types.items() if k.timestamp})
+        self.expires = {n: k.expires_ms if k.expires_ms is not None else inferred.get(n) for n, k in self.types.items() if k.timestamp}
+        self.expires = {n: e for n, e in self.expires.items() if e is not None and e >= 0}
+
+    def _set(self, name: str, df: DataFrame) -> None:
+        self.frames[name] = df
+        self.version[name] = self.version.get(name, 0) + 1
 
     def reset(self) -> None:
         """Forget facts, matches, supports and the clock; keep rules and types."""
         self._clear()
 
     def _world(self, **frames: DataFrame) -> World:
-        return World(self.spark, self.types, self.frames | frames, self.program.queries, self.clock)
+        return World(self.spark, self.types, self.frames | frames, self.program.queries, self.clock, self.gone)
 
     def _need_started(self, what: str) -> None:
         if not self.started:
@@ -115,78 +138,181 @@ class RuleSession:
 
     def insert(self, name, data: Any, entry_point: str | None = None) -> list[int]:
         """Add a batch; its handles, in order of its rows."""
+        self._apply()
         name = name if isinstance(name, str) else name.__fact__.name
         df = to_frame(self.spark, data, self.types.get(name))
         if name not in self.types:
             self._declare(infer(name, df))
-        df = conform(df, self.types[name])
-        df = df.withColumn("_at", F.monotonically_increasing_id())
-        df, n = numbered(df, ["_at"], "handle", self.next_handle)
+        df, n = numbered(conform(df, self.types[name]), [], "handle", self.next_handle)
         first = self.next_handle
-        self._append(name, df.drop("_at"), True, entry_point)
+        self._append(name, df, n, True, entry_point)
+        self.given.append((first, first + n))
         return range(first, first + n)
 
     def insert_row(self, name, entry_point: str | None = None, **fields) -> int:
         return self.insert(name, [fields], entry_point)[0]
 
-    def _append(self, name: str, df: DataFrame, stated: bool, entry_point: str | None = None) -> None:
+    def _append(self, name: str, df: DataFrame, n: int, stated: bool, entry_point: str | None = None) -> None:
+        """Add ``n`` rows that have consecutive handles from the next one on."""
+        if not n:
+            return
         t = self.types[name]
         ts = F.col(t.timestamp) if t.timestamp else F.lit(None)
         rows = df.select(
             F.col("handle").cast("bigint").alias("handle"), F.lit(entry_point).cast("string").alias("ep"), ts.cast("bigint").alias("ts0"), F.lit(stated).alias("stated"), *(F.col(n).cast(t.kind(n)) for n in t.names)
-        ).checkpoint()
-        top = rows.agg(F.max("handle")).first()[0]
-        if top is not None:
-            self.next_handle = max(self.next_handle, top + 1)
-        self.frames[name] = self.frames[name].unionByName(rows)
-
-    def update(self, handle: int, **fields) -> None:
+        )
+        self.ranges.append((self.next_handle, name))
+        self.next_handle += n
+        old = self.frames[name]
+        # the plan of the numbered rows is short; many of them are made one
+        self.depth[name] = self.depth.get(name, 0) + 1
+        both = old.unionByName(rows)
+        if self.depth[name] % 8 == 0:
+            both = both.checkpoint()
+        self._set(name, both)
+
+    def update(self, handle, **fields) -> None:
+        """New values for a fact, for several (handles), or for each handle of a frame its own (columns named like the fields)."""
         self._need_started("update")
-        name = self._type_of(handle)
-        t = self.types[name]
-        unknown = set(fields) - set(t.names)
+        if isinstance(handle, DataFrame):
+            self._apply()
+            names, hit = self._types_of(handle), 0
+            for name in names:
+                self._check_fields(name, set(handle.columns) - {"handle"})
+            for name in names:
+                hit += self._overwrite(name, handle)
+            if hit < handle.count():
+                raise RuleError("no fact has one of the handles")
+            return
+        if not fields:
+            raise RuleError("update: no fields given")
+        for h in handle if isinstance(handle, Iterable) else [handle]:
+            self._check_fields(self._type_of(h), fields)
+            self.changes.setdefault(int(h), {}).update(fields)
+
+    def _check_fields(self, name: str, fields) -> None:
+        unknown = set(fields) - set(self.types[name].names)
         if unknown:
             raise RuleError(f"{name} has no fields {sorted(unknown)}")
-        hit = F.col("handle") == handle
-        self.frames[name] = self.frames[name].withColumns({k: F.when(hit, F.lit(v).cast(t.kind(k))).otherwise(F.col(k)) for k, v in fields.items()}).checkpoint()
 
-    def delete(self, handle: int) -> list[int]:
-        """Delete a fact; the handles that fell with it."""
+    def _apply(self) -> None:
+        """Write the gathered updates: one join for each type and set of fields."""
+        if not self.changes:
+            return
+        groups: dict[tuple, list[tuple]] = {}
+        for h, fields in self.changes.items():
+            name = self._type_of(h)
+            groups.setdefault((name, tuple(sorted(fields))), []).append((h, *(fields[k] for k in sorted(fields))))
+        self.changes = {}
+        for (name, fields), rows in groups.items():
+            kinds = T.StructType([T.StructField("handle", T.LongType()), *(T.StructField(f, self.types[name].kind(f)) for f in fields)])
+            if self._overwrite(name, self.spark.createDataFrame(rows, kinds)) < len(rows):
+                lost = sorted({r[0] for r in rows} - {r[0] for r in self.frames[name].where(F.col("handle").isin([r[0] for r in rows])).select("handle").collect()})
+                raise RuleError(f"no fact has the handle {lost[0]}")
+
+    def _overwrite(self, name: str, values: DataFrame) -> int:
+        """Write the new values of a type's facts; how many were hit."""
+        frame, t = self.frames[name], self.types[name]
+        fields = [c for c in values.columns if c in t.names]
+        new = values.select(F.col("handle").alias("#h"), F.struct(*(F.col(c).cast(t.kind(c)).alias(c) for c in fields)).alias("#v"))
+        joined = frame.join(new, F.col("handle") == F.col("#h"), "left")
+        now = joined.select(*(F.when(F.col("#h").isNotNull(), F.col(f"#v.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in frame.columns), "#h").checkpoint()
+        hit = now.where("`#h` is not null").count()
+        if hit:
+            self._set(name, now.drop("#h"))
+        return hit
+
+    def delete(self, handle) -> list[int]:
+        """Delete a fact, several (handles) or those of a frame; the handles that fell with them."""
         self._need_started("delete")
-        name = self._type_of(handle)
-        before = self._handles()
-        self._drop(name, self.spark.createDataFrame([(handle,)], "handle long"))
+        self._apply()
+        if not isinstance(handle, DataFrame):
+            handles = [int(h) for h in (handle if isinstance(handle, Iterable) else [handle])]
+            handle = self.spark.createDataFrame([(h,) for h in handles], "handle long")
+            for h in handles:
+                self._type_of(h)
+        mark = len(self.deleted)
+        handle = handle.select("handle").distinct()
+        for name in self._types_of(handle):
+            self._drop(name, handle)
+        if len(self.deleted) == mark:
+            raise RuleError("no fact has one of the handles")
+        first = len(self.deleted)
         self._maintain()
-        gone = before.join(self._handles(), "handle", "left_anti").collect()
-        fell = sorted({r[0] for r in gone} - {handle})
-        self.pending_deleted |= {handle, *fell}
-        return fell
+        return sorted({r[0] for d in self.deleted[first:] for r in d.collect()})
 
     def advance(self, ms: int) -> None:
-        """Move the clock; facts that fall due leave in the order of their deadlines."""
+        """Move the clock; facts that fall due leave in the order of their deadlines.
+
+        Matches that come about on the way, as the last fact of a kind leaves,
+        are fired just before the next facts leave; the next ``fire`` reports
+        them.  Facts whose leaving can only end matches leave together.
+        """
         self._need_started("advance")
         if ms < 0:
             raise RuleError("the clock does not go back")
-        self.clock += ms
-        self._expire()
-
-    def _deadline(self, t: FactType):
+        self._apply()
+        end = self.clock + ms
+        while (due := self._next_due(end)) is not None:
+            time, until = due
+            self.clock = max(self.clock, time - 1)
+            self._quiesce(FIRE_LIMIT)
+            self.clock = until
+            self._expire()
+        self.clock = end
+
+    def _deadline(self, name: str):
+        t = self.types[name]
         span = F.col(t.duration) if t.duration else F.lit(0)
-        return F.col("ts0") + span + t.expires_ms + 1
+        return F.col("ts0") + span + self.expires[name] + 1
+
+    def _next_due(self, end: int) -> tuple[int, int] | None:
+        """The next deadline up to ``end``, and the latest clock to which facts leave without another look at the rules."""
+        first: dict[bool, int] = {}
+        later = end
+        for name in self.expires:
+            deadline = self._deadline(name)
+            got = self.frames[name].where(deadline <= end).select(deadline.alias("d")).agg(F.min("d")).first()[0]
+            if got is not None:
+                sign = name in self.negative
+                first[sign] = min(got, first.get(sign, got))
+        if not first:
+            return None
+        time = min(first.values())
+        if first.get(True, end + 1) <= time:  # what leaves now can bring about matches, which the next facts to leave may end
+            for name in self.expires:
+                deadline = self._deadline(name)
+                got = self.frames[name].where((deadline <= end) & (deadline > time)).select(deadline.alias("d")).agg(F.min("d")).first()[0]
+                later = later if got is None else min(later, got - 1)
+            return time, max(time, later)
+        return time, min(end, first.get(True, end + 1) - 1)
 
     def _expire(self) -> bool:
         changed = False
-        for name, t in self.types.items():
-            if t.timestamp and t.expires_ms is not None and t.expires_ms >= 0:
-                due = self.frames[name].where(self._deadline(t) <= self.clock)
-                if not due.isEmpty():
-                    self.pending_deleted |= {r[0] for r in due.select("handle").collect()}
-                    self.frames[name] = self.frames[name].where(self._deadline(t) > self.clock).checkpoint()
-                    changed = True
+        for name in self.expires:
+            due = self._deadline(name) <= self.clock
+            if not self.frames[name].where(due).isEmpty():
+                self._leave(name, self.frames[name].where(due), self.frames[name].where(~due).checkpoint())
+                changed = True
         if changed:
             self._maintain()
         return changed
 
+    def _leave(self, name: str, out: DataFrame, rest: DataFrame) -> None:
+        out = out.checkpoint()
+        self.deleted.append(out.select("handle"))
+        self._set(name, rest)
+        windows = [x for r in self.rules for x in walk(r.lhs) if isinstance(x, Accumulate) and x.window and x.window[0] == "length" and x.source.type == name]
+        if not windows:
+            return
+        # of facts that are gone, those that still hold a place in a window
+        past = self.gone[name].unionByName(out) if name in self.gone else out
+        world, keep = dataclasses.replace(self._world(), gone={name: past}), None
+        for x in windows:
+            places = Compilation(world).places(x).select("handle")
+            keep = places if keep is None else keep.unionByName(places)
+        self.gone[name] = past.join(keep.distinct(), "handle", "left_semi").select(past.columns).checkpoint()
+
     def _handles(self) -> DataFrame:
         frames = [f.select("handle") for f in self.frames.values()]
         out = frames[0] if frames else self.spark.createDataFrame([], "handle long")
@@ -195,13 +321,28 @@ class RuleSession:
         return out
 
     def _type_of(self, handle: int) -> str:
-        for name, f in self.frames.items():
-            if not f.where(F.col("handle") == handle).isEmpty():
-                return name
-        raise RuleError(f"no fact has the handle {handle}")
+        at = bisect.bisect_right(self.ranges, (handle, "\U0010ffff")) - 1
+        if at < 0 or handle >= self.next_handle:
+            raise RuleError(f"no fact has the handle {handle}")
+        return self.ranges[at][1]
+
+    def _types_of(self, handles: DataFrame) -> list[str]:
+        """Types that can have facts of these handles."""
+        starts = [k for k, _ in self.ranges]
+        at = F.lit(0)
+        for k in starts[1:] if len(starts) <= 64 else []:
+            at = at + (F.col("handle") >= k).cast("int")
+        if len(starts) <= 64:
+            hit = [r[0] for r in handles.select(at.alias("at")).distinct().collect()]
+            return list(dict.fromkeys(self.ranges[k][1] for k in sorted(hit) if self.ranges))
+        return list(dict.fromkeys(n for _, n in self.ranges))
 
     def _drop(self, name: str, handles: DataFrame) -> None:
-        self.frames[name] = self.frames[name].join(handles.select("handle").distinct(), "handle", "left_anti").select(self.frames[name].columns).checkpoint()
+        frame = self.frames[name]
+        marked = frame.join(handles.select(F.col("handle").alias("#h")).distinct(), F.col("handle") == F.col("#h"), "left").checkpoint()
+        out = marked.where("`#h` is not null").drop("#h")
+        if not out.isEmpty():
+            self._leave(name, out, marked.where("`#h` is null").drop("#h"))
 
     # --- matching
 
@@ -212,10 +353,13 @@ class RuleSession:
         handles = [c for c in df.columns if c.endswith("__handle")]
         reads = [b.column for b in env.values() if b.type is None]
         listened = self._listened(rule, env)
-        key = F.to_json(F.struct(*(F.col(f"`{c}`") for c in [*handles, *sorted({*reads, *listened} & set(df.columns))])), {"ignoreNullFields": "false"}) if handles or reads else F.lit("{}")
+        parts = [F.col(f"`{c}`") for c in [*handles, *sorted({*reads, *listened} & set(df.columns))]]
+        parts = [x for c in parts for x in (c, c.isNull())]
+        # 128 bits
+        key = F.struct(F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit("2"), *parts).alias("y"))
         salience = F.lit(rule.salience) if isinstance(rule.salience, int) else comp.value(rule.salience, {}, env)[0]
         tuple_ = F.array(*(F.col(c) for c in handles)) if handles else F.array().cast("array<bigint>")
-        return df.select("*", tuple_.alias("_tuple"), F.sha2(key, 256).alias("_key"), salience.cast("double").alias("_salience")), env
+        return df.select("*", tuple_.alias("_tuple"), key.alias("_key"), salience.cast("double").alias("_salience")), env
 
     def _listened(self, rule: RuleDef, env: dict) -> set[str]:
         """Columns of fields that patterns bound to a fact constrain."""
@@ -231,7 +375,30 @@ class RuleSession:
                 out.add(f"{env[x.name].column}{x.part}")
         return out
 
-    def _pending(self, rule: RuleDef) -> tuple[DataFrame, dict]:
+    @functools.cached_property
+    def _reads(self) -> dict[str, tuple[list[str], bool]]:
+        """By rule: the types that its conditions read, and whether they read the clock."""
+
+        def under(parts, seen) -> set:
+            out = set()
+            for x in walk(parts):
+                if isinstance(x, Pattern):
+                    out.add(x.type)
+                elif isinstance(x, Call) and x.query not in seen and x.query in self.program.queries:
+                    out |= under(self.program.queries[x.query].branches, seen | {x.query})
+            return out
+
+        clocked = lambda x: isinstance(x, Temporal) or isinstance(x, Accumulate) and x.window is not None
+        return {r.name: (sorted(under(r.lhs, set())), any(map(clocked, walk(r.lhs)))) for r in self.rules}
+
+    def _state(self, rule: RuleDef) -> tuple:
+        types, clocked = self._reads[rule.name]
+        return (*(self.version.get(t, 0) for t in types), self.clock if clocked else 0)
+
+    def _pending(self, rule: RuleDef) -> tuple[DataFrame, dict] | None:
+        """Matches that have not fired; None if nothing they read has changed since there were none."""
+        if self.settled.get(rule.name) == self._state(rule):
+            return None
         df, env = self.matches(rule)
         df = df.checkpoint()
         done = self.fired.get(rule.name)
@@ -252,38 +419,44 @@ class RuleSession:
     # --- firing
 
     def fire(self, fire_limit: int = FIRE_LIMIT, on_fire: Callable | None = None) -> FireResult:
-        """Run to quiescence; the facts that are new, the handles that are gone and the firings in order."""
+        """Run to quiescence; the facts that are new, the handles that are gone and the firings in order, since the last report."""
         self.started = True
-        before, first = {n: f.select("handle").checkpoint() for n, f in self.frames.items()}, self.seq
-        log_from = len(self.log)
-        deleted = set(self.pending_deleted)
-        self.pending_deleted = set()
-        self._maintain()
-        while True:
-            if not self._step(fire_limit - (self.seq - first)):
-                if self.focus:
-                    self.focus.pop()
-                    continue
-                break
+        self._apply()
+        self._quiesce(fire_limit)
         self._expire()
-        derived, gone = {}, set()
-        for name, f in self.frames.items():
-            old = before.get(name)
-            fresh = f if old is None else f.join(old, "handle", "left_anti")
-            derived[name] = Table(fresh.select("handle", *self.types[name].names), ["handle"])
-            if old is not None:
-                gone |= {r[0] for r in old.join(f.select("handle"), "handle", "left_anti").collect()}
-        log = self.log[log_from:]
+        new, seq, at = self.marks
+        fresh = F.col("handle") >= new
+        for a, b in self.given:
+            if b > new:
+                fresh = fresh & ~F.col("handle").between(a, b - 1)
+        derived = {n: Table(f.where(fresh).select("handle", *self.types[n].names), ["handle"]) for n, f in self.frames.items()}
+        log = self.log[at:]
         frame = self._empty_log() if not log else log[0]
         for x in log[1:]:
             frame = frame.unionByName(x)
-        result = FireResult(self.seq - first, derived, sorted(gone | deleted | self.pending_deleted), Table(frame, ["seq", "pos"]))
-        self.pending_deleted = set()
+        out = self.spark.createDataFrame([], "handle long")
+        for d in self.deleted:
+            out = out.unionByName(d)
+        result = FireResult(self.seq - seq, derived, out.where(F.col("handle") < new).distinct(), Table(frame, ["seq", "pos"]))
+        self.deleted, self.given, self.marks = [], [], None
         if on_fire is not None:
             for row in frame.select("seq", "rule").distinct().orderBy("seq").toLocalIterator():
                 on_fire(row["rule"])
         return result
 
+    def _quiesce(self, fire_limit: int) -> None:
+        """Fire until nothing is pending."""
+        if self.marks is None:
+            self.marks = self.next_handle, self.seq, len(self.log)
+        first = self.seq
+        self._maintain()
+        while True:
+            if not self._step(fire_limit - (self.seq - first)):
+                if self.focus:
+                    self.focus.pop()
+                    continue
+                break
+
     def _empty_log(self) -> DataFrame:
         return self.spark.createDataFrame([], "seq long, rule string, pos int, type string, handle long, values_json string")
 
@@ -297,27 +470,36 @@ class RuleSession:
             rule = rules[k]
             if best and isinstance(rule.salience, int) and rule.salience <= best[0]:
                 continue
-            df, env = self._pending(rule)
+            state = self._state(rule)
+            found = self._pending(rule)
+            if found is None:
+                continue
+            df, env = found
             top = df.agg(F.max("_salience"), F.count("*")).first()
             if not top[1]:
+                self.settled[rule.name] = state
                 continue
             if best is None or top[0] > best[0]:
-                best = (top[0], rule, df, env, top[1])
+                best = (top[0], rule, df, env, top[1], state)
             if not dynamic:
                 break
         if best is None:
             return False
-        salience, rule, df, env, n = best
+        salience, rule, df, env, n, state = best
+        whole = n
         if dynamic:
             df = df.where(F.col("_salience") == salience)
             n = df.count()
         if n > left:
             raise RuleError("fire limit")
+        if n == whole:  # all that is pending now
+            self.settled[rule.name] = state
         self._run(rule, df, env, n)
         return True
 
     def _run(self, rule: RuleDef, df: DataFrame, env: dict, n: int) -> None:
         df, _ = numbered(df, [F.desc("_salience"), F.col("_tuple"), F.col("_key")], "_seq", self.seq)
+        self.run_from, self.run_size = self.seq, n
         self.seq += n
         self._mark(rule, df)
         self._record(rule, df, env)
@@ -352,7 +534,10 @@ class RuleSession:
         """Matches that the handles bring about do not fire."""
         if not self._can_match(rule):
             return
-        df, _ = self._pending(rule)
+        found = self._pending(rule)
+        if found is None:
+            return
+        df, _ = found
         hit = df.select("_key", F.explode("_tuple").alias("handle")).join(handles.distinct(), "handle", "left_semi")
         self._mark(rule, hit)
 
@@ -368,7 +553,7 @@ class RuleSession:
             rows = df.select(F.col("_seq").alias("seq"), F.lit(rule.origin).alias("rule"), F.explode(F.array(*values)).alias("x")).select("seq", "rule", "x.pos", "x.type", "x.handle", "x.values_json")
         else:
             rows = df.select(F.col("_seq").alias("seq"), F.lit(rule.origin).alias("rule"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("bigint").alias("handle"), F.lit(None).cast("string").alias("values_json"))
-        self.log.append(rows.checkpoint())
+        self.log.append(rows)
 
     def _values(self, kind: FactType, args: tuple, env: dict) -> list:
         if len(args) != len(kind.names):
@@ -380,10 +565,11 @@ class RuleSession:
         if a.type not in self.types:
             raise RuleError(f"no fact type {a.type}")
         kind = self.types[a.type]
-        rows = df.select("_seq", "_key", "_tuple", *self._values(kind, a.args, env)).checkpoint()
-        if not a.logical:
-            got, _ = numbered(rows, ["_seq"], "handle", self.next_handle)
-            self._append(a.type, got, True)
+        rows = df.select("_seq", "_key", "_tuple", *self._values(kind, a.args, env))
+        if not a.logical:  # firings are numbered without gaps already
+            first = self.next_handle
+            got = rows.withColumn("handle", F.col("_seq") - self.run_from + first)
+            self._append(a.type, got, self.run_size, True)
             return got.select("handle")
         names = kind.names
         old = self.frames[a.type].groupBy(*names).agg(F.min("handle").alias("_h")).select(*(F.col(n).alias(f"o_{n}") for n in names), "_h")
@@ -394,8 +580,7 @@ class RuleSession:
         known = rows.join(old, on, "left").drop(*(f"o_{n}" for n in names)).checkpoint()
         fresh = known.where("_h is null").groupBy(*names).agg(F.min("_seq").alias("_first"))
         fresh, n = numbered(fresh, ["_first"], "handle", self.next_handle)
-        if n:
-            self._append(a.type, fresh, False)
+        self._append(a.type, fresh, n, False)
         new = fresh.select(*(F.col(n).alias(f"o_{n}") for n in names), F.col("handle").alias("_n"))
         backed = known.join(new, on, "left").select(
             F.lit(a.type).alias("type"), F.coalesce("_h", "_n").alias("handle"), F.lit(rule.name).alias("rule"), F.col("_key").alias("key"), F.col("_tuple").alias("tuple"), F.col("_seq").alias("seq")
@@ -419,7 +604,7 @@ class RuleSession:
         frame = self.frames[kind.name]
         joined = frame.join(last, "handle", "left")
         changed = {f: F.when(F.col("c").isNotNull(), F.col(f"c.{f}")).otherwise(F.col(f)) for f in values}
-        self.frames[kind.name] = joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in frame.columns)).checkpoint()
+        self._set(kind.name, joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in frame.columns)).checkpoint())
         return last.select("handle")
 
     # --- truth maintenance
@@ -430,59 +615,72 @@ class RuleSession:
             return
         logical = [r for r in self.rules if any(isinstance(a, Insert) and a.logical for a in r.actions) and self._can_match(r)]
         while True:
+            open_ = [r for r in logical if self.kept.get(r.name) != self._state(r)]
+            if not open_:
+                return
             self._cascade()
+            states = {r.name: self._state(r) for r in open_}
             now = None
-            for r in logical:
+            for r in open_:
                 keys = self.matches(r)[0].select(F.lit(r.name).alias("rule"), F.col("_key").alias("key"))
                 now = keys if now is None else now.unionByName(keys)
-            kept = self.support.join(now.distinct(), ["rule", "key"], "left_semi").select(self.support.columns).checkpoint()
-            if kept.count() == self.support.count():
-                return
-            lost = self.support.select("type", "handle").distinct().join(kept.select("handle").distinct(), "handle", "left_anti").checkpoint()
-            self.support = kept
-            self._retract(lost)
+            now = now.distinct().withColumn("#m", F.lit(True))
+            checked = F.col("rule").isin([r.name for r in open_])
+            marked = self.support.join(now, ["rule", "key"], "left").withColumn("#keep", ~checked | F.col("#m").isNotNull()).select(*self.support.columns, "#keep").checkpoint()
+            self.kept |= states
+            out = marked.where("not `#keep`")
+            if out.isEmpty():
+                continue
+            self.support = marked.where("`#keep`").drop("#keep")
+            self._retract(out.select("type", "handle").distinct().join(self.support.select("handle").distinct(), "handle", "left_anti").checkpoint())
 
     def _retract(self, lost: DataFrame) -> None:
         for row in lost.select("type").distinct().collect():
             fell = lost.where(F.col("type") == row[0]).select("handle")
-            frame = self.frames[row[0]]
-            fell = fell.join(frame.where("not stated").select("handle"), "handle", "left_semi")
-            self._drop(row[0], fell.checkpoint())
+            stated = self.frames[row[0]].where("not stated").select("handle")
+            self._drop(row[0], fell.join(stated, "handle", "left_semi"))
 
     def _cascade(self) -> None:
-        """Supports with a dead member fall, and with the last one the fact: followed on the driver while few."""
-        dead = self.support.select("type", "handle", "rule", "key", F.explode("tuple").alias("member")).join(self._handles().withColumnRenamed("handle", "member"), "member", "left_anti")
-        if dead.isEmpty() or self.support.count() > LOCAL_SUPPORTS:
-            return
-        rows = self.support.select("type", "handle", "rule", "key", "tuple").collect()
-        live = {r[0] for r in self._handles().collect()}
-        stated = {r[0] for f in self.frames.values() for r in f.where("stated").select("handle").collect()}
-        users: dict[int, list[int]] = defaultdict(list)
-        count: dict[int, int] = defaultdict(int)
-        for k, r in enumerate(rows):
-            count[r["handle"]] += 1
-            for m in set(r["tuple"]):
-                users[m].append(k)
-        gone, fallen = set(), []
-        todo = [m for m in users if m not in live]
-        while todo:
-            for k in users.get(todo.pop(), ()):
-                if k in gone:
-                    continue
-                gone.add(k)
-                h = rows[k]["handle"]
-                count[h] -= 1
-                if not count[h] and h in live and h not in stated:
-                    live.discard(h)
-                    fallen.append((rows[k]["type"], h))
-                    todo.append(h)
-        if gone:
-            bad = self.spark.createDataFrame([(rows[k]["rule"], rows[k]["key"], rows[k]["handle"]) for k in gone], "rule string, key string, handle long")
-            self.support = self.support.join(bad, ["rule", "key", "handle"], "left_anti").select("type", "handle", "rule", "key", "tuple", "seq").checkpoint()
-        if fallen:
-            lost = self.spark.createDataFrame(fallen, "type string, handle long")
-            for name in {t for t, _ in fallen}:
-                self._drop(name, lost.where(F.col("type") == name).select("handle"))
+        """Supports with a member that is gone fall, and with its last one the fact, until nothing falls.
+
+        A fact with a single support that rests on a single logical fact falls
+        with that one, so chains of such facts are followed by pointer jumping,
+        in a number of rounds that is the logarithm of their length; what rests
+        on several is followed level by level.
+        """
+        while True:
+            members = self.support.select("type", "handle", "rule", "key", F.explode(F.array_distinct("tuple")).alias("member"))
+            live = self._handles().withColumnRenamed("handle", "member")
+            dead = members.join(live, "member", "left_anti").select("rule", "key", "handle").distinct().checkpoint()
+            if dead.isEmpty():
+                return
+            bad = dead.unionByName(self._chained(members, dead)).distinct()
+            marked = self.support.join(bad.withColumn("#d", F.lit(True)), ["rule", "key", "handle"], "left").select(*self.support.columns, "#d").checkpoint()
+            self.support = marked.where("`#d` is null").drop("#d")
+            out = marked.where("`#d` is not null").select("type", "handle").distinct()
+            self._retract(out.join(self.support.select("handle").distinct(), "handle", "left_anti").checkpoint())
+
+    def _chained(self, members: DataFrame, dead: DataFrame) -> DataFrame:
+        """The single supports of facts further down chains that start at a dead support."""
+        logical = members.select("handle").distinct().withColumnRenamed("handle", "member")
+        single = self.support.groupBy("handle").agg(F.count("*").alias("n"), F.first("rule").alias("rule"), F.first("key").alias("key")).where("n = 1").drop("n")
+        for t in {r[0] for r in self.support.select("type").distinct().collect()}:
+            single = single.join(self.frames[t].where("stated").select("handle"), "handle", "left_anti")
+        rests = members.join(logical, "member", "left_semi").groupBy("handle", "rule", "key").agg(F.count("*").alias("n"), F.min("member").alias("up")).where("n = 1").drop("n")
+        chain = single.join(rests, ["handle", "rule", "key"]).select("handle", "rule", "key", "up")
+        fell = dead.join(single, ["handle", "rule", "key"], "left_semi").select(F.col("handle").alias("up"), F.lit(True).alias("falls"))
+        # (handle, up): falls with up; falls: an ancestor so far is known to fall
+        now = chain.join(fell, "up", "left").select("handle", "up", F.coalesce("falls", F.lit(False)).alias("falls")).checkpoint()
+        if now.where("falls").isEmpty():
+            return dead.limit(0)
+        # facts that keep each other in a ring have no end to jump to, so the rounds are counted
+        for _ in range(now.count().bit_length() + 1):
+            above = now.select(F.col("handle").alias("up"), F.col("up").alias("next"), F.col("falls").alias("falls_above"))
+            far = now.join(above, "up", "left").select("handle", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"), (F.col("falls") | F.coalesce("falls_above", F.lit(False))).alias("falls")).checkpoint()
+            now = far.drop("moved")
+            if far.where("moved and not falls").isEmpty():
+                break
+        return chain.join(now.where("falls").select("handle"), "handle", "left_semi").select("rule", "key", "handle")
 
     def why(self, handle: int) -> list[dict] | None:
         """Supports of a fact; None if it was not put in logically."""
@@ -508,11 +706,13 @@ class RuleSession:
     # --- reading
 
     def facts(self, name) -> Table:
+        self._apply()
         name = name if isinstance(name, str) else name.__fact__.name
         return Table(self.frames[name].select("handle", *self.types[name].names), ["handle"])
 
     def query(self, name: str, *args) -> DataFrame:
         self._need_started("query")
+        self._apply()
         return run_query(self._world(), name, *args)
 
 

@@ -22,12 +22,13 @@ from sparkrules.functions import allen
 from sparkrules.functions.exact import average_exact, exact_sum
 from sparkrules.operators.numbering import ensure_checkpoint_dir
 from sparkrules.plans.ir import (
-    Accumulate, Call, Collect, Contains, Group, GroupBy, In, Lit, Matches, Op, Pattern, QueryDef, Ref, RuleError, Temporal, refs,
+    Accumulate, Call, Collect, Contains, Group, GroupBy, In, Lit, Matches, Op, Pattern, QueryDef, Ref, RuleError, Temporal, refs, walk,
 )
 from sparkrules.sources.facts import FactType
 
 LONG, DOUBLE, STRING, BOOLEAN = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 MOST_STEPS = 1_000_000
+_MIRROR = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
 @dataclass
@@ -39,6 +40,7 @@ class World:
     frames: dict[str, DataFrame]
     queries: dict[str, QueryDef] = field(default_factory=dict)
     clock: int | None = None
+    gone: dict[str, DataFrame] = field(default_factory=dict)  # facts that have left, where a length window counts them
 
 
 @dataclass(frozen=True)
@@ -218,12 +220,14 @@ class Compilation:
 
     # --- patterns
 
-    def source(self, p: Pattern, env: dict) -> tuple[DataFrame, dict, dict, list[Column], list]:
-        """The frame under new names, its fields, the pattern's variables, its tests, and those that are temporal."""
+    def source(self, p: Pattern, env: dict, past: bool = False) -> tuple[DataFrame, dict, dict, list[Column], list]:
+        """The frame (with facts that are gone, if ``past``) under new names, its fields, the pattern's variables, its tests, and those that are temporal."""
         if p.type not in self.world.types:
             raise RuleError(f"no fact type {p.type}")
         kind, prefix = self.world.types[p.type], f"r{next(self.n)}__"
-        frame = self.world.frames[p.type]
+        frame, past = self.world.frames[p.type], past and p.type in self.world.gone
+        if past:
+            frame = frame.withColumn("#live", F.lit(True)).unionByName(self.world.gone[p.type].withColumn("#live", F.lit(False)))
         if "ep" in frame.columns:
             where = F.col("ep") == p.entry_point if p.entry_point else F.col("ep").isNull()
             frame = frame.where(where)
@@ -231,6 +235,8 @@ class Compilation:
         if kind.timestamp:
             ts = F.col("ts0") if "ts0" in frame.columns else F.col(kind.timestamp)
             extra.append(ts.alias(f"{prefix}ts0"))
+        if past:
+            extra.append(F.col("#live").alias(f"{prefix}live"))
         frame = frame.select(*(F.col(f"`{n}`").alias(f"{prefix}{n}") for n in kind.names), *extra)
         own = {n: (F.col(f"{prefix}{n}"), kind.kind(n)) for n in kind.names}
         own["#type"] = kind
@@ -312,26 +318,63 @@ class Compilation:
                 found, inner = self.step(found, inner, p)
             keys = found.select(*(F.col(f"`{c}`").alias(f"k__{c}") for c in columns)).distinct()
             return df.join(keys, self.all_of([F.col(f"`{c}`").eqNullSafe(F.col(f"`k__{c}`")) for c in columns]), how)
-        inner_df, inner_env, deferred = None, dict(env), []
-        for p in parts:
-            frame, own, new, tests, temporal = self.source(p, inner_env)
-            outside = set(env)
-            uses = {r.name for c in p.conditions for r in refs(c)} | {c.anchor for c in temporal} | {v for v, _ in p.bindings}
-            tests = tests or [F.lit(True)]
-            if uses & outside:
-                if len(parts) == 1:
-                    df, frame, more = self.bucketed(df, frame, own, env, p, temporal)
-                    deferred += more
-                    if negated and self.world.clock is not None:
-                        for c in temporal:
-                            df = self.released(df, env, c)
-                deferred += tests
-                inner_df = frame if inner_df is None else inner_df.crossJoin(frame)
-            else:
-                inner_df = frame.where(self.all_of(tests)) if inner_df is None else inner_df.join(frame, self.all_of(tests))
-            inner_env |= new
+        outer = self.outer_columns(parts, env)
+        if not outer:  # one row tells
+            inner, inner_env = None, {}
+            for p in parts:
+                inner, inner_env = self.pattern(inner, inner_env, p)
+            return df.join(F.broadcast(inner.select(F.lit(1).alias(f"x{next(self.n)}")).limit(1)), F.lit(True), how)
+        if len(parts) > 1:  # members are joined one after another to the values they depend on
+            keys = inner = df.select(*(F.col(f"`{c}`") for c in outer)).distinct()
+            inner_env = dict(env)
+            for p in parts:
+                inner, inner_env = self.pattern(inner, inner_env, p)
+            found = inner.select(*(F.col(f"`{c}`").alias(f"k__{c}") for c in keys.columns)).distinct()
+            return df.join(found, self.all_of([F.col(f"`{c}`").eqNullSafe(F.col(f"`k__{c}`")) for c in outer]), how)
+        (p,) = parts
+        frame, own, new, tests, temporal = self.source(p, env)
+        bound = self.extreme(frame, own, env, p, tests)
+        if bound is not None:
+            frame, column, hit = bound
+            df = df.crossJoin(F.broadcast(frame))  # one row
+            return df.where(~F.coalesce(hit, F.lit(False)) if negated else hit).drop(column)
         columns = df.columns
-        return df.join(inner_df, self.all_of(deferred or [F.lit(True)]), how).select(*(c for c in columns if not re.fullmatch(r"b\d+l", c)))
+        df, frame, more = self.bucketed(df, frame, own, env, p, temporal)
+        if negated and self.world.clock is not None:
+            for c in temporal:
+                df = self.released(df, env, c)
+        return df.join(frame, self.all_of([*more, *tests]), how).select(*(F.col(f"`{c}`") for c in columns))
+
+    def outer_columns(self, parts: tuple, env: dict) -> list[str]:
+        """Columns of variables bound before that the patterns depend on."""
+        out = []
+        for x in walk(parts):
+            if isinstance(x, Ref) and x.name in env:
+                b = env[x.name]
+                out.append(b.column if b.type is None else f"{b.column}{x.part or 'handle'}")
+            elif isinstance(x, Temporal) and x.anchor in env:
+                b = env[x.anchor]
+                out += [f"{b.column}ts0", *([f"{b.column}{b.type.duration}"] if b.type and b.type.duration else [])]
+            elif isinstance(x, Pattern):
+                out += [env[v].column for v, _ in x.bindings if v in env]
+        return list(dict.fromkeys(out))
+
+    def extreme(self, frame: DataFrame, own: dict, env: dict, p: Pattern, tests: list[Column]):
+        """Whether a fact lies beyond an outer value: the largest or smallest one tells.  (One row, its column, the test), or None."""
+        tied = [c for c in p.conditions if any(r.name in env for r in refs(c))]
+        if len(tied) != 1 or len(tests) != len(p.conditions) or not isinstance(tied[0], Op) or tied[0].op not in _MIRROR:
+            return None
+        (c,) = tied
+        for op, (a, b) in ((c.op, c.args), (_MIRROR[c.op], c.args[::-1])):
+            if isinstance(a, Ref) and a.part is None and a.name in own and not any(r.name in own and r.part is None for r in refs(b)):
+                x, kind = own[a.name]
+                rest = [t for d, t in zip(p.conditions, tests) if d is not c]
+                if isinstance(kind, T.DoubleType):
+                    rest.append(~F.isnan(x))
+                name = f"x{next(self.n)}"
+                one = (frame.where(self.all_of(rest)) if rest else frame).agg((F.max if op[0] == ">" else F.min)(x).alias(name))
+                return one, name, self.compare(op, (F.col(name), kind), self.value(b, {}, env))
+        return None
 
     def released(self, df: DataFrame, env: dict, c: Temporal) -> DataFrame:
         """A negated distance is decided once its window has closed."""
@@ -379,11 +422,21 @@ class Compilation:
             return frame.where(F.col(f"{prefix}ts0") + window[1] > self.world.clock)
         if f"{prefix}handle" not in frame.columns:
             raise RuleError("a length window needs handles")
-        return frame.orderBy(F.desc(f"{prefix}handle")).limit(window[1])
+        # members that are gone keep their places
+        last = frame.orderBy(F.desc(f"{prefix}handle")).limit(window[1])
+        return last.where(F.col(f"{prefix}live")) if f"{prefix}live" in frame.columns else last
+
+    def places(self, a: Accumulate) -> DataFrame:
+        """Handles of all facts, also such that are gone, that hold a place in a length window."""
+        frame, own, _, tests, _ = self.source(a.source, {}, past=True)
+        prefix = own["#prefix"]
+        frame = frame.where(self.all_of(tests)) if tests else frame
+        return frame.orderBy(F.desc(f"{prefix}handle")).limit(a.window[1]).select(F.col(f"{prefix}handle").alias("handle"))
 
     def accumulate(self, df: DataFrame | None, env: dict, a: Accumulate | Collect) -> tuple[DataFrame, dict]:
         p = a.source
-        frame, own, new, tests, _ = self.source(p, env)
+        counted = isinstance(a, Accumulate) and a.window is not None and a.window[0] == "length"
+        frame, own, new, tests, _ = self.source(p, env, past=counted)
         prefix = own["#prefix"]
         correlated = [c for c in p.conditions if any(r.name in env for r in refs(c)) or isinstance(c, Temporal)]
         order = F.col(f"{prefix}handle") if f"{prefix}handle" in frame.columns else None
@@ -413,8 +466,12 @@ class Compilation:
                 if empty is not None:
                     out = out.withColumn(name, F.coalesce(name, empty))
             else:
-                joined = df.join(frame, self.all_of([t for c, t in zip(self._conditions(p), tests[len(tests) - len(p.conditions) :]) if c in correlated]), "left")
-                out = joined.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(agg.alias(name))
+                # equal left rows are aggregated once, and each of them has the result
+                copies, names = f"n{next(self.n)}", [F.col(f"`{c}`") for c in df.columns]
+                once = df.groupBy(*names).agg(F.count("*").alias(copies))
+                joined = once.join(frame, self.all_of([t for c, t in zip(self._conditions(p), tests[len(tests) - len(p.conditions) :]) if c in correlated]), "left")
+                out = joined.groupBy(*names, copies).agg(agg.alias(name))
+                out = out.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(copies)
         if needed:
             out = out.where(F.col(name).isNotNull())
         env = env | {a.result: bound}

@@ -148,3 +148,106 @@ def test_queries_bound_unbound_recursive_and_pull(spark):
     s.insert("Location", {"thing": ["house"], "location": ["key"]})
     with pytest.raises(RuleError, match="step limit"):
         s.query("isIn", None, None)
+
+
+def test_aggregate_over_repeated_rows_without_handles(spark):
+    from sparkrules.plans.compile import World, match
+    from sparkrules.plans.drl import parse
+
+    l, r = fact_type("L", k="long", v="long"), fact_type("R", v="long")
+    w = World(spark, {"L": l, "R": r}, {"L": spark.createDataFrame([(1, 5), (1, 5), (2, 7), (3, None)], "k long, v long"), "R": spark.createDataFrame([(1,), (3,), (6,)], "v long")})
+    got = match(w, parse('rule "r" when L($k : k, $v : v) accumulate(R(v < $v, $x : v); $s : sum($x)) then end').rules[0].lhs)
+    assert sorted(map(tuple, got.select("k", "s").collect())) == [(1, 4), (1, 4), (2, 10), (3, 0)]
+
+
+def test_length_window_keeps_the_places_of_facts_that_are_gone(spark):
+    e = fact_type("E", timestamp="ts", expires_ms=100, ts="long", v="long", tag="string")
+    s, _ = run(spark, 'rule "w" when accumulate(E(tag == "z", $v : v) over window:length(2); $s : sum($v)) then insertLogical(new LK($s)); end', {"E": {"ts": [0, 0, 0, 50], "v": [1, 10, 1000, 100], "tag": ["z", "z", "x", "z"]}}, [e, LK])
+    total = lambda: rows(s.facts("LK"), "v")
+    assert total() == [(110,)]
+    s.delete(4)
+    s.fire()
+    assert total() == [(10,)]  # the first does not come back
+    s.insert("E", {"ts": [50], "v": [7], "tag": ["z"]})
+    s.fire()
+    assert total() == [(7,)]  # the place of the deleted one counts
+    s.insert("E", {"ts": [60, 60], "v": [5, 500], "tag": ["z", "y"]})
+    s.fire()
+    assert total() == [(12,)]
+    s.advance(151)
+    s.fire()
+    assert total() == [(5,)]
+    assert s.gone["E"].count() == 1
+
+
+def test_advance_stops_between_deadlines(spark):
+    short, long_ = fact_type("S", timestamp="ts", expires_ms=10, ts="long"), fact_type("L", timestamp="ts", expires_ms=100, ts="long")
+    text = 'rule "alone" when L($t : ts) not S() then insert(new Out("alone", $t)); end'
+    s, first = run(spark, text, {"S": {"ts": [0, 1]}, "L": {"ts": [0, 150]}}, [short, long_, OUT])
+    assert first.fired == 0
+    s.advance(300)
+    got = s.fire()
+    assert rows(s.facts("Out"), "v") == [(0,), (150,)] and got.fired == 2 and got.deleted_handles == [1, 2, 3, 4]
+    assert rows(got.derived["Out"], "v") == [(0,), (150,)]
+    assert len(s.facts("S")) == 0 and len(s.facts("L")) == 0
+
+
+def test_expiry_is_inferred(spark):
+    a, b, c = (fact_type(n, timestamp="ts", ts="long") for n in ("EA", "EB", "EC"))
+    s, _ = run(spark, 'rule "r" when $a : EA() $b : EB(this after[5ms,20ms] $a) then end', {"EA": {"ts": [0, 90]}, "EB": {"ts": [10]}}, [a, b, c])
+    assert s.expires == {"EA": 20}
+    s.advance(20)
+    assert len(s.facts("EA")) == 2
+    s.advance(1)
+    assert rows(s.facts("EA"), "ts") == [(90,)] and s.fire().deleted_handles == [1]
+    s.advance(1_000_000)
+    assert len(s.facts("EA")) == 0 and len(s.facts("EB")) == 1
+
+
+def test_expiry_closure():
+    from sparkrules.plans.drl import parse
+    from sparkrules.plans.lints import expiry_closure
+
+    closure = lambda *lhs: expiry_closure(parse(" ".join(f'rule "r{k}" when {x} then end' for k, x in enumerate(lhs))), set("ABC"))
+    assert closure("$a : A() $b : B(this coincides $a) $c : C(this after[0ms,100ms] $b)") == {"A": 100, "B": 100, "C": 0}
+    assert closure("$a : A() $b : B(this coincides $a)", "$b : B() $c : C(this after[0ms,100ms] $b)") == {"A": 0, "B": 100, "C": 0}
+    assert closure("$a : A() B(this after[10ms,20ms] $a) C(this after[30ms,40ms] $a)") == {"A": 40, "B": 30, "C": None}
+    assert closure("$a : A() B(this coincides $a)", "$a : A() C(this during $a)") == {"A": None, "B": 0, "C": None}
+    assert closure("$a : A() $b : A(this after[50ms,100ms] $a)") == {"A": None}
+    assert closure("$a : A() not B(this after[0ms,9ms] $a)", "X()") == {"A": 9, "B": 0}
+    assert closure("accumulate(A($v : v) over window:time(50ms); $s : sum($v))") == {"A": 50}
+
+
+def test_batch_updates_and_deletes(spark):
+    s, _ = run(spark, 'rule "r" when T($k : k, $v : v > 5) then insertLogical(new Out($k, $v)); end', {"T": {"k": list("abcd"), "v": [1, 2, 3, 9]}}, [T, OUT])
+    assert s.insert_row("T", k="e", v=0) == 6
+    s.update([1, 2], v=7)
+    s.update(2, k="B")
+    s.update(spark.createDataFrame([(3, 8), (6, 10)], "handle long, v int"))
+    assert s.fire().fired == 4
+    assert rows(s.facts("Out"), "k", "v") == [("B", 7), ("a", 7), ("c", 8), ("d", 9), ("e", 10)]
+    assert len(s.delete([1, 4])) == 2 and s.delete(spark.createDataFrame([(3,)], "handle long")) != []
+    assert rows(s.facts("Out"), "k") == [("B",), ("e",)]
+    with pytest.raises(RuleError, match="no fields"):
+        s.update(2, w=1)
+    with pytest.raises(RuleError, match="handle 99"):
+        s.update(99, v=1)
+    with pytest.raises(RuleError, match="handle 1"):
+        s.update(1, v=1)
+        s.fire()
+
+
+def test_long_chains_fall_together(spark):
+    """A thousand facts that rest on each other, a ring, and a fact with a second support."""
+    s = RuleSession(spark, 'rule "r" when A($a : a) then end', [A], {"A": {"a": list(range(1, 1106))}})
+    s.fire()
+    s._set("A", s.frames["A"].withColumn("stated", s.frames["A"].handle.isin(1, 1100)))
+    chain = [("A", k + 1, "r", (k, 0), [k], k) for k in range(1, 1000)]
+    ring = [("A", 1010 + (k + 1) % 3, "r", (k, 1), [1010 + k], k) for k in range(3)]
+    twice = [("A", 1050, "r", (1, 2), [500], 1), ("A", 1050, "r", (1, 3), [1100], 2), ("A", 1051, "r", (2, 4), [1050, 1100], 3), ("A", 1052, "r", (2, 5), [999, 1100], 3)]
+    s.support = spark.createDataFrame(chain + ring + twice, "type string, handle long, rule string, key struct<x:long,y:long>, tuple array<long>, seq long")
+    s._drop("A", spark.createDataFrame([(1,)], "handle long"))
+    s._cascade()
+    left = {r[0] for r in s.facts("A").frame.select("handle").collect()}
+    assert left == {*range(1001, 1106)} - {1052}
+    assert {r[0] for r in s.support.select("handle").collect()} == {1010, 1011, 1012, 1050, 1051} and s.support.count() == 5
