@@ -29,8 +29,10 @@ def haversine(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, out: st
 def pair_candidates(df: DataFrame, id: str, lat: str, lon: str, radius_m: float) -> DataFrame:
     """Pairs a < b that can lie within the radius: a sound prune by latitude, then by longitude.
 
-    Rows meet by latitude band (a row in its own and both neighbouring ones), so
-    the comparison is an equi-join with an exact residual, not a cross join.
+    Rows meet by cells: latitude bands, and in each band cells of a longitude
+    that is wide enough for it.  One side stands in its own cell, the other in
+    the nine around it, so the comparison is an equi-join with an exact residual.
+    Bands that the radius joins to a pole have one cell.
     """
     theta = radius_m / RADIUS_M
     band = max(theta + _EPS, 1e-6)
@@ -38,8 +40,19 @@ def pair_candidates(df: DataFrame, id: str, lat: str, lon: str, radius_m: float)
         F.col(id).alias(f"id_{n}"), F.col(lat).cast("double").alias(f"lat_{n}"), F.col(lon).cast("double").alias(f"lon_{n}"),
         F.radians(_finite(F.col(lat).cast("double"), lat)).alias(f"p_{n}"), F.radians(_finite(F.col(lon).cast("double"), lon)).alias(f"l_{n}"),
     )
-    a = side("a").withColumn("k", F.floor(F.col("p_a") / band))
+    # cells of a band by the band's number, so that both sides agree: the widest longitude that the radius spans there
+    def cells(k: Column) -> Column:
+        top_ = F.greatest(F.abs(k * band), F.abs((k + 1) * band)) + theta  # furthest from the equator that a partner in this band can be
+        width = F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(theta, math.pi / 2))) / F.greatest(F.cos(top_), F.lit(1e-9)))) + 2 * _EPS
+        n = F.floor(2 * math.pi / width)
+        return F.when((top_ >= math.pi / 2 - _EPS) | (F.lit(theta) >= math.pi / 2) | (n < 3), F.lit(1)).otherwise(F.least(n, F.lit(2**31)).cast("bigint")).cast("bigint")
+
+    turn = lambda l: F.pmod(l, F.lit(2 * math.pi)) / (2 * math.pi)
+    cell = lambda l, n: F.least(F.floor(turn(l) * n), n - 1)
+    a = side("a").withColumn("k", F.floor(F.col("p_a") / band)).withColumn("c", cell(F.col("l_a"), cells(F.col("k"))))
     b = side("b").withColumn("k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("p_b") / band) + d)))
+    n = cells(F.col("k"))
+    b = b.withColumn("c", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(F.col("l_b"), n) + d, n)))))
     dlat = F.abs(F.col("p_a") - F.col("p_b"))
     top = F.greatest(F.abs(F.col("p_a")), F.abs(F.col("p_b")))
     raw = F.pmod(F.abs(F.col("l_a") - F.col("l_b")), F.lit(2 * math.pi))
@@ -48,14 +61,20 @@ def pair_candidates(df: DataFrame, id: str, lat: str, lon: str, radius_m: float)
     over_pole = (top + theta >= math.pi / 2 - _EPS) | (ratio >= 1) | (F.lit(theta) >= math.pi / 2)
     keep = (F.col("id_a") < F.col("id_b")) & (dlat <= theta + _EPS) & (over_pole | (dlon <= F.asin(F.least(F.lit(1.0), ratio)) + _EPS))
     key = F.concat_ws("|", F.col("id_a").cast("string"), F.col("id_b").cast("string"))
-    return a.join(b, "k").where(keep).select("id_a", "lat_a", "lon_a", "id_b", "lat_b", "lon_b", key.alias("key"))
+    return a.join(b, ["k", "c"]).where(keep).select("id_a", "lat_a", "lon_a", "id_b", "lat_b", "lon_b", key.alias("key"))
 
 
-def closing(df: DataFrame, ts: str, key: str, dist: str, ttl_ms: int, out: str, order: str | None = None) -> DataFrame:
+def closing(df: DataFrame, ts: str, key: str, dist: str, ttl_ms: int, out: str, order: str | None = None, arrival: str | None = None) -> DataFrame:
     """Whether a key's distance fell since its last row, if that is no older than ``ttl_ms``.
 
-    Rows of a key are in order of time, then of ``order``.
+    Rows of a key are in order of time, then of ``order``.  With ``arrival``,
+    the column that numbers rows as they came, a time that falls within a key
+    is an error.
     """
     w = Window.partitionBy(key).orderBy(ts, *([order] if order else []))
+    if arrival:
+        w = Window.partitionBy(key).orderBy(arrival)
+        back = F.lag(ts).over(w) > F.col(ts)
+        df = df.withColumn(ts, F.when(back, F.raise_error(F.concat(F.lit(f"{ts} falls at "), F.col(ts).cast("string")))).otherwise(F.col(ts)).cast(df.schema[ts].dataType))
     fresh = F.lag(ts).over(w) >= F.col(ts) - ttl_ms
     return df.withColumn(out, F.coalesce(fresh & (F.col(dist) < F.lag(dist).over(w)), F.lit(False)))

@@ -45,6 +45,15 @@ def about() -> dict:
     return {"name": "sparkrules", "version": "0.1", "modes": ["set"], "order": "salience, declaration, handles"}
 
 
+class Derived(dict):
+    """Tables by type name or by the class of the type."""
+
+    def __missing__(self, key):
+        if hasattr(key, "__fact__"):
+            return self[key.__fact__.name]
+        raise KeyError(key)
+
+
 class FireResult:
     """What a call of ``fire`` changed.  ``deleted`` has the handles as a frame; ``deleted_handles`` brings them to the driver."""
 
@@ -69,8 +78,9 @@ def _merged(actions: tuple) -> tuple:
 
 
 class RuleSession:
-    def __init__(self, spark: SparkSession, rules: str | Program | list, types: list | None = None, facts: dict[str, Any] | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, rules: str | Program | list, types: list | None = None, facts: dict[str, Any] | None = None, strict: bool = True):
+        """``strict``: queries keep to the narrow language of ``check_query``."""
+        self.spark, self.strict = spark, strict
         ensure_checkpoint_dir(spark)
         if isinstance(rules, str):
             rules = parse(rules)
@@ -128,7 +138,7 @@ class RuleSession:
         self._clear()
 
     def _world(self, **frames: DataFrame) -> World:
-        return World(self.spark, self.types, self.frames | frames, self.program.queries, self.clock, self.gone)
+        return World(self.spark, self.types, self.frames | frames, self.program.queries, self.clock, self.gone, self.strict)
 
     def _need_started(self, what: str) -> None:
         if not self.started:
@@ -429,7 +439,7 @@ class RuleSession:
         for a, b in self.given:
             if b > new:
                 fresh = fresh & ~F.col("handle").between(a, b - 1)
-        derived = {n: Table(f.where(fresh).select("handle", *self.types[n].names), ["handle"]) for n, f in self.frames.items()}
+        derived = Derived({n: Table(f.where(fresh).select("handle", *self.types[n].names), ["handle"]) for n, f in self.frames.items()})
         log = self.log[at:]
         frame = self._empty_log() if not log else log[0]
         for x in log[1:]:
@@ -690,8 +700,25 @@ class RuleSession:
     def justifications(self) -> DataFrame:
         return self.support if self.support is not None else self.spark.createDataFrame([], "type string, handle long, rule string, key string, tuple array<long>, seq long")
 
-    def acc_sources(self, rule: str) -> DataFrame:
-        """Source facts and contributions of a rule's aggregate, for each left match."""
+    def acc_sources(self, of: str | int):
+        """Source facts and contributions of a rule's aggregate, for each left match (a frame).
+
+        For the handle of a fact that such a rule put in logically: the pairs
+        (source, contribution) behind its value, by handle of the source; None
+        for any other handle.
+        """
+        if not isinstance(of, int):
+            return self._sources(of)
+        folds = {r.name for r in self.rules if any(isinstance(x, (Accumulate, Collect, GroupBy)) for x in walk(r.lhs))}
+        if self.support is None or not folds:
+            return None
+        backed = self.support.where((F.col("handle") == of) & F.col("rule").isin(sorted(folds))).orderBy("seq").first()
+        if backed is None:
+            return None
+        got = self._sources(backed["rule"]).where(F.col("left") == F.lit(list(backed["tuple"])).cast("array<bigint>"))
+        return [(r["source"], r["contribution"]) for r in got.orderBy("source").collect()]
+
+    def _sources(self, rule: str) -> DataFrame:
         r = next(x for x in self.rules if x.name == rule)
         acc = next(x for x in walk(r.lhs) if isinstance(x, (Accumulate, Collect, GroupBy)))
         parts = tuple(acc.source if x is acc else x for x in r.lhs)

@@ -33,7 +33,10 @@ class FieldExpr:
     def __mul__(self, o): return self._op("*", o)  # noqa: E704
     def __rmul__(self, o): return self._op("*", o, True)  # noqa: E704
     def __truediv__(self, o): return self._op("/", o)  # noqa: E704
+    def __rtruediv__(self, o): return self._op("/", o, True)  # noqa: E704
     def __mod__(self, o): return self._op("%", o)  # noqa: E704
+    def __rmod__(self, o): return self._op("%", o, True)  # noqa: E704
+    def __neg__(self): return FieldExpr(Op("neg", (self.node,)))  # noqa: E704
     def __eq__(self, o): return self.is_null() if o is None else self._op("==", o)  # noqa: E704
     def __ne__(self, o): return self.is_not_null() if o is None else self._op("!=", o)  # noqa: E704
     def __lt__(self, o): return self._op("<", o)  # noqa: E704

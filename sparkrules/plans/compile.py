@@ -11,8 +11,10 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from decimal import Decimal
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,7 @@ class World:
     queries: dict[str, QueryDef] = field(default_factory=dict)
     clock: int | None = None
     gone: dict[str, DataFrame] = field(default_factory=dict)  # facts that have left, where a length window counts them
+    strict: bool = False  # whether queries keep to the narrow language of ``check_query``
 
 
 @dataclass(frozen=True)
@@ -192,7 +195,10 @@ class Compilation:
                     raise RuleError(f"{x.name} is never null")
                 c = self.value(x, own, env)[0]
                 return c.isNull() if e.op == "is_null" else c.isNotNull()
-            return self.compare(e.op, *(self.value(a, own, env) for a in e.args))
+            sides = [self.value(a, own, env) for a in e.args]
+            for side, (_, other) in zip(e.args, sides[::-1]):
+                self.whole_division(side, other, own, env)
+            return self.compare(e.op, *sides)
         if isinstance(e, In):
             x, k = self.value(e.arg, own, env)
             values = [v.value for v in e.values]
@@ -211,6 +217,18 @@ class Compilation:
             return self.value(e, own, env)[0]
         raise RuleError(f"no condition {e}")
 
+    def whole_division(self, e, other, own: dict, env: dict) -> None:
+        """Integers are divided by a literal other than 0, as a whole side compared with an integer."""
+        divisions = [x for x in walk(e) if isinstance(x, Op) and x.op in ("/", "%")]
+        for x in divisions:
+            a, b = (self.value(y, own, env)[1] for y in x.args)
+            if not (isinstance(a, T.LongType) and isinstance(b, T.LongType)):
+                continue
+            if not (isinstance(x.args[1], Lit) and x.args[1].value):
+                raise RuleError(f"{x.op} of integers takes a literal divisor other than 0")
+            if x.op == "/" and (x is not e or not isinstance(other, T.LongType)):
+                raise RuleError("a division of integers stands alone and compares with an integer")
+
     def span(self, var: str, env: dict) -> tuple[Column, Column]:
         b = env.get(var)
         if b is None or b.type is None or b.type.timestamp is None:
@@ -580,18 +598,16 @@ def named(df: DataFrame, env: dict, names: list[str] | None = None) -> DataFrame
 
 def match(world: World, lhs: tuple, names: list[str] | None = None) -> DataFrame:
     """All matches of a conjunction (its alternatives one after another)."""
-    from sparkrules.plans.normalize import branches
+    from sparkrules.plans.normalize import branches, check_facts
 
     found = None
-    for b in branches(lhs):
+    for b in check_facts(branches(lhs), "conditions"):
         got = named(*Compilation(world).lhs(b), names)
         found = got if found is None else found.unionByName(got, allowMissingColumns=True)
     return found
 
 
 def _calls(parts: tuple, name: str) -> bool:
-    from sparkrules.plans.ir import walk
-
     return any(isinstance(x, Call) and x.query == name for x in walk(parts))
 
 
@@ -610,39 +626,112 @@ def _branch(world: World, q: QueryDef, parts: tuple, given=None) -> DataFrame:
     return df.select(*out)
 
 
-def query_rows(world: World, name: str) -> tuple[DataFrame, list]:
-    """All rows of a query without bound arguments (one for each proof), and its parameters with their types."""
+def check_query(world: World, q: QueryDef) -> None:
+    """What a query's body may not hold: types with nulls or decimals, time, arithmetic, grouped conditions, literals of another type."""
+    for x in walk(q.branches):
+        if not isinstance(x, Pattern) or x.type not in world.types:
+            continue
+        kind = world.types[x.type]
+        if any(nullable for _, _, nullable in kind.fields):
+            raise RuleError(f"query {q.name}: {x.type} has nullable fields")
+        if any(t.startswith("decimal") for _, t, _ in kind.fields):
+            raise RuleError(f"query {q.name}: {x.type} has decimal fields")
+        for c in x.conditions:
+            if any(isinstance(y, Temporal) for y in walk(c)):
+                raise RuleError(f"query {q.name}: a condition of time")
+            if isinstance(c, Op) and c.op in ("and", "or", "not"):
+                raise RuleError(f"query {q.name}: a group of conditions")
+            if any(isinstance(y, Op) and y.op in ("+", "-", "*", "/", "%") for y in walk(c)):
+                raise RuleError(f"query {q.name}: arithmetic")
+            if isinstance(c, Op) and len(c.args) == 2:
+                for f, v in (c.args, c.args[::-1]):
+                    if isinstance(f, Ref) and f.part is None and f.name in kind.names and isinstance(v, Lit) and v.value is not None and literal(v.value)[1] != kind.kind(f.name):
+                        raise RuleError(f"query {q.name}: {f.name} and its literal are of different types")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for p in parts[1:]:
+        keep = [c for c in p.columns if c in rows.columns]
+        rows = rows.unionByName(p.select(*keep), allowMissingColumns=True)
+    return rows
+
+
+def _needed(world: World, q: QueryDef, at: int, value) -> DataFrame:
+    """Values of parameter ``at`` that the recursion from ``value`` comes to: those that its own call passes on, and so on."""
+    before = tuple(x for x in q.branches[1] if not (isinstance(x, Call) and x.query == q.name))
+    (call,) = (x for x in q.branches[1] if isinstance(x, Call) and x.query == q.name)
+    df, env = Compilation(world, strict=False).lhs(before)
+    var, passed = q.params[at][1], call.args[at]
+    comp = Compilation(world)
+    edges = df.select(F.col(env[var].column).alias("a"), comp.value(passed, {}, env)[0].alias("b")).distinct().checkpoint()
+    front = found = world.spark.createDataFrame([(value,)], T.StructType([T.StructField("v", edges.schema["a"].dataType)]))
+    for _ in range(MOST_STEPS):
+        front = edges.join(front, F.col("a") == F.col("v")).select(F.col("b").alias("v")).distinct().join(found, "v", "left_anti").checkpoint()
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front).checkpoint()
+    raise RuleError(f"{q.name}: step limit of {MOST_STEPS} reached")
+
+
+def _restrictions(world: World, q: QueryDef, bound: dict[int, Any]) -> list[Callable[[DataFrame], DataFrame]]:
+    """Filters that keep the rows of a recursion that bound arguments can reach."""
+    (call,) = (x for x in q.branches[1] if isinstance(x, Call) and x.query == q.name)
+    out = []
+    for k, value in bound.items():
+        var = q.params[k][1]
+        name, passed = var.lstrip("$"), call.args[k]
+        if passed == Ref(var):  # the same at every step
+            out.append(lambda df, name=name, value=value: df.where(F.col(name) == F.lit(value)))
+            continue
+        known = {b for x in q.branches[1] if isinstance(x, Pattern) for b in (*(v for v, _ in x.bindings), *(r.name for c in x.conditions for r in refs(c)))}
+        if var in known and isinstance(passed, Ref) and passed.name in known:
+            needed = _needed(world, q, k, value)
+            out.append(lambda df, name=name, needed=needed: df.join(needed, F.col(name) == F.col("v"), "left_semi"))
+    return out
+
+
+def query_rows(world: World, name: str, bound: dict[int, Any] | None = None) -> tuple[DataFrame, list]:
+    """All rows of a query (one for each proof), and its parameters with their types.
+
+    ``bound``: values of arguments; a recursion is then kept to what they can reach, its rows may still hold others.
+    """
     from sparkrules.plans.normalize import expand_query
 
     if name not in world.queries:
         raise RuleError(f"no query {name}")
     q = expand_query(world.queries[name])
+    if world.strict:
+        check_query(world, q)
     own = [_calls(b, name) for b in q.branches]
     if not any(own):
-        parts = [_branch(world, q, b) for b in q.branches]
-        rows = parts[0]
-        for p in parts[1:]:
-            keep = [c for c in p.columns if c in rows.columns]
-            rows = rows.unionByName(p.select(*keep), allowMissingColumns=True)
+        rows = _union([_branch(world, q, b) for b in q.branches])
     else:
         if own != [False, True]:
             raise RuleError(f"{name}: a recursive query has two alternatives, the base first")
         if isinstance(q.branches[1][0], Call):
             raise RuleError(f"{name}: the recursive call may not come first")
         params = [v.lstrip("$") for _, v in q.params]
-        base = _branch(world, q, q.branches[0]).select(*params)
         ensure_checkpoint_dir(world.spark)
-        delta = rows = base.checkpoint()
+        limits = _restrictions(world, q, bound or {})
+
+        def limited(df: DataFrame) -> DataFrame:
+            df = df.select(*params)
+            for f in limits:
+                df = f(df)
+            return df.checkpoint()
+
+        delta = rows = limited(_branch(world, q, q.branches[0]))
         total, steps = delta.count(), 0
         while True:
-            delta = _branch(world, q, q.branches[1], {name: delta}).select(*params).checkpoint()
+            delta = limited(_branch(world, q, q.branches[1], {name: delta}))
             n = delta.count()
             if not n:
                 break
             total += n
             steps += 1
             # a proof longer than the number of distinct rows passes through one of them twice
-            if steps % 8 == 0 and rows.distinct().count() < steps:
+            if steps >= 8 and steps & (steps - 1) == 0 and rows.distinct().count() < steps:
                 total = MOST_STEPS + 1
             if total > MOST_STEPS:
                 raise RuleError(f"{name}: step limit of {MOST_STEPS} reached; is the data cyclic?")
@@ -653,9 +742,9 @@ def query_rows(world: World, name: str) -> tuple[DataFrame, list]:
 
 def run_query(world: World, name: str, *args) -> DataFrame:
     """Rows of a query; an argument of None is unbound, others filter."""
-    rows, params = query_rows(world, name)
-    if len(args) != len(params):
-        raise RuleError(f"{name} takes {len(params)} arguments, not {len(args)}")
+    if name in world.queries and len(args) != len(world.queries[name].params):
+        raise RuleError(f"{name} takes {len(world.queries[name].params)} arguments, not {len(args)}")
+    rows, params = query_rows(world, name, {k: a for k, a in enumerate(args) if a is not None})
     for (v, kind), a in zip(params, args):
         if a is not None:
             ok = isinstance(a, bool) == isinstance(kind, T.BooleanType) and isinstance(a, {LONG: int, DOUBLE: (int, float), STRING: str, BOOLEAN: bool}.get(kind, object))

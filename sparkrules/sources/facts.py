@@ -225,6 +225,10 @@ class Table:
     def __len__(self) -> int: return self.frame.count()  # noqa: E704
     def __arrow_c_stream__(self, requested=None): return self.to_arrow().__arrow_c_stream__(requested)  # noqa: E704
 
+    def to_parquet(self, path: str, mode: str = "errorifexists") -> None:
+        """Written by the executors; nothing comes to the driver."""
+        self.frame.write.mode(mode).parquet(path)
+
     def to_polars(self):
         import polars
 
