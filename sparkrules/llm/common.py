@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and text bytes that one call of a text function sees at most (a longer single text comes alone).  Spark itself
-#: bounds the bytes of an Arrow batch.
-SLICE_ROWS = 2000
+#: bounds the bytes of an Arrow batch, to 64 MB unless told otherwise.
+SLICE_ROWS = 1000
 SLICE_BYTES = 6 << 20
+#: rows of an Arrow batch while a step is written, so that workers hold less
+STORE_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,9 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = STORE_ROWS) -> Iterator[None]:
+    """Arrow batches of fewer rows inside; the session is then as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def delete(*frames: DataFrame) -> None:
@@ -95,7 +115,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             start = stop
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn`` to bounded slices of the named columns; it returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -103,7 +123,7 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, rows=rows):
             got = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 

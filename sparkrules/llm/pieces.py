@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from sparkrules.llm.common import map_texts, texts
 
 SPACE = "▁"
+#: texts whose runs are traced together
+SLICE = 2000
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, round_trip boolean"
 
 
@@ -380,7 +382,7 @@ def digests(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
             "n_byte_ids": [int(single[x].sum()) for x in found], "round_trip": [c.decode(x) == t for x, t in zip(found, values)],
         }
 
-    return map_texts(docs, ["doc_id", "text"], run, SCHEMA)
+    return map_texts(docs, ["doc_id", "text"], run, SCHEMA, rows=SLICE)
 
 
 def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
@@ -389,7 +391,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "ids": [x.view(np.int32) for x in coder(path, kind).encode(texts(batch))]}
 
-    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, ids array<int>")
+    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, ids array<int>", rows=SLICE)
 
 
 def decode(rows: DataFrame, path: str, kind: str = "bpe") -> DataFrame:

@@ -637,6 +637,18 @@ def test_quality_rules_reject_noise_of_any_length(n):
     assert quality_rules.judge(inside, packer, bands)[1] > bands.bad_share
 
 
+def test_the_session_stays_as_it_was(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    ngram_scoring.score(docs).count()
+    minhash_dedup.groups(docs).count()
+    assert spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+        raise ZeroDivisionError
+    assert spark.conf.get(name) == before
+
+
 def test_batches_are_cut_by_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 50, None, "y" * 200, "", "z"]})
     assert [b.num_rows for b in common.slices(iter([batch]), most=100)] == [2, 1, 2]
