@@ -95,14 +95,15 @@ class RuleSession:
             t = t if isinstance(t, FactType) else t.__fact__
             self.types[t.name] = t
         self.lints = lints.lint(rules, {n: t.expires_ms for n, t in self.types.items()})
-        self.negative = lints.negative_types(rules)
+        self.begins, self.ends = lints.leaving(rules)
         self._clear()
         for name, data in (facts or {}).items():
             self.insert(name, data)
 
     def _clear(self) -> None:
         self.frames: dict[str, DataFrame] = {}
-        self.version: dict[str, int] = {}
+        self.version: dict[str, int] = {}  # changes of each type, and those that wrote fields
+        self.modified: dict[str, int] = {}
         self.clock, self.next_handle, self.seq, self.started = 0, 1, 0, False
         self.ranges: list[tuple[int, str]] = []  # first handle of a run of facts, and their type
         self.fired: dict[str, DataFrame] = {}
@@ -116,6 +117,7 @@ class RuleSession:
         self.support: DataFrame | None = None
         self.log: list[DataFrame] = []
         self.deleted: list[DataFrame] = []
+        self.dying: list[DataFrame] = []  # handles that left since supports were last looked through
         self.marks: tuple | None = None  # next handle, firings and log entries since the last report
         self.expires: dict[str, int | None] = {}
         for t in self.types.values():
@@ -129,9 +131,11 @@ class RuleSession:
         self.expires = {n: k.expires_ms if k.expires_ms is not None else inferred.get(n) for n, k in self.types.items() if k.timestamp}
         self.expires = {n: e for n, e in self.expires.items() if e is not None and e >= 0}
 
-    def _set(self, name: str, df: DataFrame) -> None:
+    def _set(self, name: str, df: DataFrame, modified: bool = False) -> None:
         self.frames[name] = df
         self.version[name] = self.version.get(name, 0) + 1
+        if modified:
+            self.modified[name] = self.modified.get(name, 0) + 1
 
     def reset(self) -> None:
         """Forget facts, matches, supports and the clock; keep rules and types."""
@@ -229,21 +233,20 @@ class RuleSession:
         now = joined.select(*(F.when(F.col("#h").isNotNull(), F.col(f"#v.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in frame.columns), "#h").checkpoint()
         hit = now.where("`#h` is not null").count()
         if hit:
-            self._set(name, now.drop("#h"))
+            self._set(name, now.drop("#h"), modified=True)
         return hit
 
     def delete(self, handle) -> list[int]:
         """Delete a fact, several (handles) or those of a frame; the handles that fell with them."""
         self._need_started("delete")
         self._apply()
+        handles = None
         if not isinstance(handle, DataFrame):
             handles = [int(h) for h in (handle if isinstance(handle, Iterable) else [handle])]
             handle = self.spark.createDataFrame([(h,) for h in handles], "handle long")
-            for h in handles:
-                self._type_of(h)
         mark = len(self.deleted)
         handle = handle.select("handle").distinct()
-        for name in self._types_of(handle):
+        for name in self._types_of(handle) if handles is None else dict.fromkeys(map(self._type_of, handles)):
             self._drop(name, handle)
         if len(self.deleted) == mark:
             raise RuleError("no fact has one of the handles")
@@ -263,11 +266,20 @@ class RuleSession:
             raise RuleError("the clock does not go back")
         self._apply()
         end = self.clock + ms
-        while (due := self._next_due(end)) is not None:
-            time, until = due
-            self.clock = max(self.clock, time - 1)
+        while (first := self._first_due(end, set(self.expires))) is not None:
+            # facts that can only bring about matches leave before the next one that can end some
+            telling = self._first_due(end, {n for n in self.expires if n in self.ends})
+            if telling is None or first < telling:
+                self.clock = end if telling is None else telling - 1
+                self._expire()
+                continue
+            self.clock = max(self.clock, telling - 1)
             self._quiesce(FIRE_LIMIT)
-            self.clock = until
+            # those that can only end matches leave together, up to the next that can bring about some
+            self.clock = telling
+            self._expire()
+            other = self._first_due(end, {n for n in self.expires if n in self.begins})
+            self.clock = end if other is None else max(self.clock, other - 1)
             self._expire()
         self.clock = end
 
@@ -276,26 +288,13 @@ class RuleSession:
         span = F.col(t.duration) if t.duration else F.lit(0)
         return F.col("ts0") + span + self.expires[name] + 1
 
-    def _next_due(self, end: int) -> tuple[int, int] | None:
-        """The next deadline up to ``end``, and the latest clock to which facts leave without another look at the rules."""
-        first: dict[bool, int] = {}
-        later = end
-        for name in self.expires:
-            deadline = self._deadline(name)
-            got = self.frames[name].where(deadline <= end).select(deadline.alias("d")).agg(F.min("d")).first()[0]
-            if got is not None:
-                sign = name in self.negative
-                first[sign] = min(got, first.get(sign, got))
-        if not first:
-            return None
-        time = min(first.values())
-        if first.get(True, end + 1) <= time:  # what leaves now can bring about matches, which the next facts to leave may end
-            for name in self.expires:
-                deadline = self._deadline(name)
-                got = self.frames[name].where((deadline <= end) & (deadline > time)).select(deadline.alias("d")).agg(F.min("d")).first()[0]
-                later = later if got is None else min(later, got - 1)
-            return time, max(time, later)
-        return time, min(end, first.get(True, end + 1) - 1)
+    def _first_due(self, end: int, names: set[str]) -> int | None:
+        """The first deadline up to ``end`` of facts of these types."""
+        found = None
+        for name in sorted(names):
+            got = self.frames[name].select(self._deadline(name).alias("d")).where(F.col("d") <= end).agg(F.min("d")).first()[0]
+            found = got if found is None or got is not None and got < found else found
+        return found
 
     def _expire(self) -> bool:
         changed = False
@@ -311,6 +310,7 @@ class RuleSession:
     def _leave(self, name: str, out: DataFrame, rest: DataFrame) -> None:
         out = out.checkpoint()
         self.deleted.append(out.select("handle"))
+        self.dying.append(out.select("handle"))
         self._set(name, rest)
         windows = [x for r in self.rules for x in walk(r.lhs) if isinstance(x, Accumulate) and x.window and x.window[0] == "length" and x.source.type == name]
         if not windows:
@@ -410,18 +410,19 @@ class RuleSession:
         if self.settled.get(rule.name) == self._state(rule):
             return None
         df, env = self.matches(rule)
-        df = df.checkpoint()
         done = self.fired.get(rule.name)
-        if done is not None:
-            # a match that ceased may fire again when it comes back
-            self.fired[rule.name] = done = done.join(df.select("_key"), "_key", "left_semi").checkpoint()
-            df = df.join(done, "_key", "left_anti")
-        return df, env
+        if done is None:
+            return df.checkpoint(), env
+        # a match that ceased may fire again when it comes back
+        flagged = df.join(done.select(F.col("_key").alias("#done")), F.col("_key") == F.col("#done"), "left").checkpoint()
+        self.fired[rule.name] = flagged.where("`#done` is not null").select("_key").distinct()
+        return flagged.where("`#done` is null").drop("#done"), env
 
     def _mark(self, rule: RuleDef, keys: DataFrame) -> None:
+        """Matches of checkpointed frames that have fired."""
         keys = keys.select("_key").distinct()
         done = self.fired.get(rule.name)
-        self.fired[rule.name] = (keys if done is None else done.unionByName(keys).distinct()).checkpoint()
+        self.fired[rule.name] = keys if done is None else done.unionByName(keys).distinct().checkpoint()
 
     def _can_match(self, rule: RuleDef) -> bool:
         return all(p.type in self.frames for p in walk(rule.lhs) if isinstance(p, Pattern))
@@ -608,13 +609,13 @@ class RuleSession:
         values = {f: comp.value(v, {}, env)[0].cast(kind.kind(f)) for f, v in a.changes}
         handle = F.col(f"{b.column}handle").alias("handle")
         if not values:
-            return df.select(handle).checkpoint()
+            return df.select(handle)
         rows = df.select(handle, F.struct("_seq", *(v.alias(f) for f, v in values.items())).alias("c"))
-        last = rows.groupBy("handle").agg(F.max("c").alias("c")).checkpoint()  # the last firing's values stand
+        last = rows.groupBy("handle").agg(F.max("c").alias("c"))  # the last firing's values stand
         frame = self.frames[kind.name]
         joined = frame.join(last, "handle", "left")
         changed = {f: F.when(F.col("c").isNotNull(), F.col(f"c.{f}")).otherwise(F.col(f)) for f in values}
-        self._set(kind.name, joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in frame.columns)).checkpoint())
+        self._set(kind.name, joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in frame.columns)).checkpoint(), modified=True)
         return last.select("handle")
 
     # --- truth maintenance
@@ -625,11 +626,11 @@ class RuleSession:
             return
         logical = [r for r in self.rules if any(isinstance(a, Insert) and a.logical for a in r.actions) and self._can_match(r)]
         while True:
-            open_ = [r for r in logical if self.kept.get(r.name) != self._state(r)]
+            self._cascade()
+            open_ = [r for r in logical if self.kept.get(r.name) != self._supports(r)]
             if not open_:
                 return
-            self._cascade()
-            states = {r.name: self._state(r) for r in open_}
+            states = {r.name: self._supports(r) for r in open_}
             now = None
             for r in open_:
                 keys = self.matches(r)[0].select(F.lit(r.name).alias("rule"), F.col("_key").alias("key"))
@@ -640,10 +641,16 @@ class RuleSession:
             self.kept |= states
             out = marked.where("not `#keep`")
             if out.isEmpty():
-                continue
+                return
             self.support = marked.where("`#keep`").drop("#keep")
             self._retract(out.select("type", "handle").distinct().join(self.support.select("handle").distinct(), "handle", "left_anti").checkpoint())
 
+    def _supports(self, rule: RuleDef) -> tuple:
+        """What a rule's supports rest on beside their members: matches of patterns alone cease only as a member leaves or is written."""
+        if all(isinstance(x, Pattern) and not any(isinstance(c, Temporal) for c in walk(x.conditions)) for x in rule.lhs):
+            return tuple(self.modified.get(t, 0) for t in self._reads[rule.name][0])
+        return self._state(rule)
+
     def _retract(self, lost: DataFrame) -> None:
         for row in lost.select("type").distinct().collect():
             fell = lost.where(F.col("type") == row[0]).select("handle")
@@ -653,18 +660,23 @@ class RuleSession:
     def _cascade(self) -> None:
         """Supports with a member that is gone fall, and with its last one the fact, until nothing falls.
 
-        A fact with a single support that rests on a single logical fact falls
-        with that one, so chains of such facts are followed by pointer jumping,
-        in a number of rounds that is the logarithm of their length; what rests
-        on several is followed level by level.
+        What rests on several facts is followed level by level.  A fact with a
+        single support that rests on a single logical fact falls with that one,
+        so from the third level on chains of such facts are followed by pointer
+        jumping, in a number of rounds that is the logarithm of their length.
         """
-        while True:
+        level = 0
+        while self.dying:
+            gone = self.dying[0]
+            for d in self.dying[1:]:
+                gone = gone.unionByName(d)
+            self.dying = []
             members = self.support.select("type", "handle", "rule", "key", F.explode(F.array_distinct("tuple")).alias("member"))
-            live = self._handles().withColumnRenamed("handle", "member")
-            dead = members.join(live, "member", "left_anti").select("rule", "key", "handle").distinct().checkpoint()
+            dead = members.join(gone.withColumnRenamed("handle", "member"), "member", "left_semi").select("rule", "key", "handle").distinct().checkpoint()
             if dead.isEmpty():
                 return
-            bad = dead.unionByName(self._chained(members, dead)).distinct()
+            level += 1
+            bad = dead if level < 3 else dead.unionByName(self._chained(members, dead)).distinct()
             marked = self.support.join(bad.withColumn("#d", F.lit(True)), ["rule", "key", "handle"], "left").select(*self.support.columns, "#d").checkpoint()
             self.support = marked.where("`#d` is null").drop("#d")
             out = marked.where("`#d` is not null").select("type", "handle").distinct()

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 from oracle import compare, connect  # noqa: E402
 
-from sparkrules.plans import catalog  # noqa: E402
+from sparkrules.plans import catalog, catalog_sessions  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 #: no such events in the smallest sample
