@@ -246,8 +246,8 @@ def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     joined = roots if more.isEmpty() else components(links.unionByName(more)).withColumnRenamed("node", "rn")
     delete(bags, crowded)
     rooted = classes.join(joined, F.col("node") == F.col("rn"), "left").select("digest", "class_id", F.coalesce("root", "node").alias("root"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("class_id", "digest")).alias("first")).select(F.col("root").alias("fr"), "first")
-    return signed.select("doc_id", "digest"), rooted.join(first, F.col("root") == F.col("fr")).select(F.col("digest").alias("d"), "class_id", "first")
+    first = rooted.groupBy(F.col("root").alias("k")).agg(F.min(F.struct("class_id", "digest")).alias("first"), F.count("*").alias("n"))
+    return signed.select("doc_id", "digest"), join_counted(rooted, "root", first).select(F.col("digest").alias("d"), "class_id", "first")
 
 
 def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, ngram_scoring, packing, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity
+from pyspark.sql import functions as F
+
+from sparkrules.llm import chat_format, embedding_dedup, minhash_dedup, ngram_scoring, packing, pieces, quality_classifier, quality_rules, sql, suffix_dedup, toxicity
 from sparkrules.llm.common import read
 
 
@@ -53,6 +55,21 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.measure(read(spark, sf_dir, "documents"))
 
 
+# what SQL can express of operators that it cannot express as a whole
+
+
+def ngram_base_figures(spark, sf_dir):
+    return op2_ngram_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 3))
+
+
+def suffix_dedup_words(spark, sf_dir):
+    return op5_suffix_dedup(spark, sf_dir).select("doc_id", "n_shared_words", "n_removed_words")
+
+
+def quality_rules_figures(spark, sf_dir):
+    return op10_quality_rules(spark, sf_dir).drop("kept", "ratio", "bad_share")
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -65,8 +82,18 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_quality_rules": op10_quality_rules,
+        "ngram_base_figures": ngram_base_figures,
+        "suffix_dedup_words": suffix_dedup_words,
+        "quality_rules_figures": quality_rules_figures,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op9_chat_format": chat_format.SQL}
+    return {
+        "op6_minhash_dedup": sql.MINHASH,
+        "op7_embedding_dedup": sql.EMBEDDING,
+        "op9_chat_format": chat_format.SQL,
+        "ngram_base_figures": sql.NGRAM_BASE,
+        "suffix_dedup_words": sql.SUFFIX_WORDS,
+        "quality_rules_figures": sql.RULE_FIGURES,
+    }
