@@ -15,8 +15,8 @@ come first; a null conv_id is one conversation; messages of the same turn are
 ordered by role, then text; rows equal in all four columns are one row with
 ``copies`` above 1 that stands ``copies`` times in the dialogue.  A
 conversation of context roles alone has one rendering, of perspective null.
-``<|`` inside a text becomes ``<\\|``, so that no text can forge a marker.  Other
-columns are ignored.
+``<|`` inside a text becomes ``<\\|``, so that no text can forge a marker.  A very
+long text is one segment.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +38,10 @@ def segments(conversations: DataFrame, context: tuple[str, ...] = CONTEXT, block
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("said"),
     )
     speaks = F.when(~c("role").isin(*context), c("role"))
-    party = rows.groupBy("conv_id").agg(F.collect_set(speaks).alias("party")).withColumnRenamed("conv_id", "of")
+    speakers = rows.where(speaks.isNotNull()).select(c("conv_id").alias("of"), c("role").alias("perspective")).distinct()
     said = rows.groupBy("conv_id", "turn", "role", "said").agg(F.count("*").alias("copies"))
-    seen = said.join(party, c("conv_id").eqNullSafe(c("of"))).select(
-        "conv_id", "turn", "role", "said", "copies", F.explode_outer("party").alias("perspective")
-    )
+    # a conversation without speakers has one rendering
+    seen = said.join(speakers, c("conv_id").eqNullSafe(c("of")), "left").select("conv_id", "turn", "role", "said", "copies", "perspective")
     own = c("perspective").isNotNull() & (c("role") == c("perspective"))
     head = (
         F.when(own, F.lit("<|assistant|>\n"))

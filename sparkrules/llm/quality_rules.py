@@ -9,7 +9,8 @@ alphabets (lower case letters, hexadecimal digits) compresses about as well as
 prose and is not told from it.
 
 Cases: a null text is an empty one, has no words and fails the base rule; the
-row stays in the result.  Repeated rows and ids are judged row by row.  Other
+row stays in the result.  Repeated rows and ids are judged row by row.  A very
+long text is compressed whole, by itself.  Ratios at a limit pass.  Other
 columns are ignored by ``measure`` and carried along by ``keep``.
 """
 

@@ -592,6 +592,23 @@ def test_chat_rotation(spark):
     assert "Python" not in chat_format.segments(df)._jdf.queryExecution().toString()
 
 
+def test_chat_of_many_speakers_at_one_turn(spark):
+    """One turn number for a whole conversation, and more speakers than a block holds."""
+    said = [(5, 0, f"p{k:03d}", f"said {k}") for k in range(120)]
+    got = chat_format.segments(spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    by = defaultdict(list)
+    for g in got:
+        by[g["perspective"]].append(g)
+    assert len(by) == 120
+    for who, segs in by.items():
+        segs.sort(key=lambda g: g["position"])
+        at = 0
+        for g in segs:
+            assert g["char_start"] == at and g["learned"] == (g["role"] == who)
+            at += g["chars"] * g["copies"]
+        assert sum(g["copies"] for g in segs) == 120
+
+
 def test_quality_rules(docs, rows, empty):
     got = defaultdict(list)
     for g in quality_rules.measure(docs).collect():
@@ -654,17 +671,84 @@ def test_batches_are_cut_by_bytes():
     assert [b.num_rows for b in common.slices(iter([batch]), most=100)] == [2, 1, 2]
 
 
-def test_pipeline_stages(spark, tmp_path):
-    docs, labels = marked(spark, 120)
+def brute_cut(rows, n=suffix_dedup.PASSAGE):
+    """Words left of each document once passages that an earlier place has are cut, in order of doc_id."""
+    first, left = set(), {}
+    for i, t in sorted((r["doc_id"], r["text"] or "") for r in rows):
+        w, gone = words(t), set()
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            if key in first:
+                gone |= set(range(k, k + n))
+            first.add(key)
+        left[i] = [x for k, x in enumerate(w) if k not in gone]
+    return left
+
+
+def brute_rules(text):
+    import zstandard
+
+    w = words(text)
+    windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    cover = {j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+    return len(w) >= 20 and 100 * len(cover) <= 30 * len(w) and quality_rules.judge((text or "").encode(), zstandard.ZstdCompressor(level=3), quality_rules.Bands())[2]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs, labels = marked(spark, 150)
+    r, base = random.Random(21), docs.where("doc_id >= 0").collect()
+    shared = " ".join(r.choice(WORDS) for _ in range(70))
+    more = [(1000, "x " * 300), (1001, "short text"), (1002, None), (1003, ""), (1004, " ".join(r.choice(WORDS) for _ in range(40)) + " " + shared), (1005, shared + " " + " ".join(r.choice(WORDS) for _ in range(50)))]
+    for k in range(20):  # near and exact copies
+        w = base[k]["text"].split(" ")
+        w[r.randrange(len(w))] = r.choice(WORDS) if k % 2 else w[0]
+        more.append((2000 + k, " ".join(w)))
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", None if i % 2 else "s1", None) for i, t in more], docs.schema))
+    docs = docs.withColumns({"score": F.lit(0.5), "digest": F.lit("d"), "_Doc": F.lit(1), "node": F.lit(2), "kept": F.lit(True)})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    sizes = []
+    scores = {g["doc_id"]: g["score"] for g in quality_classifier.score(now, quality_classifier.train(now, labels)).collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [r.asDict() for r in now.collect()]
         now = common.store(stage(spark, now, str(tmp_path)), name)
         assert now.columns == docs.columns
-        sizes.append(now.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 50
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert packed.select("doc_id").distinct().count() == sizes[-1]
+        got = {r["doc_id"]: r["text"] for r in now.collect()}
+        assert len(got) == now.count()
+        if name == "quality_classifier":
+            want = {r["doc_id"] for r in before if scores[r["doc_id"]] >= 0.5}
+        elif name == "quality_rules":
+            want = {r["doc_id"] for r in before if brute_rules(r["text"])}
+        elif name == "minhash_dedup":
+            want = set(near_groups([(r["doc_id"], r["text"]) for r in before]).values())
+        else:
+            left = brute_cut(before)
+            want = {i for i, w in left.items() if w}
+            assert all(words(got[i]) == left[i] for i in want)
+        assert set(got) == want, name
+        assert 50 < len(want) <= len(before)
+    assert 1004 in got and 1005 in got and not set(got) & {1000, 1001, 1002, 1003}
+    coder, pieces_ = Tokenizer.from_file(vocab.path(PACK[0])), defaultdict(list)
+    for g in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces_[g["doc_id"]].append(g)
+    assert set(pieces_) == set(got)
+    for i, parts in pieces_.items():
+        ids, at = coder.encode(got[i], add_special_tokens=False).ids + [0], 0
+        for g in sorted(parts, key=lambda g: g["start"]):
+            assert g["start"] == at and g["ids_crc32"] == zlib.crc32(np.array(ids[at : at + g["length"]], "<u4").tobytes())
+            at += g["length"]
+        assert at == len(ids)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, docs, empty):
+    spark.createDataFrame([(0, 1, 0)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    for k, table in enumerate((empty, docs)):  # nulls in any column, repeated rows, empty and long texts
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.store(stage(spark, now, str(tmp_path)), name)
+            assert now.columns == table.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert (packed.count() > 0) == bool(k)
     assert set(registry.oracle_sql()) <= set(registry.queries())
