@@ -12,7 +12,8 @@ Order inside a step is by (salience, handles); it names firings and handles but
 does not interleave consequences with matching.
 
 A rule is looked at again only after a type that its conditions read has
-changed (or the clock, where they read that).  External updates are gathered
+changed (or the clock, where they read that); first conditions that several
+rules share are matched once for all of them.  External updates are gathered
 and applied together, in one pass over each type, before anything reads the
 facts; a handle of a fact that is gone is reported then.
 """
@@ -25,6 +26,7 @@ import functools
 from collections.abc import Callable, Iterable
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +103,9 @@ class RuleSession:
             self.insert(name, data)
 
     def _clear(self) -> None:
+        for _, df, _ in getattr(self, "prefixes", {}).values():
+            df.unpersist()
+        self.prefixes: dict[tuple, tuple] = {}
         self.frames: dict[str, DataFrame] = {}
         self.version: dict[str, int] = {}  # changes of each type, and those that wrote fields
         self.modified: dict[str, int] = {}
@@ -111,7 +116,8 @@ class RuleSession:
         self.kept: dict[str, tuple] = {}  # the same, when all supports by a rule matched
         self.changes: dict[int, dict] = {}
         self.given: list[tuple[int, int]] = []  # handles put in from outside since the last report
-        self.gone: dict[str, DataFrame] = {}
+        self.rings: dict[tuple, tuple] = {}  # by (source, window): what was seen of the type, the epoch and the places
+        self.written: dict[str, list[tuple[set, DataFrame]]] = {}  # fields and handles that were written, by type
         self.depth: dict[str, int] = {}
         self.focus: list[str] = []
         self.support: DataFrame | None = None
@@ -141,8 +147,61 @@ class RuleSession:
         """Forget facts, matches, supports and the clock; keep rules and types."""
         self._clear()
 
-    def _world(self, **frames: DataFrame) -> World:
-        return World(self.spark, self.types, self.frames | frames, self.program.queries, self.clock, self.gone, self.strict)
+    def _world(self) -> World:
+        rings = {key: self._places(*key).where("active") for key in self._windows if key[0].type in self.frames}
+        return World(self.spark, self.types, self.frames, self.program.queries, self.clock, rings, self.strict)
+
+    @functools.cached_property
+    def _windows(self) -> list[tuple]:
+        """(source, window) of the length windows whose sources depend on no other pattern."""
+        found = [(x.source, x.window) for r in self.rules for x in walk(r.lhs) if isinstance(x, Accumulate) and x.window and x.window[0] == "length"]
+        free = lambda p: {v for v, _ in p.bindings} >= {y.name for y in walk(p.conditions) if isinstance(y, Ref) and y.name.startswith("$")} and not any(isinstance(y, Temporal) for y in walk(p.conditions))
+        return list(dict.fromkeys(k for k in found if free(k[0])))
+
+    def _places(self, source: Pattern, window: tuple) -> DataFrame:
+        """State of a length window: each fact it has admitted, its place (null: pushed out) and whether it is a member.
+
+        A fact takes the last place when the source first admits it, and the
+        oldest place beyond the window's length is given up.  Who leaves the
+        source or the session is no member any more and keeps the place; who was
+        a member and is admitted still or again becomes one by a write of a bound
+        field, outside the places if its own was given up.
+        """
+        name, n = source.type, window[1]
+        seen = self.version[name]
+        old = self.rings.get((source, window))
+        if old is not None and old[0] == seen:
+            return old[2]
+        bare = World(self.spark, self.types, self.frames, clock=self.clock)
+        passing = Compilation(bare).passing(source)
+        epoch = old[1] + 1 if old else 0
+        state = old[2] if old else self.spark.createDataFrame([], "handle long, slot decimal(38,0), active boolean")
+        slot = (F.lit(epoch).cast("decimal(18,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("handle")).cast("decimal(38,0)")
+        new = passing.join(state.select("handle"), "handle", "left_anti").select("handle", slot.alias("slot"), F.lit(True).alias("active"))
+        both = state.unionByName(new).checkpoint()
+        last = both.where("slot is not null").orderBy(F.desc("slot")).limit(n).agg(F.count("*"), F.min("slot")).first()
+        kept = F.col("slot").isNotNull() & (F.lit(last[0] < n) | (F.col("slot") >= F.lit(last[1])))
+        mask, written = {f for _, f in source.bindings}, None
+        for fields, handles in self.written.get(name, []):
+            if fields & mask:
+                written = handles if written is None else written.unionByName(handles)
+        flag = lambda df, c: df.select(F.col("handle").alias(c)).distinct()
+        both = both.join(flag(passing, "#p"), F.col("handle") == F.col("#p"), "left").join(flag(self.frames[name], "#l"), F.col("handle") == F.col("#l"), "left")
+        told = F.lit(False)
+        if written is not None:
+            both, told = both.join(flag(written, "#w"), F.col("handle") == F.col("#w"), "left"), F.col("#w").isNotNull()
+        pushed = F.col("slot").isNotNull() & ~kept
+        active = F.col("#p").isNotNull() & ~pushed & (F.col("active") | told)
+        now = both.select("handle", F.when(kept, F.col("slot")).alias("slot"), active.alias("active"), F.col("#l").isNotNull().alias("live"))
+        now = now.where("live or slot is not null").drop("live").checkpoint()
+        self.rings[source, window] = seen, epoch, now
+        if all(self.rings.get(k, (None,))[0] == seen for k in self._windows if k[0].type == name):
+            self.written.pop(name, None)
+        return now
+
+    def _wrote(self, name: str, fields, handles: DataFrame) -> None:
+        if any(p.type == name for p, _ in self._windows):
+            self.written.setdefault(name, []).append((set(fields), handles.select("handle").checkpoint()))
 
     def _need_started(self, what: str) -> None:
         if not self.started:
@@ -234,6 +293,7 @@ class RuleSession:
         hit = now.where("`#h` is not null").count()
         if hit:
             self._set(name, now.drop("#h"), modified=True)
+            self._wrote(name, fields, values)
         return hit
 
     def delete(self, handle) -> list[int]:
@@ -312,16 +372,6 @@ class RuleSession:
         self.deleted.append(out.select("handle"))
         self.dying.append(out.select("handle"))
         self._set(name, rest)
-        windows = [x for r in self.rules for x in walk(r.lhs) if isinstance(x, Accumulate) and x.window and x.window[0] == "length" and x.source.type == name]
-        if not windows:
-            return
-        # of facts that are gone, those that still hold a place in a window
-        past = self.gone[name].unionByName(out) if name in self.gone else out
-        world, keep = dataclasses.replace(self._world(), gone={name: past}), None
-        for x in windows:
-            places = Compilation(world).places(x).select("handle")
-            keep = places if keep is None else keep.unionByName(places)
-        self.gone[name] = past.join(keep.distinct(), "handle", "left_semi").select(past.columns).checkpoint()
 
     def _handles(self) -> DataFrame:
         frames = [f.select("handle") for f in self.frames.values()]
@@ -358,8 +408,15 @@ class RuleSession:
 
     def matches(self, rule: RuleDef, world: World | None = None) -> tuple[DataFrame, dict]:
         """All current matches of a rule: handles, key, salience, and its variables' columns."""
-        comp = Compilation(world or self._world())
-        df, env = comp.lhs(rule.lhs)
+        size = 0 if world else self._shared.get(rule.name, 0)
+        if size:  # other rules begin alike
+            comp = Compilation(self._world(), first=1000)
+            df, env = self._prefix(rule.lhs[:size])
+            for ce in rule.lhs[size:]:
+                df, env = comp.step(df, env, ce)
+        else:
+            comp = Compilation(world or self._world())
+            df, env = comp.lhs(rule.lhs)
         handles = [c for c in df.columns if c.endswith("__handle")]
         reads = [b.column for b in env.values() if b.type is None]
         listened = self._listened(rule, env)
@@ -371,6 +428,28 @@ class RuleSession:
         tuple_ = F.array(*(F.col(c) for c in handles)) if handles else F.array().cast("array<bigint>")
         return df.select("*", tuple_.alias("_tuple"), key.alias("_key"), salience.cast("double").alias("_salience")), env
 
+    @functools.cached_property
+    def _shared(self) -> dict[str, int]:
+        """By rule: how many of its first conditions, two or more, some other rule has as well."""
+        out = {}
+        for r in self.rules:
+            alike = [k for o in self.rules if o is not r for k in range(len(r.lhs), 1, -1) if o.lhs[:k] == r.lhs[:k]]
+            if alike:
+                out[r.name] = max(alike)
+        return out
+
+    def _prefix(self, parts: tuple) -> tuple[DataFrame, dict]:
+        """Matches of first conditions, kept for all rules that begin with them until what they read changes."""
+        types = sorted({x.type for x in walk(parts) if isinstance(x, Pattern)} | {t for x in walk(parts) if isinstance(x, Call) for t in self.types})
+        state = (*(self.version.get(t, 0) for t in types), self.clock)
+        found = self.prefixes.get(parts)
+        if found is None or found[0] != state:
+            if found is not None:
+                found[1].unpersist()
+            df, env = Compilation(self._world()).lhs(parts)
+            found = self.prefixes[parts] = state, df.persist(StorageLevel.MEMORY_AND_DISK), env
+        return found[1], dict(found[2])
+
     def _listened(self, rule: RuleDef, env: dict) -> set[str]:
         """Columns of fields that patterns bound to a fact constrain."""
         out = set()
@@ -509,7 +588,9 @@ class RuleSession:
         return True
 
     def _run(self, rule: RuleDef, df: DataFrame, env: dict, n: int) -> None:
-        df, _ = numbered(df, [F.desc("_salience"), F.col("_tuple"), F.col("_key")], "_seq", self.seq)
+        # of equal saliences by value the newest is first
+        by = F.col("_tuple") if isinstance(rule.salience, int) else F.desc("_tuple")
+        df, _ = numbered(df, [F.desc("_salience"), by, F.col("_key")], "_seq", self.seq)
         self.run_from, self.run_size = self.seq, n
         self.seq += n
         self._mark(rule, df)
@@ -616,6 +697,7 @@ class RuleSession:
         joined = frame.join(last, "handle", "left")
         changed = {f: F.when(F.col("c").isNotNull(), F.col(f"c.{f}")).otherwise(F.col(f)) for f in values}
         self._set(kind.name, joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in frame.columns)).checkpoint(), modified=True)
+        self._wrote(kind.name, values, last)
         return last.select("handle")
 
     # --- truth maintenance

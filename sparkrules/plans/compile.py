@@ -42,7 +42,7 @@ class World:
     frames: dict[str, DataFrame]
     queries: dict[str, QueryDef] = field(default_factory=dict)
     clock: int | None = None
-    gone: dict[str, DataFrame] = field(default_factory=dict)  # facts that have left, where a length window counts them
+    rings: dict[tuple, DataFrame] = field(default_factory=dict)  # members of length windows by (source, window), where they are kept
     strict: bool = False  # whether queries keep to the narrow language of ``check_query``
 
 
@@ -134,8 +134,8 @@ def full_match(pattern: str) -> str:
 
 
 class Compilation:
-    def __init__(self, world: World, strict: bool = True, given: dict[str, DataFrame] | None = None):
-        self.world, self.strict, self.n, self.given = world, strict, itertools.count(), given or {}
+    def __init__(self, world: World, strict: bool = True, given: dict[str, DataFrame] | None = None, first: int = 0):
+        self.world, self.strict, self.n, self.given = world, strict, itertools.count(first), given or {}
 
     # --- values
 
@@ -238,14 +238,12 @@ class Compilation:
 
     # --- patterns
 
-    def source(self, p: Pattern, env: dict, past: bool = False) -> tuple[DataFrame, dict, dict, list[Column], list]:
-        """The frame (with facts that are gone, if ``past``) under new names, its fields, the pattern's variables, its tests, and those that are temporal."""
+    def source(self, p: Pattern, env: dict) -> tuple[DataFrame, dict, dict, list[Column], list]:
+        """The frame under new names, its fields, the pattern's variables, its tests, and those that are temporal."""
         if p.type not in self.world.types:
             raise RuleError(f"no fact type {p.type}")
         kind, prefix = self.world.types[p.type], f"r{next(self.n)}__"
-        frame, past = self.world.frames[p.type], past and p.type in self.world.gone
-        if past:
-            frame = frame.withColumn("#live", F.lit(True)).unionByName(self.world.gone[p.type].withColumn("#live", F.lit(False)))
+        frame = self.world.frames[p.type]
         if "ep" in frame.columns:
             where = F.col("ep") == p.entry_point if p.entry_point else F.col("ep").isNull()
             frame = frame.where(where)
@@ -253,8 +251,6 @@ class Compilation:
         if kind.timestamp:
             ts = F.col("ts0") if "ts0" in frame.columns else F.col(kind.timestamp)
             extra.append(ts.alias(f"{prefix}ts0"))
-        if past:
-            extra.append(F.col("#live").alias(f"{prefix}live"))
         frame = frame.select(*(F.col(f"`{n}`").alias(f"{prefix}{n}") for n in kind.names), *extra)
         own = {n: (F.col(f"{prefix}{n}"), kind.kind(n)) for n in kind.names}
         own["#type"] = kind
@@ -430,7 +426,7 @@ class Compilation:
         pairs = F.sort_array(F.collect_list(F.when(hit.isNotNull() & x.isNotNull(), F.struct((order if order is not None else x).alias("o"), x.alias("x")))), False)
         return F.transform(pairs, lambda s: s["x"]), T.ArrayType(kind), empty, False
 
-    def windowed(self, frame: DataFrame, own: dict, window: tuple | None) -> DataFrame:
+    def windowed(self, frame: DataFrame, own: dict, window: tuple | None, ring: DataFrame | None = None) -> DataFrame:
         if window is None:
             return frame
         prefix = own["#prefix"]
@@ -440,21 +436,19 @@ class Compilation:
             return frame.where(F.col(f"{prefix}ts0") + window[1] > self.world.clock)
         if f"{prefix}handle" not in frame.columns:
             raise RuleError("a length window needs handles")
-        # members that are gone keep their places
-        last = frame.orderBy(F.desc(f"{prefix}handle")).limit(window[1])
-        return last.where(F.col(f"{prefix}live")) if f"{prefix}live" in frame.columns else last
+        if ring is not None:
+            return frame.join(ring.select(F.col("handle").alias("#member")), F.col(f"{prefix}handle") == F.col("#member"), "left_semi")
+        return frame.orderBy(F.desc(f"{prefix}handle")).limit(window[1])
 
-    def places(self, a: Accumulate) -> DataFrame:
-        """Handles of all facts, also such that are gone, that hold a place in a length window."""
-        frame, own, _, tests, _ = self.source(a.source, {}, past=True)
-        prefix = own["#prefix"]
-        frame = frame.where(self.all_of(tests)) if tests else frame
-        return frame.orderBy(F.desc(f"{prefix}handle")).limit(a.window[1]).select(F.col(f"{prefix}handle").alias("handle"))
+    def passing(self, p: Pattern) -> DataFrame:
+        """Handles of the facts that a pattern without outer variables admits."""
+        frame, own, _, tests, _ = self.source(p, {})
+        return (frame.where(self.all_of(tests)) if tests else frame).select(F.col(f"{own['#prefix']}handle").alias("handle"))
 
     def accumulate(self, df: DataFrame | None, env: dict, a: Accumulate | Collect) -> tuple[DataFrame, dict]:
         p = a.source
-        counted = isinstance(a, Accumulate) and a.window is not None and a.window[0] == "length"
-        frame, own, new, tests, _ = self.source(p, env, past=counted)
+        ring = self.world.rings.get((p, a.window)) if isinstance(a, Accumulate) else None
+        frame, own, new, tests, _ = self.source(p, env)
         prefix = own["#prefix"]
         correlated = [c for c in p.conditions if any(r.name in env for r in refs(c)) or isinstance(c, Temporal)]
         order = F.col(f"{prefix}handle") if f"{prefix}handle" in frame.columns else None
@@ -471,13 +465,13 @@ class Compilation:
         name = f"a{next(self.n)}"
         bound = Bound(name, result)
         if not correlated:
-            one = self.windowed(frame.where(self.all_of(tests)) if tests else frame, own, window).agg(agg.alias(name))
+            one = self.windowed(frame.where(self.all_of(tests)) if tests else frame, own, window, ring).agg(agg.alias(name))
             out = one if df is None else df.crossJoin(F.broadcast(one))  # one row
         else:
             df = self.seed(df)
             plain = [t for c, t in zip(self._conditions(p), tests[len(tests) - len(p.conditions) :]) if c not in correlated] + tests[: len(tests) - len(p.conditions)]
             keys = [self._equal_key(c, own, env) for c in correlated]
-            frame = self.windowed(frame.where(self.all_of(plain)) if plain else frame, own, window)
+            frame = self.windowed(frame.where(self.all_of(plain)) if plain else frame, own, window, ring)
             if all(keys):  # aggregate before joining
                 grouped = frame.groupBy(*{str(k[0]): F.col(k[0]) for k in keys}.values()).agg(agg.alias(name))
                 out = df.join(grouped, self.all_of([self.compare("==", (F.col(k[0]), k[1]), k[2]) for k in keys]), "left").select(*(F.col(f"`{c}`") for c in df.columns), F.col(name))
