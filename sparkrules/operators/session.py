@@ -112,6 +112,7 @@ class RuleSession:
         self.clock, self.next_handle, self.seq, self.started = 0, 1, 0, False
         self.ranges: list[tuple[int, str]] = []  # first handle of a run of facts, and their type
         self.fired: dict[str, DataFrame] = {}
+        self.asked: dict[str, DataFrame] = {}  # rows for which a rule has asked its queries
         self.settled: dict[str, tuple] = {}  # what a rule's conditions read when nothing was pending
         self.kept: dict[str, tuple] = {}  # the same, when all supports by a rule matched
         self.changes: dict[int, dict] = {}
@@ -417,16 +418,21 @@ class RuleSession:
         else:
             comp = Compilation(world or self._world())
             df, env = comp.lhs(rule.lhs)
+        return self._identified(rule, df, env, comp), env
+
+    def _key(self, rule: RuleDef, df: DataFrame, env: dict):
+        """128 bits of the handles and of the values that the rule reads."""
         handles = [c for c in df.columns if c.endswith("__handle")]
-        reads = [b.column for b in env.values() if b.type is None]
-        listened = self._listened(rule, env)
-        parts = [F.col(f"`{c}`") for c in [*handles, *sorted({*reads, *listened} & set(df.columns))]]
+        reads = {b.column for b in env.values() if b.type is None} | self._listened(rule, env)
+        parts = [F.col(f"`{c}`") for c in [*handles, *sorted(reads & set(df.columns))]]
         parts = [x for c in parts for x in (c, c.isNull())]
-        # 128 bits
-        key = F.struct(F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit("2"), *parts).alias("y"))
+        return F.struct(F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit("2"), *parts).alias("y"))
+
+    def _identified(self, rule: RuleDef, df: DataFrame, env: dict, comp: Compilation) -> DataFrame:
+        handles = [c for c in df.columns if c.endswith("__handle")]
         salience = F.lit(rule.salience) if isinstance(rule.salience, int) else comp.value(rule.salience, {}, env)[0]
         tuple_ = F.array(*(F.col(c) for c in handles)) if handles else F.array().cast("array<bigint>")
-        return df.select("*", tuple_.alias("_tuple"), key.alias("_key"), salience.cast("double").alias("_salience")), env
+        return df.select("*", tuple_.alias("_tuple"), self._key(rule, df, env).alias("_key"), salience.cast("double").alias("_salience"))
 
     @functools.cached_property
     def _shared(self) -> dict[str, int]:
@@ -477,8 +483,17 @@ class RuleSession:
                     out |= under(self.program.queries[x.query].branches, seen | {x.query})
             return out
 
+        def whole(r: RuleDef) -> tuple:
+            return r.lhs[: self._pulls(r)] if self._pulls(r) else r.lhs
+
         clocked = lambda x: isinstance(x, Temporal) or isinstance(x, Accumulate) and x.window is not None
-        return {r.name: (sorted(under(r.lhs, set())), any(map(clocked, walk(r.lhs)))) for r in self.rules}
+        return {r.name: (sorted(under(whole(r), set())), any(map(clocked, walk(r.lhs)))) for r in self.rules}
+
+    @staticmethod
+    def _pulls(rule: RuleDef) -> int:
+        """How many conditions come before the queries that end a rule; 0 if none do (or the salience is by value)."""
+        before = next((k for k, x in enumerate(rule.lhs) if isinstance(x, Call)), 0)
+        return before if isinstance(rule.salience, int) and all(isinstance(x, Call) for x in rule.lhs[before:]) else 0
 
     def _state(self, rule: RuleDef) -> tuple:
         types, clocked = self._reads[rule.name]
@@ -488,6 +503,8 @@ class RuleSession:
         """Matches that have not fired; None if nothing they read has changed since there were none."""
         if self.settled.get(rule.name) == self._state(rule):
             return None
+        if self._pulls(rule):
+            return self._pulled(rule)
         df, env = self.matches(rule)
         done = self.fired.get(rule.name)
         if done is None:
@@ -497,6 +514,21 @@ class RuleSession:
         self.fired[rule.name] = flagged.where("`#done` is not null").select("_key").distinct()
         return flagged.where("`#done` is null").drop("#done"), env
 
+    def _pulled(self, rule: RuleDef) -> tuple[DataFrame, dict]:
+        """Matches of rows that are new before the rule's queries: a query is asked once for a row, later facts do not wake it."""
+        size = self._pulls(rule)
+        comp = Compilation(self._world())
+        df, env = comp.lhs(rule.lhs[:size])
+        df = df.withColumn("#row", self._key(rule, df, env)).checkpoint()
+        seen = self.asked.get(rule.name)
+        self.asked[rule.name] = df.select(F.col("#row").alias("#seen")).distinct()
+        if seen is not None:
+            df = df.join(seen, F.col("#row") == F.col("#seen"), "left_anti")
+        df = df.drop("#row")
+        for ce in rule.lhs[size:]:
+            df, env = comp.step(df, env, ce)
+        return self._identified(rule, df, env, comp).checkpoint(), env
+
     def _mark(self, rule: RuleDef, keys: DataFrame) -> None:
         """Matches of checkpointed frames that have fired."""
         keys = keys.select("_key").distinct()
@@ -626,6 +658,14 @@ class RuleSession:
         """Matches that the handles bring about do not fire."""
         if not self._can_match(rule):
             return
+        if self._pulls(rule):
+            df, env = Compilation(self._world()).lhs(rule.lhs[: self._pulls(rule)])
+            columns = [F.col(c) for c in df.columns if c.endswith("__handle")]
+            if columns:
+                rows = df.select(self._key(rule, df, env).alias("#seen"), F.explode(F.array(*columns)).alias("handle")).join(handles.distinct(), "handle", "left_semi").select("#seen")
+                seen = self.asked.get(rule.name)
+                self.asked[rule.name] = (rows if seen is None else seen.unionByName(rows)).distinct().checkpoint()
+            return
         found = self._pending(rule)
         if found is None:
             return

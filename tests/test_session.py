@@ -308,3 +308,28 @@ def test_length_window_takes_members_back_by_writes_of_bound_fields(spark):
     assert total() == [(1007,)]
     s.delete(first)
     assert total() == [(7,)]
+
+
+def test_a_pulled_query_is_asked_once_for_a_row(spark):
+    text = """
+        query of(long $v, String $k) T(k == $k, v == $v) end
+        rule "pull" when A($a : a) ?of($a, $k;) then insert(new Out($k, $a)); end
+    """
+    s, got = run(spark, text, {"A": {"a": [1, 2]}, "T": {"k": ["x"], "v": [1]}}, [A, T, OUT])
+    assert got.fired == 1 and rows(s.facts("Out"), "k", "v") == [("x", 1)]
+    s.insert("T", {"k": ["y", "z"], "v": [2, 3]})
+    assert s.fire().fired == 0  # facts of the query do not wake the rule
+    s.insert("A", {"a": [3, 1]})
+    assert s.fire().fired == 2 and rows(s.facts("Out"), "k", "v") == [("x", 1), ("x", 1), ("z", 3)]
+    s.update(2, a=3)  # a new row asks again
+    assert s.fire().fired == 1
+
+
+def test_quiet_writes_do_not_wake_pulls_nor_swallow_others(spark):
+    text = """
+        query of(long $v, String $k) T(k == $k, v == $v) end
+        rule "set" salience 5 when $a : A(a == 1) then $a.setA(2); end
+        rule "pull" when A($a : a) ?of($a, $k;) then insert(new Out($k, $a)); end
+    """
+    s, _ = run(spark, text, {"A": {"a": [1, 2]}, "T": {"k": ["x"], "v": [2]}}, [A, T, OUT])
+    assert rows(s.facts("A"), "a") == [(2,), (2,)] and rows(s.facts("Out"), "k", "v") == [("x", 2)]
