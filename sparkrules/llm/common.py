@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -100,6 +101,48 @@ def join_counted(rows: DataFrame, key: str, keyed: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keyed.where(crowded)), F.col(key) == F.col("k")).unionByName(rest.join(keyed.where(~crowded), F.col(key) == F.col("k")))
 
 
+#: word hashes that this worker knows, and what it keeps from task to task, of one operator at a time
+_WORDS: dict[bytes, int] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker makes once and has until it works for another operator."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Forget the word table and return freed memory to the system: idle workers count beside the executor's heap."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable:
+    """``run`` in a worker that holds nothing of other operators (``keeps``: it uses ``kept``) and gives memory back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def forget() -> None:
+    """Drop what the worker keeps."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``rows`` rows and ``most`` bytes of the text column."""
     for batch in batches:
@@ -127,7 +170,7 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
             got = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(lean(run), schema)
 
 
 def keep_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -137,7 +180,7 @@ def keep_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray]) -> Dat
         for part in slices(batches):
             yield part.filter(pa.array(fn(part), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -163,22 +206,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of words, the same on every machine; frequent words come from a table of bounded size."""
+    """64-bit hashes of words, the same on every machine; a worker's table of at most ``most`` words saves hashing frequent ones again."""
 
     def __init__(self, most: int = 300_000):
-        self.most, self.known = most, {}
+        self.most = most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        known = self.known
+        known = _WORDS
         try:
             return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         except KeyError:
             pass
-        if len(known) > self.most:
+        new = {w for w in words if w not in known}
+        if len(known) + len(new) > self.most:
             known.clear()
-        for w in {w for w in words if w not in known}:
+            new = set(words)
+        if len(new) > self.most:  # more than the table may hold
+            return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        for w in new:
             known[w] = xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import deal, runs, sides
-from sparkrules.llm.common import WordHashes, delete, free_names, join_counted, map_texts, mix, split_words, store, texts, window_hashes
+from sparkrules.llm.common import WordHashes, delete, free_names, join_counted, lean, map_texts, mix, split_words, store, texts, window_hashes
 from sparkrules.llm.components import Sets, components
 
 WIDTH = 5
@@ -235,14 +235,14 @@ def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         bags = store(bags.join(again, F.col("node") == F.col("t"), "left_anti").unionByName(twice), "bags")
     bag = lambda n: bags.select(F.col("node").alias(f"k{n}"), F.col("bag").alias(f"bag_{n}"))
     both = pairs.join(bag("a"), F.col("a") == F.col("ka")).join(bag("b"), F.col("b") == F.col("kb")).select("a", "b", "bag_a", "bag_b")
-    links = store(both.mapInArrow(_check_pairs(least), "a long, b long"), "links")
+    links = store(both.mapInArrow(lean(_check_pairs(least)), "a long, b long"), "links")
     roots = components(links).withColumnRenamed("node", "rn")
     rooted = crowded.join(roots, F.col("node") == F.col("rn"), "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy(F.col("bucket").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "n")
     rest = join_counted(rooted, "bucket", open_).select("node", "bucket", "root")
     rest = rest.join(nodes.select(F.col("node").alias("nd"), "bands"), F.col("node") == F.col("nd")).join(bags.select(F.col("node").alias("nb"), "bag"), F.col("node") == F.col("nb"))
     rest = deal(rest.select("bucket", F.col("node").alias("doc"), "root", "bands", "bag"), "bucket", "doc", BLOCK)
-    more = store(rest.mapInArrow(_check_blocks(least), "a long, b long"), "more-links")
+    more = store(rest.mapInArrow(lean(_check_blocks(least)), "a long, b long"), "more-links")
     joined = roots if more.isEmpty() else components(links.unionByName(more)).withColumnRenamed("node", "rn")
     delete(bags, crowded)
     rooted = classes.join(joined, F.col("node") == F.col("rn"), "left").select("digest", "class_id", F.coalesce("root", "node").alias("root"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import runs
-from sparkrules.llm.common import WordHashes, crc_of_id, map_texts, mix, slices, split_words, store, texts
+from sparkrules.llm.common import WordHashes, crc_of_id, lean, map_texts, mix, slices, split_words, store, texts
 from sparkrules.llm.elias_fano import Trie, quantise
 
 FOLDS, HELD = 7, 2
@@ -254,7 +254,7 @@ def score(docs: DataFrame, prior: float = PRIOR, shard_tokens: int = SHARD_TOKEN
     often = counts.where(F.col("n") * min(8 * shards, MOST_OFTEN) >= total).collect() if total and shards > 1 else []
     heavy = {int(np.int64(r["w"]).view(np.uint64)): r["n"] for r in often}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    events = rows.mapInArrow(_events(shards, np.array(sorted(heavy), np.uint64)), EVENTS)
+    events = rows.mapInArrow(lean(_events(shards, np.array(sorted(heavy), np.uint64))), EVENTS)
     events = events.repartition(max(parts, min(shards, MOST_PARTITIONS)), "shard").sortWithinPartitions("shard")
     found = events.mapInArrow(_shards(heavy, total, discount, prior), SUMS)
     back = found.repartition(parts, "slice").sortWithinPartitions("slice")

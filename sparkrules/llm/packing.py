@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkrules.llm.common import slices, texts
+from sparkrules.llm.common import kept, lean, slices, texts
 
 LENGTH = 1024
 END_ID = 0
@@ -190,9 +190,6 @@ class _Block:
         }, len(cuts)
 
 
-_TOKENIZERS: dict[tuple, TextTokenizer] = {}
-
-
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece of a document in a sequence."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -204,8 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = _TOKENIZERS.get(key) or TextTokenizer(*key)
-        _TOKENIZERS[key] = coder  # lasts as long as the worker
+        coder = kept(key, lambda: TextTokenizer(*key))
         first, block = TaskContext.get().partitionId() << 40, _Block(coder)
 
         def closed():
@@ -222,4 +218,4 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
         if block.tokens:
             yield closed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, keeps=True), SCHEMA)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrules.llm.common import crc_of_id, keep_texts, map_texts, slices, texts
+from sparkrules.llm.common import crc_of_id, keep_texts, lean, map_texts, slices, texts
 from sparkrules.llm.learning import decide, fit_logistic, sample_ids, sigmoid
 
 MOST_LABELLED = 6_000
@@ -185,7 +185,7 @@ def figures(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total[0]], pa.list_(pa.float64())), pa.array([total[1]], pa.list_(pa.float64()))], names=["n", "s", "q"])
 
     sums = [F.sum(F.col(c)[k]) for c in ("s", "q") for k in range(N_CONTENT)]
-    got = docs.select("text").mapInArrow(run, "n long, s array<double>, q array<double>").agg(F.sum("n"), F.array(*sums[:N_CONTENT]), F.array(*sums[N_CONTENT:])).first()
+    got = docs.select("text").mapInArrow(lean(run), "n long, s array<double>, q array<double>").agg(F.sum("n"), F.array(*sums[:N_CONTENT]), F.array(*sums[N_CONTENT:])).first()
     if not got[0]:
         return None
     mean = np.array(got[1]) / got[0]

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrules.llm.blocks import whole_runs
-from sparkrules.llm.common import WordHashes, free_names, map_texts, slices, split_words, store, texts, window_hashes
+from sparkrules.llm.common import WordHashes, free_names, lean, map_texts, slices, split_words, store, texts, window_hashes
 
 PASSAGE = 50
 SEED = 8
@@ -230,7 +230,7 @@ def spans(docs: DataFrame) -> DataFrame:
     suffixes = suffixes.select("*", chunks.alias("chunks"), F.pmod(F.xxhash64("doc_id", "pos"), chunks).alias("chunk"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartition(parts, "seed", "chunk").sortWithinPartitions("seed", "chunk", "right", "doc_id", "digest", "pos")
-    matched = store(ordered.mapInArrow(_search, "doc_id long, digest long, kind long, start long, end long, name long, seed long"), "matches")
+    matched = store(ordered.mapInArrow(lean(_search), "doc_id long, digest long, kind long, start long, end long, name long, seed long"), "matches")
     heads = matched.where("kind = 2")
     place = F.struct("doc_id", "digest", "start")
     best = heads.groupBy("name", "seed").agg(F.min(place).alias("best"), F.max(place).alias("most"))
@@ -241,7 +241,7 @@ def spans(docs: DataFrame) -> DataFrame:
     all_ = inner.unionByName(joined.select("doc_id", "digest", "kind", "start", "end"))
     schema = f"doc_id long, digest long, shared array<{SPAN}>, removed array<{SPAN}>"
     grouped = all_.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end", "kind")).alias("all"))
-    return grouped.mapInArrow(_united, schema)
+    return grouped.mapInArrow(lean(_united), schema)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,4 +318,4 @@ def remove(docs: DataFrame) -> DataFrame:
             stays = pa.array([not m or bool(_WORD.search(v)) for v, m in zip(values, marks)])
             yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema).filter(stays)
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(lean(run), docs.schema)

@@ -671,6 +671,35 @@ def test_batches_are_cut_by_bytes():
     assert [b.num_rows for b in common.slices(iter([batch]), most=100)] == [2, 1, 2]
 
 
+def test_word_table_is_bounded():
+    from xxhash import xxh64_intdigest
+
+    hashes = common.WordHashes(most=10)
+    for start, n in ((0, 8), (4, 9), (100, 8), (200, 30), (0, 3)):
+        some = [b"%d" % k for k in range(start, start + n)] * 2
+        assert hashes(some).tolist() == [xxh64_intdigest(w) for w in some]
+        assert len(common._WORDS) <= 10
+    common.give_back()
+    assert not common._WORDS
+
+
+def test_workers_hold_nothing_after_a_stage(spark, docs):
+    """Each task sees a word table or tokenizer of no other one, and a worker makes its tokenizer once."""
+    import gc
+
+    def held(batch):
+        found = Counter(type(x).__name__ for x in gc.get_objects())
+        return {"n": [found["TextTokenizer"]] * batch.num_rows, "words": [len(common._WORDS)] * batch.num_rows}
+
+    for stage in (lambda: packing.pack(docs, vocab.path(PACK[0])), lambda: quality_rules.measure(docs)):
+        stage().count()
+        assert set(map(tuple, common.map_texts(docs, ["text"], held, "n long, words long").distinct().collect())) == {(0, 0)}
+    made = []
+    runs = [common.lean(lambda batches: (yield common.kept(("x",), lambda: made.append(1) or len(made))), keeps=True) for _ in range(3)]
+    assert [list(run(iter([]))) for run in runs] == [[1]] * 3
+    assert list(common.lean(lambda batches: batches)(iter([5]))) == [5] and not common._KEPT
+
+
 def brute_cut(rows, n=suffix_dedup.PASSAGE):
     """Words left of each document once passages that an earlier place has are cut, in order of doc_id."""
     first, left = set(), {}
