@@ -39,6 +39,7 @@ from sparkrules.plans.ir import Accumulate, Call, Collect, Delete, Focus, GroupB
 from sparkrules.plans.normalize import expand
 from sparkrules.sources.facts import FactType, Table, conform, infer, to_frame
 
+#: steps of one call: a rule that wakes itself without end is stopped, and large tables are not
 FIRE_LIMIT = 100_000
 META = ("handle", "ep", "ts0", "stated")
 
@@ -335,7 +336,7 @@ class RuleSession:
                 self._expire()
                 continue
             self.clock = max(self.clock, telling - 1)
-            self._quiesce(FIRE_LIMIT)
+            self._quiesce()
             # those that can only end matches leave together, up to the next that can bring about some
             self.clock = telling
             self._expire()
@@ -540,8 +541,12 @@ class RuleSession:
 
     # --- firing
 
-    def fire(self, fire_limit: int = FIRE_LIMIT, on_fire: Callable | None = None) -> FireResult:
-        """Run to quiescence; the facts that are new, the handles that are gone and the firings in order, since the last report."""
+    def fire(self, fire_limit: int | None = None, on_fire: Callable | None = None) -> FireResult:
+        """Run to quiescence; the facts that are new, the handles that are gone and the firings in order, since the last report.
+
+        ``fire_limit``: firings after which the call fails.  Without one, ``FIRE_LIMIT`` steps
+        are the bound: a step fires all matches of a rule, so their number does not depend on the size of the tables.
+        """
         self.started = True
         self._apply()
         self._quiesce(fire_limit)
@@ -566,23 +571,25 @@ class RuleSession:
                 on_fire(row["rule"])
         return result
 
-    def _quiesce(self, fire_limit: int) -> None:
+    def _quiesce(self, fire_limit: int | None = None) -> None:
         """Fire until nothing is pending."""
         if self.marks is None:
             self.marks = self.next_handle, self.seq, len(self.log)
-        first = self.seq
+        first, steps = self.seq, 0
         self._maintain()
         while True:
-            if not self._step(fire_limit - (self.seq - first)):
-                if self.focus:
-                    self.focus.pop()
-                    continue
+            left = fire_limit - (self.seq - first) if fire_limit is not None else None if steps < FIRE_LIMIT else 0
+            if self._step(left):
+                steps += 1
+            elif self.focus:
+                self.focus.pop()
+            else:
                 break
 
     def _empty_log(self) -> DataFrame:
         return self.spark.createDataFrame([], "seq long, rule string, pos int, type string, handle long, values_json string")
 
-    def _step(self, left: int) -> bool:
+    def _step(self, left: int | None) -> bool:
         group = self.focus[-1] if self.focus else "MAIN"
         rules = [r for r in self.rules if r.agenda_group == group and self._can_match(r)]
         dynamic = any(not isinstance(r.salience, int) for r in rules)
@@ -612,7 +619,7 @@ class RuleSession:
         if dynamic:
             df = df.where(F.col("_salience") == salience)
             n = df.count()
-        if n > left:
+        if left is not None and n > left:
             raise RuleError("fire limit")
         if n == whole:  # all that is pending now
             self.settled[rule.name] = state
@@ -877,7 +884,7 @@ class RuleSession:
         return run_query(self._world(), name, *args)
 
 
-def run(spark: SparkSession, rules, facts: dict[str, Any], types: list | None = None, fire_limit: int = FIRE_LIMIT, on_fire: Callable | None = None) -> tuple[RuleSession, FireResult]:
+def run(spark: SparkSession, rules, facts: dict[str, Any], types: list | None = None, fire_limit: int | None = None, on_fire: Callable | None = None) -> tuple[RuleSession, FireResult]:
     """A session over the facts, fired once."""
     session = RuleSession(spark, rules, types, facts)
     return session, session.fire(fire_limit, on_fire)

@@ -1,6 +1,7 @@
 import pytest
 
 from sparkrules import RuleSession, run
+from sparkrules.operators import session as session_module
 from sparkrules.plans.ir import RuleError
 from sparkrules.sources.facts import fact_type
 
@@ -98,6 +99,16 @@ def test_fire_limit(spark):
         run(spark, 'rule "r" when A($a : a) then insert(new A($a + 1)); end', {"A": {"a": [1]}}, [A], fire_limit=3)
 
 
+def test_large_tables_are_no_runaway(spark, monkeypatch):
+    s = RuleSession(spark, 'rule "r" when A($a : a) then insert(new B($a)); end', [A, B])
+    s.insert("A", spark.range(100_001).withColumnRenamed("id", "a"))
+    assert s.fire().fired == 100_001
+    assert s.facts("B").frame.count() == 100_001
+    monkeypatch.setattr(session_module, "FIRE_LIMIT", 3)
+    with pytest.raises(RuleError, match="fire limit"):
+        run(spark, 'rule "r" when A($a : a) then insert(new A($a + 1)); end', {"A": {"a": [1]}}, [A])
+
+
 def test_events_windows_and_expiry(spark):
     e = fact_type("E", timestamp="ts", expires_ms=1000, ts="long", v="long")
     total = fact_type("Total", v="long")
