@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkrules.operators.spread import spread
+
 RADIUS_M = 6_371_000.0
 _EPS = 1e-12
 
@@ -26,20 +28,25 @@ def haversine(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, out: st
     return df.withColumn(out, F.round(2 * RADIUS_M * F.asin(F.sqrt(h))).cast("bigint"))
 
 
-def pair_candidates(df: DataFrame, id: str, lat: str, lon: str, radius_m: float) -> DataFrame:
+def pair_candidates(df: DataFrame, id: str, lat: str, lon: str, radius_m: float, distance: str | None = None) -> DataFrame:
     """Pairs a < b that can lie within the radius: a sound prune by latitude, then by longitude.
 
-    Rows meet by cells: latitude bands, and in each band cells of a longitude
-    that is wide enough for it.  One side stands in its own cell, the other in
-    the nine around it, so the comparison is an equi-join with an exact residual.
-    Bands that the radius joins to a pole have one cell.
+    Positions are compared, each once however many rows stand there, and then
+    replaced by their rows; ``distance`` names a column for the metres between
+    them, found once for two positions too.  Positions meet by cells: latitude
+    bands, and in each band cells of a longitude that is wide enough for it.
+    One side stands in its own cell, the other in the nine around it, so the
+    comparison is an equi-join with an exact residual.  Bands that the radius
+    joins to a pole have one cell.
     """
     theta = radius_m / RADIUS_M
     band = max(theta + _EPS, 1e-6)
-    side = lambda n: df.select(
-        F.col(id).alias(f"id_{n}"), F.col(lat).cast("double").alias(f"lat_{n}"), F.col(lon).cast("double").alias(f"lon_{n}"),
-        F.radians(_finite(F.col(lat).cast("double"), lat)).alias(f"p_{n}"), F.radians(_finite(F.col(lon).cast("double"), lon)).alias(f"l_{n}"),
+    at_lat, at_lon = F.col(lat).cast("double"), F.col(lon).cast("double")
+    places = df.select(at_lat.alias("lat"), at_lon.alias("lon")).distinct()
+    side = lambda n: places.select(
+        F.col("lat").alias(f"y_{n}"), F.col("lon").alias(f"x_{n}"), F.radians(_finite(F.col("lat"), lat)).alias(f"p_{n}"), F.radians(_finite(F.col("lon"), lon)).alias(f"l_{n}")
     )
+    rows = lambda n: df.select(F.col(id).alias(f"id_{n}"), at_lat.alias(f"lat_{n}"), at_lon.alias(f"lon_{n}"))
     # cells of a band by the band's number, so that both sides agree: the widest longitude that the radius spans there
     def cells(k: Column) -> Column:
         top_ = F.greatest(F.abs(k * band), F.abs((k + 1) * band)) + theta  # furthest from the equator that a partner in this band can be
@@ -59,9 +66,20 @@ def pair_candidates(df: DataFrame, id: str, lat: str, lon: str, radius_m: float)
     dlon = F.least(raw, 2 * math.pi - raw)
     ratio = F.lit(math.sin(min(theta, math.pi / 2))) / F.cos(top)
     over_pole = (top + theta >= math.pi / 2 - _EPS) | (ratio >= 1) | (F.lit(theta) >= math.pi / 2)
-    keep = (F.col("id_a") < F.col("id_b")) & (dlat <= theta + _EPS) & (over_pole | (dlon <= F.asin(F.least(F.lit(1.0), ratio)) + _EPS))
-    key = F.concat_ws("|", F.col("id_a").cast("string"), F.col("id_b").cast("string"))
-    return a.join(b, ["k", "c"]).where(keep).select("id_a", "lat_a", "lon_a", "id_b", "lat_b", "lon_b", key.alias("key"))
+    keep = (dlat <= theta + _EPS) & (over_pole | (dlon <= F.asin(F.least(F.lit(1.0), ratio)) + _EPS))
+    # each two positions once, as what follows is the same both ways round
+    once = (F.col("y_a") < F.col("y_b")) | ((F.col("y_a") == F.col("y_b")) & (F.col("x_a") <= F.col("x_b")))
+    near = a.join(b, ["k", "c"]).where(keep & once).select("y_a", "x_a", "y_b", "x_b")
+    if distance:
+        near = haversine(near, "y_a", "x_a", "y_b", "x_b", distance)
+    near = near.join(rows("a"), (F.col("y_a") == F.col("lat_a")) & (F.col("x_a") == F.col("lon_a")))
+    near, other, group = spread(near, rows("b"), [F.col("y_b"), F.col("x_b")], [F.col("lat_b"), F.col("lon_b")])
+    same = (F.col("y_a") == F.col("y_b")) & (F.col("x_a") == F.col("x_b"))
+    first = F.col("id_a") < F.col("id_b")
+    pairs = near.join(other, (F.col("y_b") == F.col("lat_b")) & (F.col("x_b") == F.col("lon_b")) & group & (first | (~same & (F.col("id_a") > F.col("id_b")))))
+    ordered = {f"{x}_{n}": F.when(first, F.col(f"{x}_{n}")).otherwise(F.col(f"{x}_{m}")) for n, m in ("ab", "ba") for x in ("id", "lat", "lon")}
+    key = F.concat_ws("|", ordered["id_a"].cast("string"), ordered["id_b"].cast("string"))
+    return pairs.select(*(c.alias(n) for n, c in ordered.items()), key.alias("key"), *([distance] if distance else []))
 
 
 def closing(df: DataFrame, ts: str, key: str, dist: str, ttl_ms: int, out: str, order: str | None = None, arrival: str | None = None) -> DataFrame:

@@ -408,8 +408,7 @@ add("haversine", _haversine, f"WITH a AS (SELECT 10.0 AS lat, 20.0 AS lon), b AS
 
 
 def _pairs(spark, sf_dir):
-    got = geo.pair_candidates(_places(spark, sf_dir), "s_suppkey", "lat", "lon", 2_000_000.0)
-    return geo.haversine(got, "lat_a", "lon_a", "lat_b", "lon_b", "m").where("m <= 2000000").select("key", "m")
+    return geo.pair_candidates(_places(spark, sf_dir), "s_suppkey", "lat", "lon", 2_000_000.0, "m").where("m <= 2000000").select("key", "m")
 
 
 add("pair_candidates", _pairs, f"WITH p AS ({_P}) SELECT a.s_suppkey || '|' || b.s_suppkey AS key, round({_D})::BIGINT AS m FROM p a JOIN p b ON a.s_suppkey < b.s_suppkey WHERE round({_D}) <= 2000000")

@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkrules.functions import allen
 from sparkrules.functions.exact import average_exact
@@ -237,6 +238,22 @@ def test_pairs_by_cells_are_all_pairs(spark):
         assert near <= got and len(got) <= 3 * len(near) + 40
 
 
+def test_pairs_of_one_place_are_dealt_over_tasks(spark, monkeypatch):
+    from sparkrules.operators import geo, spread
+
+    monkeypatch.setattr(spread, "GROUP_ROWS", 8)
+    places = [(10.0, 20.0), (10.001, 20.0), (-0.0, 0.0), (0.0, 0.0), (50.0, 60.0), (None, 1.0)]
+    points = [(k * 7 % 101, *places[0 if k < 60 else k % 6]) for k in range(100)] + [(3, 10.0, 20.0), (None, 10.0, 20.0)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = geo.pair_candidates(df, "id", "lat", "lon", 500.0, "m").withColumn("task", F.spark_partition_id()).collect()
+    at = [p for p in points if None not in p]
+    want = sorted((p, q, f"{p[0]}|{q[0]}") for p in at for q in at if p[0] < q[0] and abs(p[1] - q[1]) < 0.002 and abs(p[2] - q[2]) < 0.002)
+    assert sorted(((r["id_a"], r["lat_a"], r["lon_a"]), (r["id_b"], r["lat_b"], r["lon_b"]), r["key"]) for r in got) == want
+    assert all(r["m"] == (0 if r["lat_a"] == r["lat_b"] else 111) for r in got)
+    tasks = [r["task"] for r in got if r["lat_a"] == r["lat_b"] == 10.0]
+    assert max(map(tasks.count, set(tasks))) < 0.6 * len(tasks)
+
+
 def test_closing_needs_rising_times(spark):
     from sparkrules.operators import geo
 
