@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from sparkrules.functions import allen
 from sparkrules.functions.exact import average_exact, exact_sum
 from sparkrules.operators.numbering import ensure_checkpoint_dir
+from sparkrules.operators.spread import spread
 from sparkrules.plans.ir import (
     Accumulate, Call, Collect, Contains, Group, GroupBy, In, Lit, Matches, Op, Pattern, QueryDef, Ref, RuleError, Temporal, refs, walk,
 )
@@ -318,10 +319,45 @@ class Compilation:
         frame, own, new, tests, temporal = self.source(p, env)
         if df is None:
             return frame.where(self.all_of(tests)) if tests else frame, env | new
+        columns = [*df.columns, *frame.columns]
         df, frame, more = self.bucketed(df, frame, own, env, p, temporal)
+        if not more:
+            df, frame, more = self.dealt(df, frame, own, env, p, tests)
+            if more:
+                return df.join(frame, self.all_of([*more, *tests])).select(*(F.col(f"`{c}`") for c in columns)), env | new
         tests = more + tests
         return (df.join(frame, self.all_of(tests)) if tests else df.crossJoin(frame)), env | new
 
+    def dealt(self, df: DataFrame, frame: DataFrame, own: dict, env: dict, p: Pattern, tests: list[Column]) -> tuple[DataFrame, DataFrame, list[Column]]:
+        """An order between the sides beside equal keys means many partners: they are dealt over tasks, whatever the number of keys."""
+        mine = lambda e: bool(refs(e)) and all(r.name in own and r.part is None for r in refs(e))
+        outer = lambda e: bool(refs(e)) and all(r.name in env for r in refs(e))
+        ties = [c for c in p.conditions if isinstance(c, Op) and any(r.name in env for r in refs(c))]
+        if not any(c.op in _MIRROR for c in ties):
+            return df, frame, []
+        left_on, right_on = [], []
+        for a, b in (x.args[::d] for x in ties if x.op == "==" for d in (1, -1)):
+            if mine(a) and outer(b):
+                (x, k), (y, m) = self.value(a, own, env), self.value(b, own, env)
+                if type(k) is not type(m):
+                    x, y = x.cast("double"), y.cast("double")
+                left_on.append(y)
+                right_on.append(x)
+        for var, name in p.bindings:
+            if var in env:
+                (x, k), (y, m) = own[name], self.value(Ref(var), {}, env)
+                if type(k) is not type(m):
+                    x, y = x.cast("double"), y.cast("double")
+                left_on.append(y)
+                right_on.append(x)
+        if not left_on:
+            return df, frame, []
+        bound = sum(1 for var, _ in p.bindings if var in env)
+        own_only = lambda c: not any(isinstance(x, Temporal) or isinstance(x, Ref) and x.name in env for x in walk(c))
+        alone = [t for t, c in zip(tests[bound:], p.conditions) if own_only(c)] if len(tests) == bound + len(p.conditions) else []
+        df, frame, group = spread(df, frame.where(self.all_of(alone)) if alone else frame, left_on, right_on)
+        return df, frame, [group]
+
     def exists(self, df: DataFrame | None, env: dict, parts: tuple, negated: bool) -> DataFrame:
         df, how = self.seed(df), "left_anti" if negated else "left_semi"
         if not all(isinstance(p, Pattern) for p in parts):

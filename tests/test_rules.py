@@ -238,6 +238,23 @@ def test_pairs_by_cells_are_all_pairs(spark):
         assert near <= got and len(got) <= 3 * len(near) + 40
 
 
+def test_partners_of_one_key_are_dealt_over_tasks(spark, monkeypatch):
+    from sparkrules.operators import spread
+
+    monkeypatch.setattr(spread, "GROUP_ROWS", 16)
+    left = [(k, 1 if k < 90 else k % 3, float(k % 7) if k % 11 else None) for k in range(100)]
+    right = [(k, 1.0 if k < 90 else float(k % 3), float(k % 5) if k % 13 else float("nan")) for k in range(100)] + [(7, 1.0, 4.0), (7, 1.0, 4.0), (8, None, 4.0)]
+    types = {"L": fact_type("L", a="long", k="long", x="double?"), "R": fact_type("R", b="long", k="double?", y="double", z="long")}
+    frames = {"L": spark.createDataFrame(left, "a long, k long, x double"), "R": spark.createDataFrame(right, "b long, k double, y double").withColumn("z", F.col("b") * 2)}
+    lhs = lambda text: parse(f'rule "q" when {text} then end').rules[0].lhs
+    for text in ("L($a : a, $k : k, $x : x) R($b : b, k == $k, y > $x, z < 150)", "$l : L($a : a) R($b : b, $l.k == k, z < 150, y > $l.x)"):
+        got = match(World(spark, types, frames), lhs(text), ["a", "b"]).withColumn("task", F.spark_partition_id()).collect()
+        want = sorted((a, b) for a, k, x in left for b, m, y in right if k == m and x is not None and y > x and b * 2 < 150)
+        assert sorted((r["a"], r["b"]) for r in got) == want
+        tasks = [r["task"] for r in got if r["a"] < 90]
+        assert max(map(tasks.count, set(tasks))) < 0.7 * len(tasks)
+
+
 def test_pairs_of_one_place_are_dealt_over_tasks(spark, monkeypatch):
     from sparkrules.operators import geo, spread
 
