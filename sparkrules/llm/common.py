@@ -158,7 +158,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             start = stop
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` to bounded slices of the named columns; it returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -166,18 +166,18 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows=rows):
+        for part in slices(batches, most=most, rows=rows):
             got = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
     return df.select(*columns).mapInArrow(lean(run), schema)
 
 
-def keep_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+def keep_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], most: int = SLICE_BYTES) -> DataFrame:
     """Rows of ``df``, all columns, for which ``fn`` (True to keep, by row of a slice) holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=most):
             yield part.filter(pa.array(fn(part), type=pa.bool_()))
 
     return df.mapInArrow(lean(run), df.schema)

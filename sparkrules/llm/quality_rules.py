@@ -26,6 +26,8 @@ from sparkrules.llm.common import WordHashes, keep_texts, map_texts, split_words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
+#: words of a worker's table and bytes of texts in one slice, so that its memory does not grow with the rows of a task
+MOST_WORDS, MOST_BYTES = 50_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -105,10 +107,10 @@ class _Rules:
     """Works on a slice of texts; its word table and compressor last as long as the task."""
 
     def __init__(self, bands: Bands):
-        self.bands, self.hashes, self.packer = bands, WordHashes(), None
+        self.bands, self.hashes, self.packer = bands, WordHashes(MOST_WORDS), None
 
     def __getstate__(self):
-        return {"bands": self.bands, "hashes": WordHashes(), "packer": None}
+        return {"bands": self.bands, "hashes": WordHashes(MOST_WORDS), "packer": None}
 
     def __call__(self, batch: pa.RecordBatch) -> dict:
         import zstandard
@@ -136,10 +138,10 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row per document: base figures, compression figures and the verdict."""
     rules = _Rules(bands)
-    return map_texts(docs, ["doc_id", "text"], lambda b: rules(b) | {"doc_id": b.column("doc_id")}, SCHEMA)
+    return map_texts(docs, ["doc_id", "text"], lambda b: rules(b) | {"doc_id": b.column("doc_id")}, SCHEMA, most=MOST_BYTES)
 
 
 def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The documents, with all their columns, that pass."""
     rules = _Rules(bands)
-    return keep_texts(docs, lambda b: rules(b)["kept"])
+    return keep_texts(docs, lambda b: rules(b)["kept"], MOST_BYTES)

@@ -609,6 +609,19 @@ def test_chat_of_many_speakers_at_one_turn(spark):
         assert sum(g["copies"] for g in segs) == 120
 
 
+def test_quality_rules_keep_a_small_word_table():
+    common.forget()
+    common._WORDS.clear()
+    rules, plain = quality_rules._Rules(quality_rules.Bands()), quality_rules._Rules(quality_rules.Bands())
+    for k in range(8):
+        values = [" ".join(f"w{k}x{i}" for i in range(j, j + 9000)) + " again and" * 9 for j in (0, 4500)]
+        got = rules(pa.RecordBatch.from_pydict({"text": values}))
+        assert len(common._WORDS) <= 50_000 and list(got["n_repeat_words"]) == [18, 18]
+    common._WORDS.clear()
+    assert [list(x) for x in got.values()] == [list(x) for x in plain(pa.RecordBatch.from_pydict({"text": values})).values()]
+    common._WORDS.clear()
+
+
 def test_quality_rules(docs, rows, empty):
     got = defaultdict(list)
     for g in quality_rules.measure(docs).collect():
