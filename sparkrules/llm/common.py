@@ -206,7 +206,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of words, the same on every machine; a worker's table of at most ``most`` words saves hashing frequent ones again."""
+    """64-bit hashes of words, the same on every machine; a worker's table of at most ``most`` words saves hashing frequent ones again (0: no table, which is faster where many words differ)."""
 
     def __init__(self, most: int = 300_000):
         self.most = most
@@ -214,6 +214,8 @@ class WordHashes:
     def __call__(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
+        if not self.most:
+            return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
         known = _WORDS
         try:
             return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))

@@ -88,7 +88,7 @@ def _events(shards: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hashes, name = WordHashes(), TaskContext.get().partitionId() << 32
+        hashes, name = WordHashes(0), TaskContext.get().partitionId() << 32
         for part in slices(batches):
             w, n = tokens(texts(part), hashes)
             doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
@@ -240,7 +240,7 @@ def score(docs: DataFrame, prior: float = PRIOR, shard_tokens: int = SHARD_TOKEN
     """One row per document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_of_id() % FOLDS == HELD, F.lit(False)).alias("held"), "text")
-    counts = map_texts(rows, ["held", "text"], _counts(WordHashes()), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = map_texts(rows, ["held", "text"], _counts(WordHashes(0)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counts = store(counts, "words")
     sums = counts.agg(
         F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(F.when(F.col("n") == 1, 1)).alias("once"), F.sum(F.when(F.col("n") == 2, 1)).alias("twice"),

@@ -609,6 +609,19 @@ def test_chat_of_many_speakers_at_one_turn(spark):
         assert sum(g["copies"] for g in segs) == 120
 
 
+def test_ngram_words_are_hashed_without_a_table(docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_scoring, "WordHashes", lambda *most: made.append(most) or common.WordHashes(*most))
+    ngram_scoring.score(docs)
+    assert made and set(made) == {(0,)}
+    words = [b"a", b"b", b"a", "\u00e4".encode(), b""]
+    common._WORDS.clear()
+    assert common.WordHashes(0)(words).tolist() == common.WordHashes()(words).tolist() and common._WORDS
+    common._WORDS.clear()
+    common.WordHashes(0)(words)
+    assert not common._WORDS
+
+
 def test_quality_rules_keep_a_small_word_table():
     common.forget()
     common._WORDS.clear()
